@@ -1,0 +1,107 @@
+from __future__ import annotations
+
+from datetime import date
+
+import pytest
+
+from tillscope import operators as op
+
+
+@pytest.fixture(scope="module")
+def jobs(spark):
+    return spark.createDataFrame(
+        [("job_a", '["1","2"]'), ("job_b", "[23, 23]")], "name string, products string"
+    )
+
+
+@pytest.fixture(scope="module")
+def predict(spark):
+    rows = [(1, 5, 0.5, 0.2), (2, 60000, 0.1, 0.1), (3, 7, 0.4, 0.3)]
+    return spark.createDataFrame(rows, "user_id long, rank int, score double, p_obs double")
+
+
+def test_job_products_keep_duplicates(jobs, tuples):
+    assert sorted(tuples(op.job_products(jobs))) == [
+        ("job_a", "1"), ("job_a", "2"), ("job_b", "23"), ("job_b", "23")
+    ]
+    assert [r[1] for r in tuples(op.job_products(jobs, "job_b"))] == ["23", "23"]
+
+
+def test_job_buyers_have_one_row_per_line(lines, jobs, tuples):
+    orders = lines([(1, 1, "23", "2016-01-01", 1, 1, "Open"), (1, 1, "23", "2016-01-01"), (2, 2, "1", "2016-01-01")])
+    assert tuples(op.job_buyers(orders, jobs, "job_b")) == [(1,), (1,)]
+
+
+def test_audience_by_products(lines, jobs, tuples):
+    orders = lines(
+        [(1, 1, "9", "2015-01-01", 1, 1, "Open"), (1, 2, "1", "2016-05-01"), (1, 3, "2", "2016-06-01"),
+         (2, 4, "1", "2016-05-01"), (3, 5, "9", "2015-01-01")]
+    )
+    found = op.audience_by_products(
+        op.valid_sales(orders), op.user_min_order_date(orders), jobs, "job_a", "2016-01-01"
+    )
+    assert tuples(found) == [(1,)]
+
+
+def test_audience_by_prediction(lines, predict, spark, tuples):
+    orders = lines(
+        [(u, u, "9", "2015-01-01") for u in (1, 2, 3)] + [(u, 10 + u, "9", "2016-05-01") for u in (1, 2, 3, 4)]
+    )
+    clients = spark.createDataFrame(
+        [(1, "23"), (2, "23"), (3, "5"), (4, "23")], "user_id long, address_1 string"
+    )
+    found = op.audience_by_prediction(
+        op.valid_sales(orders), op.user_min_order_date(orders), predict, clients,
+        before="2016-01-01", top=1000, addresses="[23, 23]", start="2016-01-01", end="2016-12-31",
+    )
+    assert tuples(found) == [(1,)]
+
+
+def test_prediction_window(lines, spark):
+    bounds = op.date_bounds(lines([(1, 1, "A", "1995-01-01"), (1, 2, "A", "2001-08-01")]))
+    windows = spark.createDataFrame(
+        [("job_a", date(1998, 1, 1), date(1998, 12, 31)), ("late", date(2003, 1, 1), date(2003, 1, 31)),
+         ("early", date(1995, 3, 1), date(1995, 3, 31))],
+        "name string, start_date date, finish_date date",
+    )
+    found = {
+        r.name: (str(r.min_pay_date), str(r.max_pay_date))
+        for r in op.prediction_window(bounds, windows).collect()
+    }
+    assert found == {
+        "job_a": ("1996-12-31", "1997-12-31"),
+        "late": ("2000-08-01", "2001-08-01"),
+        "early": ("1995-01-01", "1995-02-28"),
+    }
+
+
+def test_buyers_without_a_prediction_keep_a_default_rank(lines, predict, tuples):
+    orders = lines([(u, u, "A", "2016-01-05") for u in (1, 3, 8)] + [(2, 2, "A", "2016-01-05")])
+    # Customer 2 is ranked too low; 8 has the default rank and comes last.
+    lift = op.lift_by_buyers(orders, predict, "2016-01-01", "2016-01-31", k=3)
+    assert tuples(lift) == [(1, 0.2), (2, 0.3), (3, 0.0)]
+    cut = op.lift_by_buyers(orders, predict, "2016-01-01", "2016-01-31", k=3, max_rank=100)
+    assert len(tuples(cut)) == 2
+
+
+def test_lift_by_score(predict, tuples):
+    assert tuples(op.lift_by_score(predict, k=2)) == [(1, 0.2), (2, 0.3)]
+    assert tuples(op.top_rank_sum(predict, 6)) == [(0.2,)]
+    assert tuples(op.top_rank_sum(predict, 0)) == [(None,)]
+
+
+def test_counting_buyers(lines, predict, tuples):
+    orders = lines(
+        [(1, 1, "A", "2015-01-01"), (1, 2, "A", "2016-01-05"), (1, 3, "A", "2016-01-06"),
+         (2, 4, "A", "2016-01-05"), (3, 5, "B", "2016-01-05"), (4, 6, "A", "2016-01-05"),
+         (5, 7, "A", "2016-01-05", 1, 1, "Open"), (None, 8, "A", "2016-01-05")]
+    )
+    period = (["A"], "2016-01-01", "2016-01-31")
+    first = op.user_min_order_date(orders)
+    assert tuples(op.count_buyers(orders, *period)) == [(3,)]
+    assert tuples(op.count_buyers(orders, *period, predict=predict)) == [(1,)]
+    assert tuples(op.count_buyers(orders, *period, predict=predict, max_rank=500000)) == [(2,)]
+    assert tuples(op.count_buyers(orders, *period, min_dates=first)) == [(1,)]
+    assert tuples(op.count_buyers(orders, *period, min_dates=first, before="2017-01-01")) == [(3,)]
+    assert tuples(op.customers_before(orders, "2016-01-06")) == [(4,)]
+    assert tuples(op.customers_before(orders, "2016-01-05", first)) == [(1,)]

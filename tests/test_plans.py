@@ -1,0 +1,87 @@
+"""What the plans must look like on tables too large to broadcast."""
+
+from __future__ import annotations
+
+import re
+
+import pytest
+
+from tillscope import operators as op
+from tillscope.plans.queries import QUERIES, sales_of
+from tillscope.sources import testdata as data
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.fixture
+def large(spark):
+    """Tables count as too large for any broadcast that is not asked for."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield spark
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_no_join_without_a_key_and_no_python_workers(large, name):
+    plan = plan_of(QUERIES[name](large, FOLDER))
+    assert not re.search(r"CartesianProduct|BroadcastNestedLoopJoin", plan)
+    assert not re.search(r"Python|Pandas|Arrow", plan)
+
+
+def test_dates_and_columns_reach_the_scan(spark):
+    plan = plan_of(op.daily_sales(data.order_lines(spark, FOLDER), "1998-01-01", "1998-06-30"))
+    assert "GreaterThanOrEqual(o_orderdate" in plan
+    assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
+
+
+def test_customers_are_not_ranked_in_one_task(large):
+    tiled = op.add_ntile(
+        data.predictions(large, FOLDER), 10, op_order(), "user_id", ranges=4
+    )
+    plan = plan_of(tiled)
+    ranking = plan[plan.index("row_number()") :]
+    assert "hashpartitioning(_range" in ranking
+    # Only the sizes of the ranges meet in one task.
+    assert plan.count("SinglePartition") == 1
+    assert "sum(_rows" in plan[: plan.index("SinglePartition")]
+
+
+def op_order():
+    from pyspark.sql import functions as F
+
+    return [F.col("rank")]
+
+
+def test_top_products_per_month_are_limited_before_the_shuffle(large):
+    plan = plan_of(op.monthly_top_products(data.order_lines(large, FOLDER)))
+    assert re.search(r"WindowGroupLimit .*Partial", plan)
+
+
+def test_monthly_top_products_scan_the_sales_once(spark):
+    top = op.monthly_top_products(data.order_lines(spark, FOLDER))
+    top.collect()
+    final = plan_of(top).split("== Initial Plan ==")[0]
+    assert final.count("FileScan") == 2  # the two tables behind the order lines
+
+
+def test_memberships_are_semi_joins(large):
+    lines, jobs = data.order_lines(large, FOLDER), data.jobs(large, FOLDER)
+    assert "LeftSemi" in plan_of(op.basket_lines(lines, "5"))
+    assert "LeftSemi" in plan_of(op.job_buyers(lines, jobs, "job_1"))
+    sales = sales_of(large, FOLDER, "product_id")
+    found = op.audience_by_products(sales, op.user_min_order_date(lines), jobs, "job_1", "1998-01-01")
+    assert plan_of(found).count("LeftSemi") >= 1
+
+
+def test_buyers_are_made_distinct_before_they_are_joined(large):
+    """A customer with very many lines enters the join as one row."""
+    lines = data.order_lines(large, FOLDER)
+    plan = plan_of(
+        op.count_buyers(lines, ["1"], "1998-01-01", "1998-12-31", data.predictions(large, FOLDER))
+    )
+    below_semi = plan[plan.index("LeftSemi") :]
+    assert below_semi.index("HashAggregate(keys=[user_id") < below_semi.index("FileScan")

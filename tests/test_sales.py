@@ -1,0 +1,127 @@
+from __future__ import annotations
+
+from datetime import date
+
+import pytest
+from pyspark.sql import functions as F
+
+from tillscope import operators as op
+from tillscope.functions import age_parts, comparable, json_items, range_label
+from tillscope.sources import register_view, update_where, written_table
+
+
+def test_valid_sales_needs_status_and_columns(lines):
+    orders = lines(
+        [
+            (1, 1, "A", "2016-01-01"),
+            (1, 2, "A", "2016-01-01", 1, 10, "Cancelled"),
+            (None, 3, "A", "2016-01-01"),
+            (1, 4, "A", None),
+            (1, 5, "A", "2016-01-01", 1, None),
+            (1, 6, "A", "2016-01-01", 1, 10, None),
+        ]
+    )
+    assert [r.order_id for r in op.valid_sales(orders).collect()] == [1]
+    assert {r.order_id for r in op.valid_sales(orders, need=()).collect()} == {1, 3, 4, 5}
+
+
+def test_date_ranges(lines):
+    orders = lines([(1, i, "A", f"2016-01-0{i}") for i in range(1, 6)])
+    days = op.orders_in_range(orders, "2016-01-01", "2016-01-04").collect()
+    assert sorted(r.order_id for r in days) == [2, 3, 4]
+    closed = op.between_dates(orders, "2016-01-01", "2016-01-04").collect()
+    assert sorted(r.order_id for r in closed) == [1, 2, 3, 4]
+    assert [r.order_id for r in op.orders_on_day(orders, "2016-01-03").collect()] == [3]
+
+
+@pytest.mark.parametrize("extra", [0, 2000])
+def test_orders_of_products_short_and_long_lists(lines, extra):
+    orders = lines([(1, 1, "A", "2016-01-01"), (1, 2, "B", "2016-01-01"), (1, 3, None, None)])
+    listed = ["A", "zz", *[f"x{i}" for i in range(extra)]]
+    found = op.orders_of_products(orders, listed)
+    assert found.columns != [] and [r.order_id for r in found.collect()] == [1]
+
+
+def test_category_levels(lines, products):
+    dimension = products((1, "n1", "food", "tea"), (2, "n2", "food", "jam"), (3, "n3", "toys", "tea"))
+    orders = lines([(1, i, str(i), "2016-01-01") for i in (1, 2, 3)])
+    assert {r.order_id for r in op.category_orders(orders, dimension, "food").collect()} == {1, 2}
+    both = op.category_orders(orders, dimension, "food", "tea").collect()
+    assert {r.order_id for r in both} == {1}
+
+
+def test_bounds_and_counts(lines, tuples):
+    orders = lines([(1, 1, "A", "2016-02-03"), (2, 2, "A", "2017-01-01"), (2, 2, "A", None)])
+    assert tuples(op.date_bounds(orders)) == [(date(2016, 2, 3), date(2017, 1, 1))]
+    assert tuples(op.last_date(orders)) == [("2017-01-01",)]
+    assert tuples(op.row_count(orders)) == [(3,)]
+    assert tuples(op.row_count(orders.limit(0))) == [(0,)]
+
+
+@pytest.mark.parametrize(
+    ("later", "earlier", "expected"),
+    [
+        ("2016-06-30", "2014-03-01", (27, 29)),
+        ("2016-02-29", "2016-01-31", (0, 29)),
+        ("2016-03-30", "2016-02-29", (1, 1)),
+        ("2016-01-31", "2016-02-29", (0, -29)),
+        ("2016-05-05", "2016-05-05", (0, 0)),
+    ],
+)
+def test_age(spark, later, earlier, expected):
+    row = spark.range(1).select(
+        age_parts(F.lit(later).cast("date"), F.lit(earlier).cast("date")).alias("age")
+    )
+    assert tuple(row.first().age) == expected
+
+
+def test_age_of_unknown_date(spark):
+    row = spark.range(1).select(
+        age_parts(F.lit(None).cast("date"), F.lit("2016-01-01").cast("date")).alias("age")
+    )
+    assert row.first().age is None
+
+
+def test_customer_tenure(lines):
+    orders = lines([(1, 1, "A", "2014-03-01"), (1, 2, "A", "2016-06-30"), (1, 3, "A", "2015-01-01")])
+    row = op.customer_tenure(orders, as_of=date(2016, 7, 31)).first()
+    assert (row.days, row.months, row.rest_days) == (852, 27, 29)
+    assert (row.since_days, row.since_months, row.since_rest_days) == (31, 1, 1)
+
+
+def test_update_where_treats_unknown_as_no(spark, tuples):
+    filters = spark.createDataFrame(
+        [("a", "100"), ("b", "200"), (None, "300")], "job_id string, filter_name string"
+    )
+    updated = update_where(filters, F.col("job_id") == "a", "filter_name", "500")
+    assert set(tuples(updated)) == {("a", "500"), ("b", "200"), (None, "300")}
+
+
+def test_view_comments(spark):
+    register_view(spark.range(1), "commented", {"id": "the number"})
+    assert spark.table("commented").schema["id"].metadata == {"comment": "the number"}
+
+
+def test_written_table_is_in_the_shared_folder_and_whole(spark):
+    df = spark.range(10).withColumn("x", F.col("id") * 2.5)
+    table = written_table(df, "probe")
+    assert f"{spark.conf.get('spark.checkpoint.dir')}/probe-" in table.inputFiles()[0]
+    assert table.dtypes == df.dtypes
+    assert sorted(table.collect()) == sorted(df.collect())
+    assert written_table(df.limit(0), "probe").count() == 0
+
+
+def test_range_label_rounds_halves_up(spark):
+    row = spark.range(1).select(range_label(F.lit(1.005), F.lit(3)).alias("r")).first()
+    assert row.r == "1.01-3.00"
+
+
+def test_json_items_with_and_without_quotes(spark):
+    texts = spark.createDataFrame([('["1","2"]',), ("[23, 23]",)], "t string")
+    items = [r.i for r in texts.select(json_items(F.col("t")).alias("i")).collect()]
+    assert items == [["1", "2"], ["23", "23"]]
+
+
+def test_comparable_types(spark):
+    df = spark.sql("SELECT 1.23456789D AS a, 1 AS b, DATE '2016-01-02' AS c, 1.50BD AS d")
+    assert tuple(comparable(df).first()) == (1.234568, 1, "2016-01-02", 1.5)

@@ -1,0 +1,144 @@
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from tillscope import operators as op
+from tillscope.constants import OTHERS_MONTHLY
+
+
+def of_quantities(lines, quantities, day="2016-01-05"):
+    return lines([(1, i, f"p{i}", day, q) for i, q in enumerate(quantities, start=1)])
+
+
+def test_few_products_still_have_an_empty_others_row(lines, tuples):
+    top = op.top_products(of_quantities(lines, [5, 3, 1]))
+    assert tuples(top) == [
+        (1, "p1", 5.0), (2, "p2", 3.0), (3, "p3", 1.0), (6, "others", None)
+    ]
+
+
+def test_few_products_in_a_month_have_no_others_row(lines, tuples):
+    assert len(tuples(op.monthly_top_products(of_quantities(lines, [5, 3, 1])))) == 3
+
+
+def test_exactly_n_products_in_a_month_have_no_others_row(lines, tuples):
+    assert len(tuples(op.monthly_top_products(of_quantities(lines, [5, 4, 3, 2, 1])))) == 5
+
+
+def test_the_rest_is_summed(lines, tuples):
+    orders = of_quantities(lines, [7, 6, 5, 4, 3, 2, 1])
+    assert tuples(op.monthly_top_products(orders))[-1] == (6, "2016-01", OTHERS_MONTHLY, 3.0)
+    assert tuples(op.top_products(orders))[-1] == (6, "others", 3.0)
+    assert tuples(op.top_products(orders, n=1, label="x")) == [(1, "p1", 7.0), (2, "x", 21.0)]
+
+
+def test_ties_go_to_the_smaller_product_id(lines, tuples):
+    orders = of_quantities(lines, [2] * 7)
+    assert [r[1] for r in tuples(op.top_products(orders, n=2))] == ["p1", "p2", "others"]
+    assert [r[2] for r in tuples(op.monthly_top_products(orders, n=2))][:2] == ["p1", "p2"]
+
+
+def test_unknown_sums_come_first_and_null_products_are_a_group(lines, tuples):
+    orders = lines(
+        [(1, 1, "a", "2016-01-01", None), (1, 1, "b", "2016-01-01", 9), (1, 1, None, "2016-01-01", 4)]
+    )
+    assert tuples(op.top_products(orders, n=1)) == [(1, "a", None), (2, "others", 13.0)]
+    monthly = tuples(op.monthly_top_products(orders, n=2))
+    assert monthly == [
+        (1, "2016-01", "a", None), (2, "2016-01", "b", 9.0), (3, "2016-01", OTHERS_MONTHLY, 4.0)
+    ]
+
+
+def test_names_of_unknown_products_become_the_label(lines, products, tuples):
+    orders = lines([(1, 1, "1", "2016-01-01"), (1, 2, "1", "2016-01-01"), (1, 3, "2", "2016-01-01")])
+    named = op.monthly_top_named(orders, products((2, "tea", "c", "d")))
+    assert tuples(named) == [(1, "2016-01", OTHERS_MONTHLY, 2), (2, "2016-01", "tea", 1)]
+
+
+def test_order_value_of_unknown_customers(lines, tuples):
+    orders = lines([(1, 1, "A", "2016-01-01", 1, 10), (None, 2, "A", "2016-01-01", 1, 30)])
+    assert tuples(op.monthly_order_value(orders, drop_nulls=False)) == [("2016-01", 40.0)]
+    assert tuples(op.monthly_order_value(orders)) == [("2016-01", 10.0)]
+
+
+def test_breadth_merged_and_unmerged(lines, tuples):
+    orders = lines(
+        [(user, user, f"p{i}", "2016-01-01") for user in (1, 2, 3, 4) for i in range(user)]
+    )
+    merged = [("2016-01", 1, 1), ("2016-01", 2, 1), ("2016-01", 3, 2)]
+    assert tuples(op.purchase_breadth(orders)) == merged
+    single = [("2016-01", 1, 1), ("2016-01", 2, 1), ("2016-01", 3, 1), ("2016-01", 3, 1)]
+    assert tuples(op.purchase_breadth(orders, merge_tail=False)) == single
+
+
+def test_growth_over_a_gap(lines, products, tuples):
+    orders = lines([(1, 1, "1", "2016-01-01", 10), (1, 2, "1", "2016-03-01", 15)])
+    dimension = products((1, "tea", "c", "d"))
+    assert tuples(op.product_growth(orders, dimension)) == [
+        ("2016-01", "1", "tea", 10.0, None), ("2016-03", "1", "tea", 15.0, 0.5)
+    ]
+    assert tuples(op.calendar_growth(orders, ["1"])) == [
+        ("2016-01", 10.0, None), ("2016-03", 15.0, None)
+    ]
+
+
+def test_growth_from_zero_is_unknown(lines, products, tuples):
+    orders = lines([(1, 1, "1", "2016-12-01", 0), (1, 2, "1", "2017-01-01", 5)])
+    dimension = products((1, "tea", "c", "d"))
+    assert tuples(op.product_growth(orders, dimension))[1][-1] is None
+    assert tuples(op.calendar_growth(orders, ["1"]))[1][-1] is None
+
+
+def test_growth_of_unknown_products_has_no_previous_month(lines, products, tuples):
+    orders = lines([(1, 1, None, "2016-01-01", 1), (1, 2, None, "2016-02-01", 2)])
+    growth = tuples(op.product_growth(orders, products((1, "tea", "c", "d"))))
+    assert [r[-1] for r in growth] == [None, None]
+
+
+def test_calendar_growth_of_a_product_set(lines, spark, tuples):
+    orders = lines([(1, 1, "1", "2016-01-01", 1), (1, 2, "2", "2016-02-01", 3), (1, 3, "3", "2016-02-01")])
+    both = [("2016-01", 1.0, None), ("2016-02", 3.0, 2.0)]
+    assert tuples(op.calendar_growth(orders, ["1", "2"])) == both
+    listed = spark.createDataFrame([("1",), ("2",)], "product_id string")
+    assert tuples(op.calendar_growth(orders, listed)) == both
+
+
+def test_daily_sales_excludes_the_first_day(lines, tuples):
+    orders = lines([(1, i, "A", f"2016-01-0{i}", i) for i in (1, 2, 3, 4)] + [(1, 9, "B", "2016-01-02")])
+    days = tuples(op.daily_sales(orders, "2016-01-01", "2016-01-03"))
+    assert [(str(d), q) for d, q in days] == [("2016-01-02", 3.0), ("2016-01-03", 3.0)]
+    assert [q for _, q in tuples(op.daily_sales(orders, "2016-01-01", "2016-01-03", ["A"]))] == [2, 3]
+
+
+def test_active_rate(lines, tuples):
+    orders = lines(
+        [(u, u, "A", "2016-01-31") for u in (1, 2)] + [(u, 9, "A", "2016-02-01") for u in (2, 3)]
+        + [(2, 9, "A", "2016-02-28"), (None, 10, "A", "2016-02-01")]
+    )
+    january, february = ("2016-01", 2, 2, 1.0), ("2016-02", 2, 3, pytest.approx(2 / 3))
+    assert tuples(op.monthly_active_rate(orders)) == [january, february]
+    assert tuples(op.monthly_active_rate(orders, "2016-01")) == [january]
+    assert tuples(op.monthly_active_rate(orders, "2016-02")) == [february]
+    assert tuples(op.monthly_active_rate(orders, "2016-03")) == []
+    assert tuples(op.monthly_active_rate(orders, "2015-12")) == []
+
+
+def test_active_rate_of_a_month_without_newcomers(lines, tuples):
+    orders = lines([(1, 1, "A", "2016-01-01"), (1, 2, "A", "2016-03-01")])
+    assert [r[2] for r in tuples(op.monthly_active_rate(orders))] == [1, 1]
+
+
+def test_customers(lines, tuples):
+    orders = lines(
+        [(1, 1, "A", "2016-01-01"), (1, 2, "A", "2016-01-02"), (2, 3, "A", "2016-02-01"),
+         (3, 4, "A", "2016-02-01", 1, 10, "Open"), (None, 5, "A", "2016-02-01")]
+    )
+    assert tuples(op.monthly_customers(orders)) == [("2016-01", 1), ("2016-02", 1)]
+    assert tuples(op.total_customers(orders)) == [(3,)]
+
+
+def test_any_additive_measure(lines, tuples):
+    orders = of_quantities(lines, [7, 6, 5])
+    top = op.monthly_top_products(orders, 1, F.count(F.lit(1)), "num")
+    assert [r[-1] for r in tuples(top)] == [1, 2]

@@ -1,6 +1,6 @@
 """Column helpers: dates, sums, ratios, labels and JSON lists."""
 
-from tillscope.functions.dates import age_parts, month_of, month_start, whole_days
+from tillscope.functions.dates import age_parts, month_of, month_start, month_text, whole_days
 from tillscope.functions.values import (
     comparable,
     double_sum,
@@ -17,6 +17,7 @@ __all__ = [
     "json_items",
     "month_of",
     "month_start",
+    "month_text",
     "nulls_last",
     "range_label",
     "ratio",

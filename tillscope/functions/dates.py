@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 
 
 def month_of(date: Column | str) -> Column:
-    """The month of a date as ``yyyy-MM`` text."""
-    return F.date_format(date, "yyyy-MM")
+    """The first day of a date's month: a cheap key to group, join and sort by."""
+    return F.trunc(date, "month")
 
 
-def month_start(month: Column) -> Column:
-    """The first day of a ``yyyy-MM`` month."""
-    return F.to_date(F.concat(month, F.lit("-01")))
+def month_text(month: Column | str) -> Column:
+    """A month as ``yyyy-MM`` text, for results."""
+    return F.date_format(month, "yyyy-MM")
+
+
+def month_start(text: str) -> Column:
+    """The first day of a month given as ``yyyy-MM`` text."""
+    return F.to_date(F.lit(f"{text}-01"))
 
 
 def whole_days(later: Column, earlier: Column) -> Column:

@@ -27,7 +27,7 @@ def valid_sales(
 
 
 def with_month(orders: DataFrame) -> DataFrame:
-    """Add ``month`` as ``yyyy-MM`` text."""
+    """Add ``month``, the first day of the month of the order."""
     return orders.withColumn("month", month_of("pay_date"))
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillscope.constants import OTHERS_ALL_TIME, OTHERS_MONTHLY
+from tillscope.functions import month_text
 from tillscope.operators.sales import with_month
 
 
@@ -16,7 +20,7 @@ def top_products(sales: DataFrame, n: int = 5, label: str = OTHERS_ALL_TIME) ->
     """
     counts = sales.groupBy("product_id").agg(F.sum("quantity").alias("count"))
     first = counts.orderBy(*_best_first("count")).limit(n)
-    rest = _outside(counts, F.broadcast(first), ["product_id"])  # n rows
+    rest = _outside(counts, first, ["product_id"])
     ranked = first.select(
         F.row_number().over(Window.orderBy(*_best_first("count"))).alias("orders"),
         "product_id",
@@ -45,15 +49,14 @@ def monthly_top_products(
     first = counts.withColumn("orders", F.row_number().over(by_month)).filter(
         F.col("orders") <= n
     )
-    # n rows per calendar month, whatever the size of the data.
-    rest = _outside(counts, F.broadcast(first), ["month", "product_id"])
+    rest = _outside(counts, first, ["month", "product_id"])
     others = (
         rest.groupBy("month")
         .agg(F.sum(value).alias(value))
         .select(F.lit(n + 1).alias("orders"), "month", F.lit(label).alias("product_id"), value)
     )
     result = first.select("orders", "month", "product_id", value).unionByName(others)
-    return result.orderBy("month", "orders")
+    return result.orderBy("month", "orders").withColumn("month", month_text("month"))
 
 
 def monthly_top_named(
@@ -83,6 +86,13 @@ def _best_first(value: str) -> list[Column]:
 
 
 def _outside(counts: DataFrame, first: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``counts`` whose keys are not among the first ones; NULL keys match NULL."""
-    same = [counts[k].eqNullSafe(first[k]) for k in keys]
-    return counts.join(first, same, "left_anti")
+    """Rows of ``counts`` whose keys are not among the first ones; NULL keys match NULL.
+
+    Not an anti join: Catalyst would move it below the aggregation and scan the sales once more,
+    whereas here both branches share one shuffle of the counts. The broadcast holds n rows, or n
+    rows per calendar month, whatever the size of the data.
+    """
+    marked = first.select(*[F.col(k).alias(f"first_{k}") for k in keys], F.lit(True).alias("is_first"))
+    same = [F.col(k).eqNullSafe(F.col(f"first_{k}")) for k in keys]
+    joined = counts.join(F.broadcast(marked), reduce(and_, same), "left")
+    return joined.filter(F.col("is_first").isNull()).select(counts.columns)

@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillscope.functions import double_sum, month_start, ratio
+from tillscope.functions import double_sum, month_start, month_text, ratio
 from tillscope.operators.sales import (
     between_dates,
     orders_of_products,
@@ -32,6 +32,7 @@ def monthly_order_value(orders: DataFrame, drop_nulls: bool = True) -> DataFrame
         customers.groupBy("month")
         .agg(ratio(F.sum("order_avg"), F.count("user_id")).alias("total_user_order_avg"))
         .orderBy("month")
+        .withColumn("month", month_text("month"))
     )
 
 
@@ -54,12 +55,13 @@ def purchase_breadth(
             customers.groupBy("month", category.alias("category"))
             .agg(F.count(F.lit(1)).alias("num"))
             .orderBy("month", "category")
+            .withColumn("month", month_text("month"))
         )
     return (
         customers.groupBy("month", "bought")
         .agg(F.count(F.lit(1)).alias("num"))
         .orderBy("month", "bought")
-        .select("month", category.alias("category"), "num")
+        .select(month_text("month").alias("month"), category.alias("category"), "num")
     )
 
 
@@ -76,14 +78,14 @@ def product_growth(orders: DataFrame, products: DataFrame) -> DataFrame:
         # An unknown product has no previous month.
         .withColumn("before", F.when(F.col("product_id").isNotNull(), F.col("before")))
         .join(names, "product_id", "left")
+        .orderBy("product_id", "month")
         .select(
-            "month",
+            month_text("month").alias("month"),
             "product_id",
             "product_name",
             "sales_num",
             ratio(F.col("sales_num") - F.col("before"), F.col("before")).alias("vspp"),
         )
-        .orderBy("product_id", "month")
     )
 
 
@@ -99,20 +101,19 @@ def calendar_growth(
         with_month(sales)
         .groupBy("month")
         .agg(double_sum(sales, "quantity").alias("sales_num"))
-        .withColumn("first_day", month_start(F.col("month")))
     )
     # One row per month from here on, so one partition is enough for the window.
-    by_month = Window.orderBy("first_day")
-    follows = F.add_months(F.lag("first_day").over(by_month), 1) == F.col("first_day")
+    by_month = Window.orderBy("month")
+    follows = F.add_months(F.lag("month").over(by_month), 1) == F.col("month")
     before = F.when(follows, F.lag("sales_num").over(by_month))
     return (
         monthly.withColumn("before", before)
+        .orderBy("month")
         .select(
-            "month",
+            month_text("month").alias("month"),
             "sales_num",
             ratio(F.col("sales_num") - F.col("before"), F.col("before")).alias("vspp"),
         )
-        .orderBy("month")
     )
 
 
@@ -140,7 +141,7 @@ def monthly_active_rate(orders: DataFrame, month: str | None = None) -> DataFram
     sales = valid_sales(orders, need=("pay_date", "user_id"))
     rate = ratio(F.col("month_customer_count"), F.col("before_total_customer_count"))
     if month is not None:
-        first_day = month_start(F.lit(month))
+        first_day = month_start(month)
         in_month = (F.col("pay_date") >= first_day).cast("long")
         # One row per customer first: a single shuffle answers both counts.
         customers = (
@@ -172,13 +173,13 @@ def monthly_active_rate(orders: DataFrame, month: str | None = None) -> DataFram
     return (
         active.join(joined, "month", "left")
         .withColumn("before_total_customer_count", total)
+        .orderBy("month")
         .select(
-            "month",
+            month_text("month").alias("month"),
             "month_customer_count",
             "before_total_customer_count",
             rate.alias("month_live_rate"),
         )
-        .orderBy("month")
     )
 
 
@@ -189,6 +190,7 @@ def monthly_customers(orders: DataFrame) -> DataFrame:
         .groupBy("month")
         .agg(F.count_distinct("user_id").alias("customer_count"))
         .orderBy("month")
+        .withColumn("month", month_text("month"))
     )
 
 

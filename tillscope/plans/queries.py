@@ -16,7 +16,7 @@ from tillscope.sources import update_where
 MONTH = "1998-04"
 YEAR_START, YEAR_END = "1998-01-01", "1998-12-31"
 RANGE_START, RANGE_END = "1998-01-01", "1998-06-30"
-DAY = "1998-04-01"
+DAY = "1998-04-18"
 CATEGORY_1, CATEGORY_2 = "ECONOMY", "Brand#2"
 PRODUCT, PAIR = "5", ("40", "91")
 PRODUCTS = ["1", "2", "3", "4", "5"]

@@ -4,15 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tillscope.constants import SENT
-from tillscope.sources.tables import read_parquet
+
+_schemas: dict[str, StructType] = {}
+
+
+def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table whose schema is looked up in the files once per session, not once per query."""
+    path = f"{folder}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def order_lines(spark: SparkSession, folder: str) -> DataFrame:
     """One row per order line."""
-    orders = read_parquet(spark, folder, "orders")
-    lines = read_parquet(spark, folder, "lineitem")
+    orders = _read(spark, folder, "orders")
+    lines = _read(spark, folder, "lineitem")
     status = F.when(F.col("o_orderstatus") == "F", SENT).otherwise(F.col("o_orderstatus"))
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
         F.col("o_custkey").alias("user_id"),
@@ -26,7 +36,7 @@ def order_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def products(spark: SparkSession, folder: str) -> DataFrame:
-    return read_parquet(spark, folder, "part").select(
+    return _read(spark, folder, "part").select(
         F.col("p_partkey").alias("product_id"),
         F.col("p_name").alias("product_name"),
         F.col("p_type").alias("category_1"),
@@ -35,7 +45,7 @@ def products(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def clients(spark: SparkSession, folder: str) -> DataFrame:
-    return read_parquet(spark, folder, "customer").select(
+    return _read(spark, folder, "customer").select(
         F.col("c_custkey").alias("user_id"),
         F.col("c_nationkey").cast("string").alias("address_1"),
     )
@@ -44,7 +54,7 @@ def clients(spark: SparkSession, folder: str) -> DataFrame:
 def predictions(spark: SparkSession, folder: str) -> DataFrame:
     """Only customers in credit are scored, so some buyers have no prediction."""
     return (
-        read_parquet(spark, folder, "customer")
+        _read(spark, folder, "customer")
         .filter(F.col("c_acctbal") > 0)
         .select(
             F.col("c_custkey").alias("user_id"),
@@ -59,7 +69,7 @@ def jobs(spark: SparkSession, folder: str) -> DataFrame:
     """One campaign per part: ``job_<p>`` promotes the parts p .. p+4, as JSON text."""
     key = F.col("p_partkey")
     items = F.array(*[(key + step).cast("string") for step in range(5)])
-    return read_parquet(spark, folder, "part").select(
+    return _read(spark, folder, "part").select(
         F.concat(F.lit("job_"), key.cast("string")).alias("name"),
         F.concat(F.lit('["'), F.array_join(items, '","'), F.lit('"]')).alias("products"),
     )
@@ -70,7 +80,7 @@ def job_windows(spark: SparkSession, folder: str) -> DataFrame:
     month = F.trunc(F.col("o_orderdate").cast("date"), "month")
     start = F.add_months(F.col("month"), 6)
     return (
-        read_parquet(spark, folder, "orders")
+        _read(spark, folder, "orders")
         .select(month.alias("month"))
         .distinct()
         .select(
@@ -83,7 +93,7 @@ def job_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 def first_filters(spark: SparkSession, folder: str) -> DataFrame:
     """The first filter setting of every campaign."""
-    return read_parquet(spark, folder, "part").select(
+    return _read(spark, folder, "part").select(
         F.concat(F.lit("job_"), F.col("p_partkey").cast("string")).alias("job_id"),
         (F.col("p_size") * 100).cast("string").alias("filter_name"),
     )
