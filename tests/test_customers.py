@@ -9,7 +9,18 @@ from pyspark.sql import functions as F
 
 from tillscope import operators as op
 from tillscope.functions import nulls_last
-from tillscope.operators import ntile as ntile_module
+from tillscope.operators.ntile import ROW_BITS
+from tillscope.sources import written_table
+
+
+@pytest.fixture
+def scattered(spark):
+    """Sorted tables keep all their partitions, however small they are."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    yield spark
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 def expected_tiles(size, k):
@@ -23,9 +34,9 @@ def tiles_of(df):
 
 
 @pytest.mark.parametrize(("rows", "k"), [(7, 5), (3, 5), (1, 5), (10, 10), (9, 1)])
-def test_tile_sizes(spark, rows, k):
-    df = spark.range(rows).select(F.col("id").alias("user_id"))
-    tiled = op.add_ntile(df, k, [], "user_id", ranges=3)
+def test_tile_sizes(scattered, rows, k):
+    df = scattered.range(rows).select(F.col("id").alias("user_id"))
+    tiled = op.add_ntile(df, k, [], "user_id")
     assert [t for _, t in sorted(tiles_of(tiled).items())] == expected_tiles(rows, k)
 
 
@@ -36,7 +47,7 @@ def test_no_rows(spark):
 
 @pytest.mark.parametrize("kind", ["even", "ties", "third", "nulls"])
 @pytest.mark.parametrize("k", [1, 5, 100, 2000])
-def test_same_as_the_window_function(spark, kind, k):
+def test_same_as_the_window_function(scattered, kind, k):
     pick = random.Random(k)
     values = {
         "even": lambda: pick.random(),
@@ -46,41 +57,39 @@ def test_same_as_the_window_function(spark, kind, k):
     }[kind]
     rows = [(i, values()) for i in range(1200)]
     pick.shuffle(rows)
-    df = spark.createDataFrame(rows, "user_id long, v double").repartition(5)
+    df = scattered.createDataFrame(rows, "user_id long, v double").repartition(5)
     up = [F.col("v").asc_nulls_last(), F.col("user_id")]
     plain = df.withColumn("tile", F.ntile(k).over(Window.orderBy(*up)).cast("long"))
-    ours = op.add_ntile(df, k, nulls_last(F.col("v")), "user_id", ranges=7)
+    ours = op.add_ntile(df, k, nulls_last(F.col("v")), "user_id")
     assert tiles_of(ours) == tiles_of(plain)
     down = [F.col("v").desc_nulls_first(), F.col("user_id")]
     plain = df.withColumn("tile", F.ntile(k).over(Window.orderBy(*down)).cast("long"))
     keys = [F.col("v").isNotNull(), -F.col("v")]
-    assert tiles_of(op.add_ntile(df, k, keys, "user_id", ranges=7)) == tiles_of(plain)
+    assert tiles_of(op.add_ntile(df, k, keys, "user_id")) == tiles_of(plain)
 
 
-@pytest.mark.parametrize("ranges", [1, 2, 50, 5000])
-def test_the_number_of_ranges_does_not_matter(spark, ranges):
-    df = spark.range(300).select(F.col("id").alias("user_id"), (F.col("id") % 3).alias("v"))
-    tiled = tiles_of(op.add_ntile(df, 7, [F.col("v")], "user_id", ranges=ranges))
+@pytest.mark.parametrize("partitions", ["1", "2", "50", "400"])
+def test_the_number_of_partitions_does_not_matter(scattered, partitions):
+    scattered.conf.set("spark.sql.shuffle.partitions", partitions)
+    df = scattered.range(300).select(F.col("id").alias("user_id"), (F.col("id") % 3).alias("v"))
+    tiled = tiles_of(op.add_ntile(df, 7, [F.col("v")], "user_id"))
     order = sorted(range(300), key=lambda i: (i % 3, i))
     assert [tiled[i] for i in order] == expected_tiles(300, 7)
 
 
-def test_text_ties(spark):
-    df = spark.range(100).select(F.concat(F.lit("u"), F.col("id")).alias("user_id"))
-    tiled = tiles_of(op.add_ntile(df, 9, [F.lit(1)], "user_id", ranges=4))
+def test_text_ties(scattered):
+    df = scattered.range(100).select(F.concat(F.lit("u"), F.col("id")).alias("user_id"))
+    tiled = tiles_of(op.add_ntile(df, 9, [F.lit(1)], "user_id"))
     assert [t for _, t in sorted(tiled.items())] == expected_tiles(100, 9)
 
 
-def test_a_value_shared_by_a_third_of_the_rows_is_cut(spark):
+def test_a_value_shared_by_a_third_of_the_rows_is_cut(scattered):
     rows = [(i, 1.0 if i < 2000 else float(i)) for i in range(6000)]
-    df = spark.createDataFrame(rows, "user_id long, v double").withColumns(
-        {"_k0": F.col("v"), "_k1": F.col("user_id")}
-    )
-    key = F.struct("_k0", "_k1")
-    cuts = ntile_module._cut_points(df, key, 12)
-    sizes = df.groupBy(F.size(F.filter(cuts, lambda c: c <= key)).alias("r")).count().collect()
-    assert len(sizes) == 12
-    assert max(r["count"] for r in sizes) < 2 * 6000 / 12
+    df = scattered.createDataFrame(rows, "user_id long, v double")
+    ordered = df.orderBy("v", "user_id").withColumn("id", F.monotonically_increasing_id())
+    sizes = written_table(ordered, "cut").groupBy(F.shiftright("id", ROW_BITS)).count().collect()
+    assert len(sizes) == 7
+    assert max(r["count"] for r in sizes) < 2 * 6000 / 7
 
 
 def test_traits(lines):

@@ -40,12 +40,16 @@ def json_items(text: Column) -> Column:
 
 
 def comparable(df: DataFrame, places: int = 6) -> DataFrame:
-    """Types every SQL engine prints alike: rounded doubles, ISO dates, 64-bit integers."""
+    """Types every SQL engine prints alike: rounded doubles, ISO dates, 64-bit integers.
+
+    Engines add doubles in different orders, so a mean that lies exactly between two rounded values
+    may come out a hair below it; a nudge far smaller than the rounding sends it up everywhere.
+    """
 
     def plain(field: T.StructField) -> Column:
         column = F.col(f"`{field.name}`")
         if isinstance(field.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            column = F.round(column.cast("double"), places)
+            column = F.round(column.cast("double") + 1e-9, places)
         elif isinstance(field.dataType, T.DateType):
             column = F.date_format(column, "yyyy-MM-dd")
         elif isinstance(field.dataType, (T.IntegerType, T.ShortType, T.ByteType)):

@@ -9,10 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillscope.constants import DEFAULT_P_OBS, DEFAULT_RANK, MAX_RANK
-from tillscope.functions import nulls_last
 from tillscope.operators.ntile import add_ntile
 from tillscope.operators.sales import between_dates, orders_of_products, valid_sales
-from tillscope.sources import written_table
 
 
 def lift_by_buyers(
@@ -38,7 +36,7 @@ def lift_by_buyers(
         )
         .filter(F.col("rank") <= max_rank)
     )
-    return _mass_per_tile(add_ntile(written_table(ranked, "lift"), k, [F.col("rank")], "user_id", "grp"))
+    return _mass_per_tile(add_ntile(ranked, k, [F.col("rank")], "user_id", "grp"))
 
 
 def lift_by_score(predict: DataFrame, k: int = 100, max_rank: int = MAX_RANK) -> DataFrame:

@@ -7,57 +7,49 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows one task should sort, and the most ranges the table is cut into (the cuts pass through the
-# driver, so their number is fixed whatever the size of the table).
-ROWS_PER_RANGE = 100_000
-MAX_RANGES = 1024
-SAMPLES_PER_RANGE = 50
+from tillscope.sources import written_table
+
+# monotonically_increasing_id() keeps the row number within a partition in the lower 33 bits.
+ROW_BITS = 33
 
 
 def add_ntile(
-    df: DataFrame,
-    k: int,
-    order: Sequence[Column],
-    tie: str,
-    name: str = "tile",
-    ranges: int | None = None,
+    df: DataFrame, k: int, order: Sequence[Column], tie: str, name: str = "tile"
 ) -> DataFrame:
     """Add the number of the k equal-count tiles a row falls into, from 1.
 
     The rows are ordered by ``order`` (ascending; negate a number to sort it down) and then by
-    ``tie``, a column unique to the row, so the tiles are the same on every run. A plain
-    ``ntile`` window would send all rows to one task. Here the sort key is cut into ranges at
-    sampled points; rows are numbered inside their range and shifted by the size of the ranges
-    before it. Since ``tie`` is part of the key, one value shared by a third of the rows is cut
-    like any other stretch. The sample decides only how even the ranges are, never the result.
-
-    The input is read three times and must not change in between: pass a written table.
+    ``tie``, a column unique to the row, so the tiles are the same on every run.
+
+    A plain ``ntile`` window would send all rows to one task. Here the table is sorted the
+    distributed way, by ranges of the sort key, and written once with each row's number within
+    its partition. The sizes of the partitions then turn that into the position in the whole
+    table. Since ``tie`` is part of the sort key, one value shared by a third of the rows is cut
+    into several ranges like any other stretch. The positions are read from the written table, so
+    a task that runs again cannot shift them.
     """
-    names = [f"_k{i}" for i in range(len(order) + 1)]
-    keyed = df.withColumns(dict(zip(names, [*order, F.col(tie)])))
-    key = F.struct(*names)
-    cuts = _cut_points(keyed, key, ranges)
-    if cuts is None:
-        ranged = keyed.withColumn("_range", F.lit(0))
-    else:
-        ranged = keyed.withColumn("_range", F.size(F.filter(cuts, lambda cut: cut <= key)))
-
-    # At most MAX_RANGES rows: small enough for one task and for a broadcast.
-    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
-    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    keys = {f"_k{i}": key for i, key in enumerate([*order, F.col(tie)])}
+    numbered = (
+        df.withColumns(keys)
+        .orderBy(*keys)
+        .withColumn("_id", F.monotonically_increasing_id())
+        .select(*df.columns, "_id")
+    )
+    placed = (
+        written_table(numbered, "sorted")
+        .withColumn("_part", F.shiftright("_id", ROW_BITS))
+        .withColumn("_row", F.col("_id").bitwiseAND(F.lit((1 << ROW_BITS) - 1)))
+    )
+    # One row per partition of the sort: small enough for one task and for a broadcast.
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
-        "_range",
+        "_part",
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
         F.sum("_rows").over(Window.partitionBy()).alias("_total"),
     )
-    inside = Window.partitionBy("_range").orderBy(*names)
-    return (
-        ranged.withColumn("_row", F.row_number().over(inside))
-        .join(F.broadcast(offsets), "_range")
-        .withColumn("_position", F.col("_before") + F.col("_row") - 1)
-        .withColumn(name, _tile(F.col("_position"), F.col("_total"), k))
-        .drop(*names, "_range", "_row", "_before", "_total", "_position")
-    )
+    tile = _tile(F.col("_before") + F.col("_row"), F.col("_total"), k)
+    return placed.join(F.broadcast(offsets), "_part").select(*df.columns, tile.alias(name))
 
 
 def _tile(position: Column, total: Column, k: int) -> Column:
@@ -68,29 +60,3 @@ def _tile(position: Column, total: Column, k: int) -> Column:
     large = F.floor(position / (size + 1))
     small = more + F.floor((position - in_large) / F.greatest(size, F.lit(1)))
     return (F.when(position < in_large, large).otherwise(small) + 1).cast("long")
-
-
-def _cut_points(keyed: DataFrame, key: Column, ranges: int | None) -> Column | None:
-    """An array of sampled sort keys that cut the table into ranges of about equal size."""
-    rows = keyed.count()
-    if ranges is None:
-        ranges = max(
-            keyed.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_PER_RANGE)
-        )
-    ranges = min(ranges, MAX_RANGES, rows)
-    if ranges < 2:
-        return None
-    share = min(1.0, ranges * SAMPLES_PER_RANGE / rows)
-    # Bounded by MAX_RANGES * SAMPLES_PER_RANGE keys, give or take the luck of the draw.
-    sampled = keyed.select(key.alias("key")).sample(share, seed=17)
-    picked = sampled.agg(F.array_sort(F.collect_list("key"))).first()[0]
-    if not picked:
-        return None
-    fields = sampled.schema["key"].dataType.fields
-    cuts = [picked[i * len(picked) // ranges] for i in range(1, ranges)]
-    return F.array(
-        *[
-            F.struct(*[F.lit(cut[f.name]).cast(f.dataType).alias(f.name) for f in fields])
-            for cut in cuts
-        ]
-    )

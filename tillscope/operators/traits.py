@@ -58,13 +58,15 @@ def user_traits(
 
     The sales are scanned once into one row per customer, which is written to the shared folder;
     the traits are a projection of that table. An audience costs a second scan for the dates if
-    they are not given, but then only the audience's own lines are shuffled.
+    they are not given. It is joined to the customers' totals: Catalyst moves the join below the
+    aggregation where the audience is small enough to broadcast, and where it is not, a customer
+    with very many lines is one row by then.
     """
     if audience is None:
         totals = written_table(user_totals(sales), "totals")
     else:
         members = written_table(audience.select("user_id").distinct(), "audience")
-        own = user_totals(sales.join(members, "user_id", "left_semi"))
+        own = user_totals(sales).join(members, "user_id", "left_semi")
         totals = written_table(own.join(members, "user_id", "right"), "totals")
     if max_date is None or span_days is None:
         dated = totals if audience is None else sales.select(

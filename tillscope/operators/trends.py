@@ -160,19 +160,21 @@ def monthly_active_rate(orders: DataFrame, month: str | None = None) -> DataFram
             rate.alias("month_live_rate"),
         )
     visits = with_month(sales).select("user_id", "month").distinct()
-    active = visits.groupBy("month").agg(F.count(F.lit(1)).alias("month_customer_count"))
-    joined = (
-        visits.groupBy("user_id")
-        .agg(F.min("month").alias("month"))
+    # A customer has at most one row per month here. The window, unlike a second aggregation of
+    # the visits, keeps this to one scan of the sales.
+    first_month = F.min("month").over(Window.partitionBy("user_id"))
+    monthly = (
+        visits.withColumn("is_new", (first_month == F.col("month")).cast("long"))
         .groupBy("month")
-        .agg(F.count(F.lit(1)).alias("new_customers"))
+        .agg(
+            F.count(F.lit(1)).alias("month_customer_count"),
+            F.sum("is_new").alias("new_customers"),
+        )
     )
     # Buyers so far = running sum of new buyers, over one row per month.
     up_to = Window.orderBy("month").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = F.sum(F.coalesce("new_customers", F.lit(0))).over(up_to)
     return (
-        active.join(joined, "month", "left")
-        .withColumn("before_total_customer_count", total)
+        monthly.withColumn("before_total_customer_count", F.sum("new_customers").over(up_to))
         .orderBy("month")
         .select(
             month_text("month").alias("month"),
