@@ -21,7 +21,13 @@ LINE_SCHEMA = (
 def spark(tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("shared"))
     session = local_session(
-        4, app="tests", **{"spark.sql.shuffle.partitions": "4", "spark.checkpoint.dir": folder}
+        4,
+        app="tests",
+        **{
+            "spark.sql.shuffle.partitions": "4",
+            "spark.checkpoint.dir": folder,
+            "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
+        },
     )
     yield session
     session.stop()

@@ -7,7 +7,14 @@ from pyspark.sql import functions as F
 
 from tillscope import operators as op
 from tillscope.functions import age_parts, comparable, json_items, range_label
-from tillscope.sources import register_view, update_where, written_table
+from tillscope.sources import (
+    read_parquet,
+    read_table,
+    register_view,
+    save_table,
+    update_where,
+    written_table,
+)
 
 
 def test_valid_sales_needs_status_and_columns(lines):
@@ -105,12 +112,27 @@ def test_view_comments(spark):
 def test_written_table_is_in_the_shared_folder_and_whole(spark):
     df = spark.range(10).withColumn("x", F.col("id") * 2.5)
     table = written_table(df, "probe")
-    assert f"{spark.conf.get('spark.checkpoint.dir')}/probe-" in table.inputFiles()[0]
+    assert f"{spark.conf.get('spark.checkpoint.dir')}/tillscope-probe-" in table.inputFiles()[0]
     assert table.dtypes == df.dtypes
     assert sorted(table.collect()) == sorted(df.collect())
     assert written_table(df.limit(0), "probe").count() == 0
 
 
+def test_saved_tables_keep_their_buckets(spark, lines):
+    orders = lines([(1, 1, "A", "2016-01-01"), (2, 2, "A", "2016-02-01")])
+    saved = save_table(op.user_min_order_date(orders), "first_dates", ["user_id"], 3)
+    assert saved.count() == 2
+    again = save_table(op.user_min_order_date(orders), "first_dates", ["user_id"], 3)
+    plan = again.groupBy("user_id").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    save_table(orders, "plain_lines")
+    assert read_table(spark, "plain_lines").count() == 2
+
+
+def test_tables_are_read_by_folder_and_name(spark):
+    assert read_parquet(spark, "/root/testdata/sf0.001", "nation").count() == 25
+
+
 def test_range_label_rounds_halves_up(spark):
     row = spark.range(1).select(range_label(F.lit(1.005), F.lit(3)).alias("r")).first()
     assert row.r == "1.01-3.00"

@@ -54,4 +54,51 @@ from tillscope.operators.trends import (
     total_customers,
 )
 
-__all__ = [name for name in dir() if not name.startswith("_")]
+__all__ = [
+    "add_ntile",
+    "audience_by_prediction",
+    "audience_by_products",
+    "basket_lines",
+    "between_dates",
+    "calendar_growth",
+    "category_orders",
+    "co_purchase",
+    "count_buyers",
+    "customer_tenure",
+    "customers_before",
+    "daily_sales",
+    "date_bounds",
+    "equal_count_groups",
+    "equal_width_groups",
+    "job_buyers",
+    "job_products",
+    "last_date",
+    "lift_by_buyers",
+    "lift_by_score",
+    "monthly_active_rate",
+    "monthly_customers",
+    "monthly_order_value",
+    "monthly_top_named",
+    "monthly_top_products",
+    "orders_in_range",
+    "orders_of_products",
+    "orders_on_day",
+    "orders_with_pair",
+    "pair_lines",
+    "prediction_window",
+    "product_growth",
+    "products_in_category",
+    "purchase_breadth",
+    "register_users_trait",
+    "row_count",
+    "top_products",
+    "top_rank_sum",
+    "total_customers",
+    "trait_percentile_curve",
+    "user_min_order_date",
+    "user_totals",
+    "user_traits",
+    "valid_sales",
+    "with_age",
+    "with_month",
+]

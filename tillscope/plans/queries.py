@@ -21,6 +21,8 @@ CATEGORY_1, CATEGORY_2 = "ECONOMY", "Brand#2"
 PRODUCT, PAIR = "5", ("40", "91")
 PRODUCTS = ["1", "2", "3", "4", "5"]
 JOB = "job_1"
+CAMPAIGN = [str(p) for p in range(1, 61)]
+CAMPAIGN_START, CAMPAIGN_END = "1996-01-01", "1996-12-31"
 ADDRESSES = "[2, 3]"
 TOP_RANK = 1000
 AS_OF = date(2002, 1, 1)
@@ -95,10 +97,11 @@ def _registered() -> dict[str, Query]:
     def buyers(s: SparkSession, d: str, predicted: bool, earlier: bool) -> DataFrame:
         return op.count_buyers(
             lines(s, d),
-            PRODUCTS,
-            YEAR_START,
-            YEAR_END,
+            CAMPAIGN,
+            CAMPAIGN_START,
+            CAMPAIGN_END,
             predict=predict(s, d) if predicted else None,
+            max_rank=TOP_RANK,
             min_dates=min_dates_of(s, d) if earlier else None,
         )
 

@@ -5,6 +5,7 @@ from tillscope.sources.tables import (
     read_parquet,
     read_table,
     register_view,
+    save_table,
     update_where,
     written_table,
 )
@@ -14,6 +15,7 @@ __all__ = [
     "read_parquet",
     "read_table",
     "register_view",
+    "save_table",
     "update_where",
     "written_table",
 ]

@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,6 +72,22 @@ def update_where(df: DataFrame, condition: Column, column: str, value: object) -
     return df.withColumn(column, F.when(condition, F.lit(value)).otherwise(F.col(column)))
 
 
+def save_table(
+    df: DataFrame, name: str, keys: Sequence[str] = (), buckets: int = 0, mode: str = "overwrite"
+) -> DataFrame:
+    """Save a derived table to the catalog, such as the first order date of every customer.
+
+    With ``keys`` the table is bucketed and sorted by them, and later joins and aggregations on
+    the keys need no shuffle of it. Bucket only tables that hold one row per key: a key that
+    repeats very often would make one bucket far larger than the others.
+    """
+    writer = df.write.mode(mode)
+    if keys:
+        writer = writer.bucketBy(buckets, *keys).sortBy(*keys)
+    writer.saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def written_table(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate result once to the shared folder and read it back.
 
@@ -79,7 +96,7 @@ def written_table(df: DataFrame, name: str) -> DataFrame:
     whether the table is small enough to broadcast. The files follow the retention of the shared
     folder, as checkpoints do.
     """
-    path = f"{_shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_shared_folder(df.sparkSession)}/tillscope-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
