@@ -27,9 +27,12 @@ def test_job_products_keep_duplicates(jobs, tuples):
     assert [r[1] for r in tuples(op.job_products(jobs, "job_b"))] == ["23", "23"]
 
 
-def test_job_buyers_have_one_row_per_line(lines, jobs, tuples):
+@pytest.mark.parametrize("longest", [1000, 0])
+def test_job_buyers_have_one_row_per_line(lines, jobs, tuples, monkeypatch, longest):
+    monkeypatch.setattr("tillscope.operators.campaigns.MAX_IN_LIST", longest)
     orders = lines([(1, 1, "23", "2016-01-01", 1, 1, "Open"), (1, 1, "23", "2016-01-01"), (2, 2, "1", "2016-01-01")])
     assert tuples(op.job_buyers(orders, jobs, "job_b")) == [(1,), (1,)]
+    assert tuples(op.job_buyers(orders, jobs, "no such job")) == []
 
 
 def test_audience_by_products(lines, jobs, tuples):

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillscope.functions import json_items
-from tillscope.operators.sales import between_dates
+from tillscope.operators.sales import MAX_IN_LIST, between_dates, orders_of_products
 from tillscope.sources import written_table
 
 
@@ -78,9 +78,13 @@ def prediction_window(bounds: DataFrame, job_windows: DataFrame) -> DataFrame:
 
 
 def _lines_of_job(orders: DataFrame, jobs: DataFrame, name: str) -> DataFrame:
-    # Written first: its size then tells Catalyst whether to broadcast the list.
-    listed = written_table(job_products(jobs, name).select("product_id").distinct(), "job")
-    return orders.join(listed, "product_id", "left_semi")
+    """Order lines of the job's products: a filter the scan can use, or a join for long lists."""
+    listed = job_products(jobs, name).select("product_id").dropna().distinct()
+    ids = [row.product_id for row in listed.limit(MAX_IN_LIST + 1).collect()]
+    if len(ids) <= MAX_IN_LIST:
+        return orders_of_products(orders, sorted(ids))
+    # Written, so that its size tells Catalyst whether to broadcast it.
+    return orders.join(written_table(listed, "job"), "product_id", "left_semi")
 
 
 def _known_before(min_dates: DataFrame, before: date | str) -> DataFrame:
