@@ -29,6 +29,12 @@ def test_pairs_are_counted_not_produced(lines):
     assert sorted((r.product_id, r.partner_lines) for r in details) == [("A", 1), ("A", 1), ("B", 2)]
 
 
+def test_a_product_paired_with_itself(lines):
+    orders = lines([(1, 1, "A", "2016-01-01"), (1, 1, "A", "2016-01-01"), (1, None, "A", "2016-01-01")])
+    row, = op.orders_with_pair(orders, "A", "A").collect()
+    assert (row.a_lines, row.b_lines, row.line_pairs) == (2, 2, 4)
+
+
 def test_one_order_holding_most_lines(lines, products):
     rows = [(1, 7, f"{i % 50}", "2016-01-01", 1, 2) for i in range(3000)]
     rows += [(2, 100 + i, f"{i % 50}", "2016-01-01", 1, 2) for i in range(3000)]

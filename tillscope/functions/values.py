@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def double_sum(df: DataFrame, column: str) -> Column:
-    """Sum of a column as double.
+def double_sum(df: DataFrame, column: str, where: Column | None = None) -> Column:
+    """Sum of a column as double, over the rows that meet a condition.
 
     A decimal column is summed exactly and cast once at the end, so the result does not depend on
     the order in which partitions are merged or on a task being run again.
     """
-    if isinstance(df.schema[column].dataType, T.DecimalType):
-        return F.sum(column).cast("double")
-    return F.sum(F.col(column).cast("double"))
+    value = F.col(column)
+    exact = isinstance(df.schema[column].dataType, T.DecimalType)
+    value = value if exact else value.cast("double")
+    return F.sum(value if where is None else F.when(where, value)).cast("double")
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:

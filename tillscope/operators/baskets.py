@@ -46,11 +46,26 @@ def co_purchase(orders: DataFrame, products: DataFrame, product_id: str) -> Data
 def orders_with_pair(orders: DataFrame, product_a: str, product_b: str) -> DataFrame:
     """Orders that hold both products, one row each.
 
-    Both sides are reduced to one row per order before they meet. ``line_pairs`` is the number of
-    rows a join of the single lines would have; they are counted, not produced.
+    One aggregation of the lines of both products replaces a join of the lines with each other.
+    ``line_pairs`` is the number of rows that join would have; they are counted, not produced.
     """
-    joined = _per_order(orders, product_a, "a").join(_per_order(orders, product_b, "b"), "order_id")
-    return joined.withColumn("line_pairs", F.col("a_lines") * F.col("b_lines"))
+    lines = orders.filter(
+        F.col("product_id").isin(product_a, product_b) & F.col("order_id").isNotNull()
+    )
+    sides = []
+    for side, product in (("a", product_a), ("b", product_b)):
+        mine = F.when(F.col("product_id") == product, True)
+        sides += [
+            F.count(mine).alias(f"{side}_lines"),
+            double_sum(lines, "quantity", mine).alias(f"{side}_quantity"),
+            double_sum(lines, "pay_amt", mine).alias(f"{side}_pay_amt"),
+        ]
+    return (
+        lines.groupBy("order_id")
+        .agg(*sides)
+        .filter((F.col("a_lines") > 0) & (F.col("b_lines") > 0))
+        .withColumn("line_pairs", F.col("a_lines") * F.col("b_lines"))
+    )
 
 
 def pair_lines(orders: DataFrame, product_a: str, product_b: str) -> DataFrame:
@@ -71,12 +86,3 @@ def pair_lines(orders: DataFrame, product_a: str, product_b: str) -> DataFrame:
         .withColumn("partner_lines", partners)
         .select(*orders.columns, "partner_lines")
     )
-
-
-def _per_order(orders: DataFrame, product_id: str, side: str) -> DataFrame:
-    lines = orders.filter(F.col("product_id") == product_id)
-    return lines.groupBy("order_id").agg(
-        F.count(F.lit(1)).alias(f"{side}_lines"),
-        double_sum(lines, "quantity").alias(f"{side}_quantity"),
-        double_sum(lines, "pay_amt").alias(f"{side}_pay_amt"),
-    )
