@@ -1,0 +1,59 @@
+"""A small folder of tables with NULLs, zeros, ties and keys that hold a third of the rows."""
+
+from __future__ import annotations
+
+import random
+from datetime import datetime, timedelta
+from pathlib import Path
+
+import pyarrow as pa
+import pyarrow.parquet as pq
+
+
+def write_hard_tables(folder: Path, orders: int = 500, lines: int = 3000, seed: int = 5) -> str:
+    pick = random.Random(seed)
+    maybe = lambda value: None if pick.random() < 0.05 else value
+    third = lambda hot, cold: hot if pick.random() < 0.34 else cold()
+    day = datetime(1995, 6, 1)
+    tables = {
+        "customer": {
+            "c_custkey": (pa.int64(), list(range(60))),
+            "c_nationkey": (pa.int32(), [i % 5 for i in range(60)]),
+            "c_acctbal": (pa.float64(), [float(i % 7) for i in range(60)]),
+        },
+        "part": {
+            "p_partkey": (pa.int64(), list(range(95))),
+            "p_name": (pa.string(), [maybe(f"name {i % 9}") for i in range(95)]),
+            "p_brand": (pa.string(), [f"Brand#{i % 3}" for i in range(95)]),
+            "p_type": (pa.string(), [("ECONOMY", "LARGE")[i % 2] for i in range(95)]),
+            "p_size": (pa.int32(), [maybe(i % 11) for i in range(95)]),
+        },
+        "orders": {
+            "o_orderkey": (pa.int64(), list(range(orders))),
+            "o_custkey": (pa.int64(), [maybe(third(7, lambda: pick.randrange(60))) for _ in range(orders)]),
+            "o_orderstatus": (pa.string(), [maybe(pick.choice("FFFO")) for _ in range(orders)]),
+            "o_orderdate": (
+                pa.timestamp("us"),
+                [
+                    maybe(third(datetime(1998, 4, 18), lambda: day + timedelta(pick.randrange(1500))))
+                    for _ in range(orders)
+                ],
+            ),
+        },
+        "lineitem": {
+            "l_orderkey": (pa.int64(), [third(3, lambda: pick.randrange(orders)) for _ in range(lines)]),
+            # Some parts are missing from the dimension.
+            "l_partkey": (pa.int64(), [maybe(third(5, lambda: pick.randrange(100))) for _ in range(lines)]),
+            "l_quantity": (pa.float64(), [maybe(float(pick.randrange(4))) for _ in range(lines)]),
+            "l_extendedprice": (pa.float64(), [maybe(pick.randrange(10000) / 100) for _ in range(lines)]),
+        },
+    }
+    # The hot order is a valid sale of a customer with a first order before the campaigns.
+    for column, value in (
+        ("o_custkey", 7), ("o_orderstatus", "F"), ("o_orderdate", datetime(1996, 2, 29)),
+    ):
+        tables["orders"][column][1][3] = value
+    for name, columns in tables.items():
+        table = pa.table({c: pa.array(values, kind) for c, (kind, values) in columns.items()})
+        pq.write_table(table, folder / f"{name}.parquet")
+    return str(folder)

@@ -8,7 +8,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tillscope import operators as op
-from tillscope.functions import nulls_last
 from tillscope.operators.ntile import ROW_BITS
 from tillscope.sources import written_table
 
@@ -60,7 +59,7 @@ def test_same_as_the_window_function(scattered, kind, k):
     df = scattered.createDataFrame(rows, "user_id long, v double").repartition(5)
     up = [F.col("v").asc_nulls_last(), F.col("user_id")]
     plain = df.withColumn("tile", F.ntile(k).over(Window.orderBy(*up)).cast("long"))
-    ours = op.add_ntile(df, k, nulls_last(F.col("v")), "user_id")
+    ours = op.add_ntile(df, k, [F.col("v")], "user_id")
     assert tiles_of(ours) == tiles_of(plain)
     down = [F.col("v").desc_nulls_first(), F.col("user_id")]
     plain = df.withColumn("tile", F.ntile(k).over(Window.orderBy(*down)).cast("long"))

@@ -1,4 +1,4 @@
-"""Every registered query against its SQL on the smallest tables."""
+"""Every registered query against its SQL."""
 
 from __future__ import annotations
 
@@ -6,13 +6,22 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from check import connect, spark_rows, sql_rows
+from hard_tables import write_hard_tables
 
-FOLDER = "/root/testdata/sf0.001"
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module", params=["generated", "hard"])
+def folder(request, tmp_path_factory):
+    """The smallest generated tables, and tables with NULLs and hot keys."""
+    if request.param == "generated":
+        return SMALL
+    return write_hard_tables(tmp_path_factory.mktemp("hard"))
 
 
 @pytest.fixture(scope="module")
-def connection():
-    return connect(FOLDER)
+def connection(folder):
+    return connect(folder)
 
 
 def test_names_agree():
@@ -24,8 +33,8 @@ def test_entry_has_rows(spark):
 
 
 @pytest.mark.parametrize("name", sorted(queries()))
-def test_query_matches_sql(spark, connection, name):
-    df = queries()[name](spark, FOLDER)
+def test_query_matches_sql(spark, folder, connection, name):
+    df = queries()[name](spark, folder)
     names, expected = sql_rows(connection, oracle_sql()[name])
     assert sorted(df.columns) == names
     assert spark_rows(df) == expected

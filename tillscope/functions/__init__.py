@@ -2,23 +2,23 @@
 
 from tillscope.functions.dates import age_parts, month_of, month_start, month_text, whole_days
 from tillscope.functions.values import (
+    ascending,
     comparable,
     double_sum,
     json_items,
-    nulls_last,
     range_label,
     ratio,
 )
 
 __all__ = [
     "age_parts",
+    "ascending",
     "comparable",
     "double_sum",
     "json_items",
     "month_of",
     "month_start",
     "month_text",
-    "nulls_last",
     "range_label",
     "ratio",
     "whole_days",

@@ -24,9 +24,9 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return F.try_divide(numerator.cast("double"), denominator.cast("double"))
 
 
-def nulls_last(column: Column) -> list[Column]:
-    """Ascending sort keys that put NULL after every value."""
-    return [column.isNull(), column]
+def ascending(*columns: str) -> list[Column]:
+    """Sort keys that put NULL after every value."""
+    return [F.col(column).asc_nulls_last() for column in columns]
 
 
 def range_label(left: Column, right: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillscope.constants import BIN_MARGIN
-from tillscope.functions import nulls_last, range_label
+from tillscope.functions import ascending, range_label
 from tillscope.operators.ntile import add_ntile
 from tillscope.operators.traits import TRAITS
 
@@ -19,7 +19,7 @@ def equal_count_groups(traits: DataFrame, by: str, k: int = 5) -> DataFrame:
 
     Per group: smallest and largest value, mean of the other traits, number of customers.
     """
-    tiled = add_ntile(traits, k, nulls_last(F.col(by)), "user_id")
+    tiled = add_ntile(traits, k, [F.col(by)], "user_id")
     groups = tiled.groupBy("tile").agg(
         F.min(by).alias("left_range"), F.max(by).alias("right_range"), *_group_aggregates(by)
     )
@@ -126,7 +126,7 @@ def _group_aggregates(by: str) -> list[Column]:
 
 def _labelled(groups: DataFrame, by: str) -> DataFrame:
     left, right = F.col("left_range"), F.col("right_range")
-    return groups.orderBy("left_range", "right_range").select(
+    return groups.orderBy(*ascending("left_range", "right_range")).select(
         range_label(left, right).alias("range"),
         left.cast("decimal(10,2)").alias("left_range"),
         right.cast("decimal(10,2)").alias("right_range"),

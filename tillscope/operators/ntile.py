@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillscope.functions import ascending
 from tillscope.sources import written_table
 
 # monotonically_increasing_id() keeps the row number within a partition in the lower 33 bits.
@@ -18,8 +19,8 @@ def add_ntile(
 ) -> DataFrame:
     """Add the number of the k equal-count tiles a row falls into, from 1.
 
-    The rows are ordered by ``order`` (ascending; negate a number to sort it down) and then by
-    ``tie``, a column unique to the row, so the tiles are the same on every run.
+    The rows are ordered by ``order`` (ascending, NULL last; negate a number to sort it down) and
+    then by ``tie``, a column unique to the row, so the tiles are the same on every run.
 
     A plain ``ntile`` window would send all rows to one task. Here the table is sorted the
     distributed way, by ranges of the sort key, and written once with each row's number within
@@ -31,7 +32,7 @@ def add_ntile(
     keys = {f"_k{i}": key for i, key in enumerate([*order, F.col(tie)])}
     numbered = (
         df.withColumns(keys)
-        .orderBy(*keys)
+        .orderBy(*ascending(*keys))
         .withColumn("_id", F.monotonically_increasing_id())
         .select(*df.columns, "_id")
     )

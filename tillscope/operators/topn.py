@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillscope.constants import OTHERS_ALL_TIME, OTHERS_MONTHLY
-from tillscope.functions import month_text
+from tillscope.functions import ascending, month_text
 from tillscope.operators.sales import with_month
 
 
@@ -56,7 +56,7 @@ def monthly_top_products(
         .select(F.lit(n + 1).alias("orders"), "month", F.lit(label).alias("product_id"), value)
     )
     result = first.select("orders", "month", "product_id", value).unionByName(others)
-    return result.orderBy("month", "orders").withColumn("month", month_text("month"))
+    return result.orderBy(*ascending("month", "orders")).withColumn("month", month_text("month"))
 
 
 def monthly_top_named(
@@ -76,7 +76,7 @@ def monthly_top_named(
             F.coalesce("product_name", F.lit(label)).alias("product_name"),
             "num",
         )
-        .orderBy("month", "orders")
+        .orderBy(*ascending("month", "orders"))
     )
 
 

@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillscope.functions import double_sum, month_start, month_text, ratio
+from tillscope.functions import ascending, double_sum, month_start, month_text, ratio
 from tillscope.operators.sales import (
     between_dates,
     orders_of_products,
@@ -31,7 +31,7 @@ def monthly_order_value(orders: DataFrame, drop_nulls: bool = True) -> DataFrame
     return (
         customers.groupBy("month")
         .agg(ratio(F.sum("order_avg"), F.count("user_id")).alias("total_user_order_avg"))
-        .orderBy("month")
+        .orderBy(*ascending("month"))
         .withColumn("month", month_text("month"))
     )
 
@@ -54,13 +54,13 @@ def purchase_breadth(
         return (
             customers.groupBy("month", category.alias("category"))
             .agg(F.count(F.lit(1)).alias("num"))
-            .orderBy("month", "category")
+            .orderBy(*ascending("month", "category"))
             .withColumn("month", month_text("month"))
         )
     return (
         customers.groupBy("month", "bought")
         .agg(F.count(F.lit(1)).alias("num"))
-        .orderBy("month", "bought")
+        .orderBy(*ascending("month", "bought"))
         .select(month_text("month").alias("month"), category.alias("category"), "num")
     )
 
@@ -71,14 +71,14 @@ def product_growth(orders: DataFrame, products: DataFrame) -> DataFrame:
     monthly = sales.groupBy("product_id", "month").agg(
         double_sum(sales, "quantity").alias("sales_num")
     )
-    before = F.lag("sales_num").over(Window.partitionBy("product_id").orderBy("month"))
+    before = F.lag("sales_num").over(Window.partitionBy("product_id").orderBy(*ascending("month")))
     names = products.select(F.col("product_id").cast("string").alias("product_id"), "product_name")
     return (
         monthly.withColumn("before", before)
         # An unknown product has no previous month.
         .withColumn("before", F.when(F.col("product_id").isNotNull(), F.col("before")))
         .join(names, "product_id", "left")
-        .orderBy("product_id", "month")
+        .orderBy(*ascending("product_id", "month"))
         .select(
             month_text("month").alias("month"),
             "product_id",
@@ -108,7 +108,7 @@ def calendar_growth(
     before = F.when(follows, F.lag("sales_num").over(by_month))
     return (
         monthly.withColumn("before", before)
-        .orderBy("month")
+        .orderBy(*ascending("month"))
         .select(
             month_text("month").alias("month"),
             "sales_num",
@@ -129,7 +129,7 @@ def daily_sales(
     return (
         sales.groupBy("pay_date")
         .agg(double_sum(sales, "quantity").alias("sales_num"))
-        .orderBy("pay_date")
+        .orderBy(*ascending("pay_date"))
     )
 
 
@@ -175,7 +175,7 @@ def monthly_active_rate(orders: DataFrame, month: str | None = None) -> DataFram
     up_to = Window.orderBy("month").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         monthly.withColumn("before_total_customer_count", F.sum("new_customers").over(up_to))
-        .orderBy("month")
+        .orderBy(*ascending("month"))
         .select(
             month_text("month").alias("month"),
             "month_customer_count",
@@ -191,7 +191,7 @@ def monthly_customers(orders: DataFrame) -> DataFrame:
         with_month(valid_sales(orders, need=("pay_date", "product_id")))
         .groupBy("month")
         .agg(F.count_distinct("user_id").alias("customer_count"))
-        .orderBy("month")
+        .orderBy(*ascending("month"))
         .withColumn("month", month_text("month"))
     )
 
