@@ -33,6 +33,16 @@ def test_the_rest_is_summed(lines, tuples):
     assert tuples(op.top_products(orders, n=1, label="x")) == [(1, "p1", 7.0), (2, "x", 21.0)]
 
 
+def test_a_large_n_is_not_broadcast(lines, spark, tuples):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    orders = of_quantities(lines, range(1, 1103))
+    top = op.monthly_top_products(orders, n=1100)
+    assert "Broadcast" not in top._jdf.queryExecution().executedPlan().toString()
+    assert tuples(top)[-1] == (1101, "2016-01", OTHERS_MONTHLY, 3.0)
+    assert tuples(op.top_products(orders, n=1100))[-1] == (1101, "others", 3.0)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_ties_go_to_the_smaller_product_id(lines, tuples):
     orders = of_quantities(lines, [2] * 7)
     assert [r[1] for r in tuples(op.top_products(orders, n=2))] == ["p1", "p2", "others"]

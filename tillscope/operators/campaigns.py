@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
 from datetime import date
 
 from pyspark.sql import DataFrame
@@ -48,9 +48,8 @@ def audience_by_prediction(
     ``addresses`` is a JSON array held as text. The buyers are reduced to one row each before the
     joins, so a customer with very many lines weighs no more than any other.
     """
-    spark = sales.sparkSession
-    wanted = spark.range(1).select(F.explode(json_items(F.lit(addresses))).alias("address_1"))
-    local = clients.join(F.broadcast(wanted), "address_1", "left_semi")  # the argument's entries
+    wanted = [a if isinstance(a, str) else json.dumps(a) for a in json.loads(addresses)]
+    local = clients.filter(F.col("address_1").isin(wanted))
     buyers = between_dates(sales, start, end).select("user_id").distinct()
     return (
         buyers.join(predict.filter(F.col("rank") <= top), "user_id", "left_semi")

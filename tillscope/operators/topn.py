@@ -12,6 +12,9 @@ from tillscope.constants import OTHERS_ALL_TIME, OTHERS_MONTHLY
 from tillscope.functions import ascending, month_text
 from tillscope.operators.sales import with_month
 
+# Up to this n the best rows are broadcast; a larger n leaves the kind of join to Catalyst.
+MAX_BROADCAST_N = 1000
+
 
 def top_products(sales: DataFrame, n: int = 5, label: str = OTHERS_ALL_TIME) -> DataFrame:
     """Top ``n`` products by quantity over all time; row ``n + 1`` sums up the others.
@@ -20,7 +23,7 @@ def top_products(sales: DataFrame, n: int = 5, label: str = OTHERS_ALL_TIME) ->
     """
     counts = sales.groupBy("product_id").agg(F.sum("quantity").alias("count"))
     first = counts.orderBy(*_best_first("count")).limit(n)
-    rest = _outside(counts, first, ["product_id"])
+    rest = _outside(counts, first, ["product_id"], n)
     ranked = first.select(
         F.row_number().over(Window.orderBy(*_best_first("count"))).alias("orders"),
         "product_id",
@@ -49,7 +52,7 @@ def monthly_top_products(
     first = counts.withColumn("orders", F.row_number().over(by_month)).filter(
         F.col("orders") <= n
     )
-    rest = _outside(counts, first, ["month", "product_id"])
+    rest = _outside(counts, first, ["month", "product_id"], n)
     others = (
         rest.groupBy("month")
         .agg(F.sum(value).alias(value))
@@ -85,14 +88,16 @@ def _best_first(value: str) -> list[Column]:
     return [F.col(value).desc_nulls_first(), F.col("product_id").asc_nulls_last()]
 
 
-def _outside(counts: DataFrame, first: DataFrame, keys: list[str]) -> DataFrame:
+def _outside(counts: DataFrame, first: DataFrame, keys: list[str], n: int) -> DataFrame:
     """Rows of ``counts`` whose keys are not among the first ones; NULL keys match NULL.
 
     Not an anti join: Catalyst would move it below the aggregation and scan the sales once more,
-    whereas here both branches share one shuffle of the counts. The broadcast holds n rows, or n
-    rows per calendar month, whatever the size of the data.
+    whereas here both branches share one shuffle of the counts. The first ones are n rows, or n
+    rows per calendar month, whatever the size of the data; for a small n they are broadcast.
     """
     marked = first.select(*[F.col(k).alias(f"first_{k}") for k in keys], F.lit(True).alias("is_first"))
+    if n <= MAX_BROADCAST_N:
+        marked = F.broadcast(marked)
     same = [F.col(k).eqNullSafe(F.col(f"first_{k}")) for k in keys]
-    joined = counts.join(F.broadcast(marked), reduce(and_, same), "left")
+    joined = counts.join(marked, reduce(and_, same), "left")
     return joined.filter(F.col("is_first").isNull()).select(counts.columns)
