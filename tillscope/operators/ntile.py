@@ -1,4 +1,4 @@
-"""NTILE over a whole table without sorting it in one task."""
+"""Row numbers and NTILE over a whole table without sorting it in one task."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillscope.functions import ascending
 from tillscope.sources import written_table
@@ -19,17 +20,28 @@ def add_ntile(
 ) -> DataFrame:
     """Add the number of the k equal-count tiles a row falls into, from 1.
 
-    The rows are ordered by ``order`` (ascending, NULL last; negate a number to sort it down) and
-    then by ``tie``, a column unique to the row, so the tiles are the same on every run.
+    The rows are ordered by ``order`` (ascending, NULL last; negate a number to sort it down), then
+    by ``tie``, then by the other columns, so the tiles are the same on every run even if ``tie``
+    repeats: rows that still tie are equal.
+    """
+    rest = [
+        f.name for f in df.schema.fields if f.name != tie and not isinstance(f.dataType, T.MapType)
+    ]
+    placed = add_position(df, [*order, F.col(tie), *[F.col(c) for c in rest]], "_position", "_total")
+    tile = _tile(F.col("_position"), F.col("_total"), k)
+    return placed.select(*df.columns, tile.alias(name))
+
 
-    A plain ``ntile`` window would send all rows to one task. Here the table is sorted the
-    distributed way, by ranges of the sort key, and written once with each row's number within
-    its partition. The sizes of the partitions then turn that into the position in the whole
-    table. Since ``tie`` is part of the sort key, one value shared by a third of the rows is cut
-    into several ranges like any other stretch. The positions are read from the written table, so
-    a task that runs again cannot shift them.
+def add_position(df: DataFrame, order: Sequence[Column], position: str, total: str) -> DataFrame:
+    """Add each row's number in the order (from 0; ascending, NULL last) and the number of rows.
+
+    A plain window would send all rows to one task. Here the table is sorted the distributed way,
+    by ranges of the sort key, and written once with each row's number within its partition. The
+    sizes of the partitions then turn that into the position in the whole table. One value shared
+    by a third of the rows is cut into several ranges if a later sort key tells its rows apart. The
+    positions are read from the written table, so a task that runs again cannot shift them.
     """
-    keys = {f"_k{i}": key for i, key in enumerate([*order, F.col(tie)])}
+    keys = {f"_k{i}": key for i, key in enumerate(order)}
     numbered = (
         df.withColumns(keys)
         .orderBy(*ascending(*keys))
@@ -47,10 +59,11 @@ def add_ntile(
     offsets = sizes.select(
         "_part",
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
-        F.sum("_rows").over(Window.partitionBy()).alias("_total"),
+        F.sum("_rows").over(Window.partitionBy()).alias(total),
+    )
+    return placed.join(F.broadcast(offsets), "_part").select(
+        *df.columns, (F.col("_before") + F.col("_row")).alias(position), total
     )
-    tile = _tile(F.col("_before") + F.col("_row"), F.col("_total"), k)
-    return placed.join(F.broadcast(offsets), "_part").select(*df.columns, tile.alias(name))
 
 
 def _tile(position: Column, total: Column, k: int) -> Column:

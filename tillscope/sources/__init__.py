@@ -1,21 +1,25 @@
 """Reading and writing tables."""
 
 from tillscope.sources.tables import (
+    intermediate_tables,
     read_jdbc,
     read_parquet,
     read_table,
     register_view,
     save_table,
+    shared_folder,
     update_where,
     written_table,
 )
 
 __all__ = [
+    "intermediate_tables",
     "read_jdbc",
     "read_parquet",
     "read_table",
     "register_view",
     "save_table",
+    "shared_folder",
     "update_where",
     "written_table",
 ]

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,27 +86,56 @@ def save_table(
     return df.sparkSession.table(name)
 
 
+_open_scopes: list[list[str]] = []
+
+
 def written_table(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate result once to the shared folder and read it back.
 
     Used where a result far smaller than the fact table is read several times: the fact table is
     then scanned once, a lost executor costs no recomputation, and the file sizes tell Catalyst
-    whether the table is small enough to broadcast. The files follow the retention of the shared
-    folder, as checkpoints do.
+    whether the table is small enough to broadcast. The files stay until the caller's
+    :func:`intermediate_tables` scope ends; without one they follow the folder's retention.
     """
-    path = f"{_shared_folder(df.sparkSession)}/tillscope-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/tillscope-{name}-{uuid.uuid4().hex}"
+    if _open_scopes:
+        _open_scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder:
-        return folder
-    if not context.master.startswith("local"):
+@contextmanager
+def intermediate_tables(spark: SparkSession) -> Iterator[list[str]]:
+    """Remove, at the end, every intermediate table written inside, on any file system.
+
+    Read or save the results before the scope ends: they are computed from these tables.
+    """
+    paths: list[str] = []
+    _open_scopes.append(paths)
+    try:
+        yield paths
+    finally:
+        _open_scopes.remove(paths)
+        for path in paths:
+            folder, files = _file_system(spark, path)
+            files.delete(folder, True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: ``spark.checkpoint.dir``, else inside the warehouse.
+
+    Every executor must reach it, so a machine-local folder is refused unless the master is local.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    folder = folder or spark.conf.get("spark.sql.warehouse.dir")
+    _, files = _file_system(spark, folder)
+    local = spark.sparkContext.master.startswith("local")
+    if files.getUri().getScheme() == "file" and not local:
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="tillscope-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    context.setCheckpointDir(folder)
-    return context.getCheckpointDir()
+    return folder.rstrip("/")
+
+
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(context._jsc.hadoopConfiguration())
