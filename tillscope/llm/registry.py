@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tillscope.llm import mixing, url_filter
+from tillscope.llm import bpe, mixing, url_filter
 from tillscope.llm.sql import ORACLES as _SQL
 from tillscope.sources import read_parquet
 
@@ -27,9 +27,14 @@ def op6_filter_urls(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.filter_urls(pages, url_filter.rules(spark))
 
 
+def op9_encode_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.digests(read_parquet(spark, folder, "documents"), corpus_pipeline.TOKENIZER)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op6_filter_urls": op6_filter_urls,
+    "op9_encode_bpe": op9_encode_bpe,
     "pipeline": corpus_pipeline.run,
 }
 
