@@ -29,7 +29,7 @@ WORD_END = "</w>"
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Information separators: white space to Python, but not to the tokenizer format.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
-SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 #: Most words and neighbour pairs that a worker remembers before it starts afresh.
 REMEMBERED = 500_000
