@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillscope.llm import bpe, mixing
+from tillscope.llm import bpe, mixing, toxicity
 from tillscope.sources import read_parquet, written_table
 
 #: The vocabulary file; it is read on the driver and sent to the tasks.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, read_parquet(spark, sf_dir, "labels"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs)
 
@@ -20,7 +24,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, TOKENIZER, keep_ids=True)
 
 
-STAGES = [("mix", mix), ("encode", encode)]
+STAGES = [("toxicity", drop_toxic), ("mix", mix), ("encode", encode)]
 ORACLE_SQL = None
 
 

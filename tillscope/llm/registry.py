@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tillscope.llm import bpe, mixing, url_filter
+from tillscope.llm import bpe, common, mixing, quality, toxicity, url_filter
 from tillscope.llm.sql import ORACLES as _SQL
 from tillscope.sources import read_parquet
 
@@ -22,6 +22,27 @@ def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _predicted(scored: DataFrame, threshold: float) -> DataFrame:
+    return scored.select(
+        "doc_id",
+        common.held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+    )
+
+
+def op3_score_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_parquet(spark, folder, "documents")
+    model = quality.train(docs, read_parquet(spark, folder, "labels"))
+    return _predicted(quality.add_score(docs, model), quality.THRESHOLD)
+
+
+def op4_score_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_parquet(spark, folder, "documents")
+    model = toxicity.train(docs, read_parquet(spark, folder, "labels"))
+    return _predicted(toxicity.add_score(docs, model), toxicity.THRESHOLD)
+
+
 def op6_filter_urls(spark: SparkSession, folder: str) -> DataFrame:
     pages = read_parquet(spark, folder, "pages")
     return url_filter.filter_urls(pages, url_filter.rules(spark))
@@ -33,6 +54,8 @@ def op9_encode_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
+    "op3_score_quality": op3_score_quality,
+    "op4_score_toxicity": op4_score_toxicity,
     "op6_filter_urls": op6_filter_urls,
     "op9_encode_bpe": op9_encode_bpe,
     "pipeline": corpus_pipeline.run,
