@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tillscope.llm import bpe, common, mixing, quality, toxicity, url_filter
+from tillscope.llm import bpe, common, mixing, quality, simhash, toxicity, url_filter
 from tillscope.llm.sql import ORACLES as _SQL
 from tillscope.sources import read_parquet
 
@@ -43,6 +43,12 @@ def op4_score_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return _predicted(toxicity.add_score(docs, model), toxicity.THRESHOLD)
 
 
+def op5_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
+    grouped = simhash.group(read_parquet(spark, folder, "documents"))
+    digits = F.lpad(F.lower(F.hex("fingerprint")), 16, "0")
+    return grouped.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
 def op6_filter_urls(spark: SparkSession, folder: str) -> DataFrame:
     pages = read_parquet(spark, folder, "pages")
     return url_filter.filter_urls(pages, url_filter.rules(spark))
@@ -56,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_score_quality": op3_score_quality,
     "op4_score_toxicity": op4_score_toxicity,
+    "op5_simhash_groups": op5_simhash_groups,
     "op6_filter_urls": op6_filter_urls,
     "op9_encode_bpe": op9_encode_bpe,
     "pipeline": corpus_pipeline.run,
