@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillscope.llm import bpe, mixing, simhash, toxicity
+from tillscope.llm import bpe, line_dedup, mixing, simhash, toxicity
 from tillscope.sources import read_parquet, written_table
 
 #: The vocabulary file; it is read on the driver and sent to the tasks.
@@ -16,6 +16,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs, read_parquet(spark, sf_dir, "labels"))
 
 
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(docs)
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.drop_near_copies(docs)
 
@@ -28,7 +32,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, TOKENIZER, keep_ids=True)
 
 
-STAGES = [("toxicity", drop_toxic), ("near_copies", drop_near_copies), ("mix", mix), ("encode", encode)]
+STAGES = [("toxicity", drop_toxic), ("lines", dedup_lines), ("near_copies", drop_near_copies), ("mix", mix), ("encode", encode)]
 ORACLE_SQL = None
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tillscope.llm import bpe, common, minhash, mixing, quality, simhash, toxicity, url_filter
+from tillscope.llm import bpe, common, line_dedup, minhash, mixing, quality, simhash, toxicity, url_filter
 from tillscope.llm.sql import ORACLES as _SQL
 from tillscope.sources import read_parquet
 
@@ -54,6 +54,10 @@ def op6_filter_urls(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.filter_urls(pages, url_filter.rules(spark))
 
 
+def op7_dedup_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.report(read_parquet(spark, folder, "documents"))
+
+
 def op8_minhash_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.compare_edited(read_parquet(spark, folder, "documents"))
 
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_score_toxicity": op4_score_toxicity,
     "op5_simhash_groups": op5_simhash_groups,
     "op6_filter_urls": op6_filter_urls,
+    "op7_dedup_lines": op7_dedup_lines,
     "op8_minhash_fingerprints": op8_minhash_fingerprints,
     "op9_encode_bpe": op9_encode_bpe,
     "pipeline": corpus_pipeline.run,
