@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tillscope.llm import bpe, common, line_dedup, minhash, mixing, quality, simhash, toxicity, url_filter
+from tillscope.llm import bpe, common, embedding_dedup, line_dedup, minhash, mixing, quality, simhash, toxicity, url_filter
 from tillscope.llm.sql import ORACLES as _SQL
 from tillscope.sources import read_parquet
 
 
+def op1_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read_parquet(spark, folder, "embeddings"))
+
+
 def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_parquet(spark, folder, "documents")
     sized = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
@@ -67,6 +71,7 @@ def op9_encode_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op2_mix_sources": op2_mix_sources,
     "op3_score_quality": op3_score_quality,
     "op4_score_toxicity": op4_score_toxicity,
