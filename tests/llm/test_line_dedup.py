@@ -61,7 +61,9 @@ def test_short_runs_and_first_places_stay(spark, documents):
     docs = documents(
         (5, f"{long}\nx"), (2, f"a\n{long}"), (3, f"{short}\nb"), (4, f"{short}\nc"), (6, long), (7, f"{long}\n{long}"),
     )
-    assert texts_of(line_dedup.dedup_lines(docs)) == {
+    out = line_dedup.dedup_lines(docs)
+    assert all(r.n_chars == len(r.text) for r in out.collect())
+    assert texts_of(out) == {
         2: f"a\n{long}", 3: f"{short}\nb", 4: f"{short}\nc", 5: "x", 6: "", 7: "",
     }
 

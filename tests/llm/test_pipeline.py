@@ -1,0 +1,105 @@
+from __future__ import annotations
+
+import hashlib
+import re
+import struct
+from collections import Counter
+
+import numpy as np
+import pytest
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from tests.llm.test_simhash import by_definition, smallest_reachable
+from tillscope.llm import line_dedup, mixing, simhash, toxicity
+
+FOLDER = "/root/testdata/sf0.01"
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+@pytest.fixture(scope="module")
+def stages(spark, tmp_path_factory):
+    """The documents, then what each stage returned, written and read again."""
+    folder = tmp_path_factory.mktemp("pipeline")
+    docs = [spark.read.parquet(f"{FOLDER}/documents.parquet")]
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs[-1], FOLDER).write.parquet(str(folder / name))
+        docs.append(spark.read.parquet(str(folder / name)))
+    return docs
+
+
+def by_id(df):
+    return {r.doc_id: r for r in df.collect()}
+
+
+def test_names_and_columns(stages):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "lines", "near_copies", "mix", "encode"]
+    assert all(df.columns == COLUMNS for df in stages[:-1])
+
+
+def test_toxic_documents_go_and_clean_ones_stay(spark, stages):
+    before, after = by_id(stages[0]), by_id(stages[1])
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    scored = toxicity.add_score(stages[0], toxicity.train(stages[0], labels)).collect()
+    assert set(after) == {r.doc_id for r in scored if r.score < 0.5}
+    assert all(after[i] == before[i] for i in after)
+    clean = [r.doc_id for r in labels.where("toxic = 0").collect()]
+    assert sum(i in after for i in clean) > 0.98 * len(clean)
+
+
+def test_repeated_lines_go(stages):
+    before, after = by_id(stages[1]), by_id(stages[2])
+    report = {r.doc_id: r for r in line_dedup.report(stages[1]).collect()}
+    assert set(after) == set(before)
+    for i, r in after.items():
+        assert r.text == report[i].text and r.n_chars == len(r.text)
+        assert report[i].removed or r == before[i]
+    assert sum(bool(r.removed) for r in report.values()) > 30
+
+
+def test_one_of_each_group_stays(stages):
+    before, after = by_id(stages[2]), by_id(stages[3])
+    ids = sorted(before)
+    marks = np.array([by_definition(before[i].text) for i in ids], dtype=np.uint64)
+    near = np.argwhere(simhash.distances(marks[:, None], marks[None, :]) <= 3)
+    root = smallest_reachable(ids, [(ids[a], ids[b]) for a, b in near])
+    assert set(after) == {i for i in ids if root[i] == i} and len(after) < len(before)
+    assert all(after[i] == before[i] for i in after)
+
+
+def test_sources_reach_their_targets(stages):
+    copies = Counter(r.doc_id for r in stages[4].collect())
+    before = by_id(stages[3])
+    sizes = {i: len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for i, r in before.items()}
+    assert set(copies) <= set(before)
+    total = sum(sizes.values())
+    taken = sum(sizes[i] * n for i, n in copies.items())
+    assert abs(taken - mixing.SHARE * total) < 0.1 * total
+    for r in mixing.source_rates(stages[3]).collect():
+        own = {i for i, d in before.items() if d.source == r.source}
+        assert all(int(r.rate) <= copies[i] <= int(r.rate) + 1 for i in own)
+
+
+def test_ids_are_exact(stages):
+    theirs = Tokenizer.from_file(corpus_pipeline.TOKENIZER)
+    texts = {r.doc_id: r.text for r in stages[3].collect()}
+    rows = stages[5].collect()
+    assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in stages[4].collect())
+    for r in {r.doc_id: r for r in rows}.values():
+        ids = theirs.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert (r.ids, r.n_tokens) == (ids, len(ids))
+        assert r.ids_sha256 == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
+        decoded = theirs.decode(ids, skip_special_tokens=False)
+        assert r.decoded_sha256 == hashlib.sha256(decoded.encode()).hexdigest()
+
+
+def test_run_is_the_stages_in_turn(spark, stages):
+    key = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    ours = Counter(map(tuple, corpus_pipeline.run(spark, FOLDER).select(*key).collect()))
+    assert ours == Counter(map(tuple, stages[-1].select(*key).collect()))
+
+
+def test_no_documents(spark, documents, tmp_path):
+    spark.read.parquet(f"{FOLDER}/labels.parquet").where("false").coalesce(1).write.parquet(str(tmp_path / "labels.parquet"))
+    documents((1, "x")).where("false").write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []

@@ -163,12 +163,12 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     An empty table stays empty.
     """
     marked = with_removals(docs)
-    new = remove_lines(F.col("text"), F.col("removed"))
-    changed = {"text": new}
+    marked = marked.withColumn("_left", remove_lines(F.col("text"), F.col("removed")))
+    changed = {"text": F.col("_left")}
     if "n_chars" in docs.columns:
-        size = F.length(new).cast(docs.schema["n_chars"].dataType)
+        size = F.length("_left").cast(docs.schema["n_chars"].dataType)
         changed["n_chars"] = F.when(F.col("removed").isNull(), F.col("n_chars")).otherwise(size)
-    return marked.withColumns(changed).select(*docs.columns)
+    return marked.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
 
 
 def report(docs: DataFrame) -> DataFrame:

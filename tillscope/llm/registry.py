@@ -8,7 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tillscope.llm import bpe, common, embedding_dedup, line_dedup, minhash, mixing, quality, simhash, toxicity, url_filter
+from tillscope.llm import (
+    bpe,
+    common,
+    embedding_dedup,
+    license_scan,
+    line_dedup,
+    minhash,
+    mixing,
+    quality,
+    simhash,
+    toxicity,
+    url_filter,
+)
 from tillscope.llm.sql import ORACLES as _SQL
 from tillscope.sources import read_parquet
 
@@ -70,6 +82,10 @@ def op9_encode_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(read_parquet(spark, folder, "documents"), corpus_pipeline.TOKENIZER)
 
 
+def op10_scan_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan_licenses(read_parquet(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_mix_sources": op2_mix_sources,
@@ -80,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_dedup_lines": op7_dedup_lines,
     "op8_minhash_fingerprints": op8_minhash_fingerprints,
     "op9_encode_bpe": op9_encode_bpe,
+    "op10_scan_licenses": op10_scan_licenses,
     "pipeline": corpus_pipeline.run,
 }
 
