@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillscope.llm.common import WORD, text_or_empty
+from tillscope.llm.common import WORD, let, text_or_empty
 from tillscope.sources import written_table
 
 #: Words of a gram at least, and words over which a window of grams starts.
-GRAM, WINDOW = 25, 25
+GRAM = 25
+WINDOW = GRAM
 #: A repeated run of so many words is deleted. Every run of GRAM + WINDOW words shares a fingerprint.
 LEAST_WORDS = GRAM + WINDOW
 #: Words around a gram that an extension looks at: enough to reach the next fingerprint of the run.
@@ -17,54 +18,85 @@ REACH = 2 * LEAST_WORDS
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """The winnowed fingerprints of each document's lines, each with the lines around it.
-
-    A gram starts at every line that has words and takes lines until it has ``GRAM`` words; its hash
-    is the MD5 of its lines' MD5s. Of the grams that start within ``WINDOW`` words the smallest hash
-    is selected, of equals the first. Two equal runs of ``GRAM + WINDOW`` words hold the same
-    window, hence the same selected gram. Lines without words are passed over.
+    """Each document's lines and their winnowed fingerprints, as arrays: no shuffle, a row per row.
+
+    Columns ``id``, ``mark`` (hash of the text), and of the lines that have words ``line`` (number),
+    ``words`` and ``hash``; ``picks`` are the fingerprints: place ``i`` in these arrays and 128 bits
+    ``a``, ``b`` of the gram's lines. A gram starts at every line and takes lines until it has
+    ``GRAM`` words. A window is the grams that start within the first ``WINDOW`` words after a
+    line's beginning; its smallest gram is picked, of equals the first. Two equal runs of
+    ``GRAM + WINDOW`` words hold the same window, hence the same pick. Each gram looks at ``GRAM``
+    lines at most, so a document costs time in proportion to its lines.
     """
-    own = ["id", "mark"]
+    def entry(content: Column, number: Column) -> Column:
+        return F.struct(
+            number.alias("line"),
+            F.regexp_count(content, F.lit(WORD)).alias("words"),
+            F.xxhash64(content).alias("hash"),
+            F.xxhash64(F.lit(1), content).alias("check"),
+        )
+
     text = text_or_empty()
-    lines = docs.select(
+    lines = F.filter(F.transform(F.split(text, "\n"), entry), lambda x: x["words"] > 0)
+
+    def columns(rows: Column) -> Column:
+        return F.struct(*[rows[name].alias(name) for name in ("line", "words", "hash", "check")])
+
+    def reached(words: Column, i: Column) -> Column:
+        return _lines_of(F.slice(words, i + 1, GRAM), GRAM)
+
+    def with_spans(own: Column) -> Column:
+        spans = F.transform(own["words"], lambda _, i: reached(own["words"], i))
+        return let(spans, lambda spans: let(grams(own, spans), lambda g: F.struct(
+            own["line"].alias("line"), own["words"].alias("words"), own["hash"].alias("hash"),
+            picks(spans, g).alias("picks"),
+        )))
+
+    def grams(own: Column, spans: Column) -> Column:
+        def gram(span: Column, i: Column) -> Column:
+            return F.when(span["total"] >= GRAM, F.struct(
+                F.xxhash64(F.slice(own["hash"], i + 1, span["n"])).alias("a"),
+                F.xxhash64(F.slice(own["check"], i + 1, span["n"])).alias("b"),
+                i.alias("i"),
+            ))
+
+        return F.transform(spans, gram)
+
+    def picks(spans: Column, found: Column) -> Column:
+        # The lines that start within WINDOW words are the gram's own lines, as WINDOW is GRAM.
+        smallest = F.transform(spans, lambda span, i: F.array_min(F.slice(found, i + 1, span["n"])))
+        return F.array_distinct(F.filter(smallest, lambda p: p.isNotNull()))
+
+    own = let(let(lines, columns), with_spans)
+    return docs.select(
         F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("id"),
         F.xxhash64(text).alias("mark"),
-        F.posexplode(F.split(text, "\n")).alias("line", "content"),
-    ).select(
-        *own, "line",
-        F.unhex(F.md5("content")).alias("hash"),
-        F.regexp_count("content", F.lit(WORD)).cast("long").alias("words"),
-    ).where("words > 0").dropDuplicates([*own, "line"])
-    by_line = Window.partitionBy(*own).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    placed = lines.withColumn("at", F.coalesce(F.sum("words").over(by_line), F.lit(0)))
-
-    def span(first: int, last: int):
-        # Every line has words, so `at` rises from line to line and a range of it is a run of lines.
-        return Window.partitionBy(*own).orderBy("at").rangeBetween(first, last)
-
-    line = F.struct("line", "hash", "words")
-    taken = F.collect_list("hash").over(span(0, GRAM - 1))
-    long_enough = F.sum("words").over(span(0, GRAM - 1)) >= GRAM
-    gram = F.aggregate(taken, F.lit(b""), lambda all_, h: F.concat(all_, h))
-    grams = placed.select(
-        "*",
-        F.when(long_enough, F.unhex(F.md5(gram))).alias("gram"),
-        F.collect_list(line).over(span(-REACH, -1)).alias("before"),
-        F.collect_list(line).over(span(0, GRAM + REACH)).alias("after"),
-    )
-    smallest = F.min(F.when(F.col("gram").isNotNull(), F.struct("gram", "at")))
-    picked = grams.withColumn("pick", smallest.over(span(0, WINDOW - 1))["at"])
-    pickers = F.collect_list("pick").over(span(1 - WINDOW, 0))
-    return picked.withColumn("selected", F.array_contains(pickers, F.col("at"))).where(
-        "selected and gram is not null"
-    ).select(*own, "at", "gram", "before", "after")
+        own.alias("own"),
+    ).select("id", "mark", "own.*")
+
+
+def _lines_of(words: Column, least: int) -> Column:
+    """Number ``n`` of lines from the start until they have ``least`` words, and their ``total``."""
+    def step(s: Column, w: Column) -> Column:
+        more = F.struct((s["n"] + 1).alias("n"), (s["total"] + w).alias("total"))
+        return F.when(s["total"] >= least, s).otherwise(more)
+
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("total"))
+    return F.aggregate(words, start, step)
 
 
 def _equal_steps(a: Column, b: Column) -> Column:
-    """Number of lines that agree from the start of both lists."""
-    same = F.zip_with(a, b, lambda x, y: F.coalesce(x["hash"] == y["hash"], F.lit(False)))
-    first_odd = F.array_position(same, False)
-    return F.when(first_odd > 0, first_odd - 1).otherwise(F.size(same)).cast("int")
+    """Number of entries that agree from the start of both arrays."""
+    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    return let(same, lambda s: let(
+        F.array_position(s, False), lambda odd: F.when(odd > 0, odd - 1).otherwise(F.size(s)).cast("int")
+    ))
+
+
+def _before(values: Column, i: Column) -> Column:
+    """Entries before place ``i``, nearest first; ``REACH`` words are never more than so many lines."""
+    n = F.least(i, F.lit(REACH))
+    return F.reverse(F.slice(values, i - n + 1, n))
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
@@ -74,37 +106,42 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     numbers from 0), ``words`` and ``source`` (id of the document that holds the run first). The
     order of places is by id, text hash and line. Each fingerprint is compared with its first
     occurrence only, one row however many documents share it: the lines around both are walked in
-    either direction while they agree.
+    either direction while they agree. All tables here grow with the corpus, so the joins are
+    shuffled by hint rather than broadcast while they happen to be small; only fingerprints and
+    line hashes travel, no texts.
     """
-    found = written_table(fingerprints(docs), "line-fingerprints")
-    place = F.struct("id", "mark", "at")
-    lead = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("lead"))
-    lead = written_table(lead.where("n > 1").select("gram", "lead"), "line-leaders")
-    around = (
-        found.join(lead, "gram")
-        .where(place == F.col("lead"))
-        .select("gram", "lead", F.col("before").alias("lead_before"), F.col("after").alias("lead_after"))
-    )
-    matched = found.join(around, "gram").where(place != F.col("lead"))
-    back = _equal_steps(F.reverse("before"), F.reverse("lead_before"))
-    ahead = _equal_steps(F.col("after"), F.col("lead_after"))
-    run = F.concat(
-        F.slice("before", F.size("before") - F.col("back") + 1, F.col("back")),
-        F.slice("after", F.lit(1), F.col("ahead")),
+    own = written_table(fingerprints(docs).dropDuplicates(["id", "mark"]), "line-fingerprints")
+    found = own.select("id", "mark", F.inline("picks"))
+    place = F.struct("id", "mark", "i")
+    lead = found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("lead"))
+    lead = lead.where("n > 1").select("a", "b", "lead")
+    repeated = found.join(lead.hint("shuffle_hash"), ["a", "b"]).where(place != F.col("lead"))
+
+    # The lines around the first occurrence, as far as a run's next fingerprint can be.
+    back = _lines_of(_before(F.col("l.words"), F.col("lead.i")), REACH)["n"]
+    rest = F.slice("l.words", F.col("lead.i") + 1, GRAM + REACH)
+    around = repeated.join(
+        own.select("id", "mark", "words", "hash").alias("l").hint("merge"),
+        (F.col("lead.id") == F.col("l.id")) & (F.col("lead.mark") == F.col("l.mark")),
+    ).select(
+        repeated["id"], repeated["mark"], "i", F.col("lead.id").alias("source"),
+        F.slice(_before(F.col("l.hash"), F.col("lead.i")), F.lit(1), back).alias("lead_before"),
+        F.slice("l.hash", F.col("lead.i") + 1, _lines_of(rest, GRAM + REACH)["n"]).alias("lead_after"),
     )
-    total = F.aggregate("run", F.lit(0).cast("long"), lambda s, x: s + x["words"])
-    return (
-        matched.withColumns({"back": back, "ahead": ahead})
-        .withColumn("run", run)
-        .select(
-            "id", "mark",
-            F.element_at("run", 1)["line"].alias("first"),
-            F.element_at("run", -1)["line"].alias("last"),
-            total.alias("words"),
-            F.col("lead.id").alias("source"),
-        )
-        .where(F.col("words") >= LEAST_WORDS)
+    lines = own.select("id", "mark", "line", "words", "hash").hint("merge")
+    matched = around.join(lines, ["id", "mark"]).select(
+        "*",
+        _equal_steps(_before(F.col("hash"), F.col("i")), F.col("lead_before")).alias("back"),
+        _equal_steps(F.slice("hash", F.col("i") + 1, F.size("lead_after")), F.col("lead_after")).alias("ahead"),
     )
+    run = F.slice("words", F.col("i") - F.col("back") + 1, F.col("back") + F.col("ahead"))
+    return matched.select(
+        "id", "mark",
+        F.get("line", F.col("i") - F.col("back")).alias("first"),
+        F.get("line", F.col("i") + F.col("ahead") - 1).alias("last"),
+        F.aggregate(run, F.lit(0), lambda s, w: s + w).cast("long").alias("words"),
+        "source",
+    ).where(F.col("words") >= LEAST_WORDS)
 
 
 def _deletions(runs: DataFrame) -> DataFrame:
@@ -144,7 +181,8 @@ def with_removals(docs: DataFrame) -> DataFrame:
     same = (F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))) == F.col("_id")) & (
         F.xxhash64(text_or_empty()) == F.col("_mark")
     )
-    return docs.select(*own).join(renamed, same, "left").drop("_id", "_mark")
+    # The removals grow with the corpus: one shuffle of the texts, at every size.
+    return docs.select(*own).join(renamed.hint("shuffle_hash"), same, "left").drop("_id", "_mark")
 
 
 def remove_lines(text: Column, removed: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillscope.llm.common import text_or_empty, words
+from tillscope.llm.common import let, text_or_empty, words
 
 SHINGLE = 5
 #: Bins (a power of two) and low-order bits kept of each bin's smallest hash.
@@ -31,12 +31,7 @@ def shingle_hashes(text: Column, shingle: int = SHINGLE) -> Column:
         short = F.array(F.aggregate(w, F.xxhash64(F.lit(0)), lambda h, x: F.xxhash64(h, x)))
         return F.when(F.size(w) >= shingle, full).otherwise(short)
 
-    return F.sort_array(_let(hashed, chain))
-
-
-def _let(value: Column, use) -> Column:
-    """``use`` of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+    return F.sort_array(let(hashed, chain))
 
 
 def _bin(h: Column) -> Column:
@@ -72,16 +67,16 @@ def signature(hashes: Column) -> Column:
         firsts = F.filter(
             h, lambda x, i: (i == 0) | (_bin(x) != _bin(F.get(h, F.greatest(i - 1, F.lit(0)))))
         )
-        return _let(firsts, fill)
+        return let(firsts, fill)
 
     def fill(firsts: Column) -> Column:
         kept = F.transform(firsts, lambda x: x.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int"))
-        return F.when(F.size(firsts) == BINS, kept).otherwise(_let(slots(firsts), densify))
+        return F.when(F.size(firsts) == BINS, kept).otherwise(let(slots(firsts), densify))
 
     def slots(firsts: Column) -> Column:
         # Bins before the first hash, between two neighbours, and behind the last one are empty.
         ends = F.concat(F.transform(firsts, lambda x: _bin(x)), F.array(F.lit(BINS)))
-        return _let(ends, lambda e: F.concat(
+        return let(ends, lambda e: F.concat(
             F.array_repeat(F.lit(None).cast("int"), F.get(e, F.lit(0))),
             F.flatten(F.transform(firsts, lambda x, i: _low_and_gap(x, F.get(e, i + 1) - F.get(e, i) - 1))),
         ))
@@ -103,7 +98,7 @@ def signature(hashes: Column) -> Column:
 
         return F.transform(slot, one)
 
-    return _let(hashes, of)
+    return let(hashes, of)
 
 
 def packed(values: Column) -> Column:
