@@ -44,7 +44,7 @@ def write_hard_tables(folder: Path, orders: int = 500, lines: int = 3000, seed:
             "l_orderkey": (pa.int64(), [third(3, lambda: pick.randrange(orders)) for _ in range(lines)]),
             # Some parts are missing from the dimension.
             "l_partkey": (pa.int64(), [maybe(third(5, lambda: pick.randrange(100))) for _ in range(lines)]),
-            "l_quantity": (pa.float64(), [maybe(float(pick.randrange(4))) for _ in range(lines)]),
+            "l_quantity": (pa.float64(), [maybe((pick.randrange(10) - 2) / 2) for _ in range(lines)]),
             "l_extendedprice": (pa.float64(), [maybe(pick.randrange(10000) / 100) for _ in range(lines)]),
         },
     }

@@ -18,6 +18,13 @@ def test_co_purchase_leaves_out_products_missing_from_the_dimension(lines, produ
     assert [r[0] for r in tuples(found)] == ["1"]
 
 
+def test_quantities_round_halves_to_the_even_number(lines, products, tuples):
+    for quantity, whole in ((0.5, 0), (1.5, 2), (2.5, 2), (-0.5, 0), (-1.5, -2), (None, None)):
+        rows = [(1, 1, "1", "2016-01-01", 1, 5)] + [(1, 1, "2", "2016-01-01", quantity, 5)]
+        found = op.co_purchase(lines(rows), products((1, "tea", "c", "d"), (2, "jam", "c", "d")), "1")
+        assert [r.quantity_count for r in found.collect() if r.product_id == "2"] == ([whole] if whole is not None else [])
+
+
 def test_pairs_are_counted_not_produced(lines):
     orders = lines(
         [(1, 1, "A", "2016-01-01"), (1, 1, "A", "2016-01-01", 3), (1, 1, "B", "2016-01-01"),

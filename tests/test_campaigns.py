@@ -4,7 +4,9 @@ from datetime import date
 
 import pytest
 
+from hard_tables import write_hard_tables
 from tillscope import operators as op
+from tillscope.plans import queries
 
 
 @pytest.fixture(scope="module")
@@ -27,9 +29,7 @@ def test_job_products_keep_duplicates(jobs, tuples):
     assert [r[1] for r in tuples(op.job_products(jobs, "job_b"))] == ["23", "23"]
 
 
-@pytest.mark.parametrize("longest", [1000, 0])
-def test_job_buyers_have_one_row_per_line(lines, jobs, tuples, monkeypatch, longest):
-    monkeypatch.setattr("tillscope.operators.campaigns.MAX_IN_LIST", longest)
+def test_job_buyers_have_one_row_per_line(lines, jobs, tuples):
     orders = lines([(1, 1, "23", "2016-01-01", 1, 1, "Open"), (1, 1, "23", "2016-01-01"), (2, 2, "1", "2016-01-01")])
     assert tuples(op.job_buyers(orders, jobs, "job_b")) == [(1,), (1,)]
     assert tuples(op.job_buyers(orders, jobs, "no such job")) == []
@@ -81,14 +81,29 @@ def test_prediction_window(lines, spark):
 def test_buyers_without_a_prediction_keep_a_default_rank(lines, predict, tuples):
     orders = lines([(u, u, "A", "2016-01-05") for u in (1, 3, 8)] + [(2, 2, "A", "2016-01-05")])
     # Customer 2 is ranked too low; 8 has the default rank and comes last.
-    lift = op.lift_by_buyers(orders, predict, "2016-01-01", "2016-01-31", k=3)
+    period = ("2016-01-01", "2016-01-31")
+    lift = op.lift_by_buyers(orders, predict, *period, k=3, default_rank=27511, max_rank=50000)
     assert tuples(lift) == [(1, 0.2), (2, 0.3), (3, 0.0)]
-    cut = op.lift_by_buyers(orders, predict, "2016-01-01", "2016-01-31", k=3, max_rank=100)
+    cut = op.lift_by_buyers(orders, predict, *period, k=3, default_rank=27511, max_rank=100)
     assert len(tuples(cut)) == 2
+    everyone = op.lift_by_buyers(orders, predict, *period, k=4, default_rank=10**6, max_rank=None)
+    assert len(tuples(everyone)) == 4
+
+
+def test_lift_is_the_same_for_repeated_predictions(spark, lines):
+    orders = lines([(u, u, "A", "2016-01-05") for u in range(20)])
+    rows = [(u, 1, 1.0, p / 10) for u in range(20) for p in (1, 2, 3)]
+    period = ("2016-01-01", "2016-01-31")
+    seen = set()
+    for order in (rows, rows[::-1]):
+        predict = spark.createDataFrame(order, "user_id long, rank int, score double, p_obs double")
+        found = op.lift_by_buyers(orders, predict.repartition(3), *period, k=7, default_rank=9, max_rank=None)
+        seen.add(tuple(map(tuple, found.collect())))
+    assert len(seen) == 1
 
 
 def test_lift_by_score(predict, tuples):
-    assert tuples(op.lift_by_score(predict, k=2)) == [(1, 0.2), (2, 0.3)]
+    assert tuples(op.lift_by_score(predict, k=2, max_rank=50000)) == [(1, 0.2), (2, 0.3)]
     assert tuples(op.top_rank_sum(predict, 6)) == [(0.2,)]
     assert tuples(op.top_rank_sum(predict, 0)) == [(None,)]
 
@@ -102,9 +117,24 @@ def test_counting_buyers(lines, predict, tuples):
     period = (["A"], "2016-01-01", "2016-01-31")
     first = op.user_min_order_date(orders)
     assert tuples(op.count_buyers(orders, *period)) == [(3,)]
-    assert tuples(op.count_buyers(orders, *period, predict=predict)) == [(1,)]
-    assert tuples(op.count_buyers(orders, *period, predict=predict, max_rank=500000)) == [(2,)]
+    assert tuples(op.count_buyers(orders, *period, predict=predict, max_rank=50000)) == [(1,)]
+    assert tuples(op.count_buyers(orders, *period, predict=predict)) == [(2,)]
     assert tuples(op.count_buyers(orders, *period, min_dates=first)) == [(1,)]
     assert tuples(op.count_buyers(orders, *period, min_dates=first, before="2017-01-01")) == [(3,)]
+    assert tuples(op.count_buyers(orders, *period, before="2016-01-01")) == [(1,)]
+    assert tuples(op.count_buyers(orders, *period, before="2017-01-01")) == [(3,)]
+    assert tuples(op.returning_customers(orders, "2016-01-05")) == [(1,)]
     assert tuples(op.customers_before(orders, "2016-01-06")) == [(4,)]
     assert tuples(op.customers_before(orders, "2016-01-05", first)) == [(1,)]
+
+
+@pytest.mark.parametrize("predicted", [True, False])
+def test_one_pass_equals_the_composed_audience(spark, tmp_path, predicted):
+    folder = write_hard_tables(tmp_path)
+    audience = queries.audience_by_prediction if predicted else queries.audience_by_products
+    sales = queries.sales_of(spark, folder, "product_id")
+    composed = op.user_traits(sales, audience(spark, folder))
+    assert composed.count() > 0
+    one_pass = queries.campaign_traits(spark, folder, predicted)
+    assert one_pass.dtypes == composed.dtypes
+    assert sorted(map(repr, one_pass.collect())) == sorted(map(repr, composed.collect()))

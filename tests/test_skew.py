@@ -1,0 +1,91 @@
+"""A third of the lines in one order, customer, product and month: how evenly do tasks read?
+
+Everything that a query runs is looked at, the tables it writes while it is built included, from
+the event log of a run of its own.
+"""
+
+from __future__ import annotations
+
+import json
+import subprocess
+import sys
+from collections import defaultdict
+from pathlib import Path
+
+import pytest
+
+#: Largest share of a large stage's shuffled rows that one task may read. Where nothing but the keys
+#: travels, a hot key compresses to almost nothing, and adaptive execution, which goes by bytes,
+#: splits it later.
+SHARE, KEYS_ONLY_SHARE = 0.15, 0.2
+KEYS_ONLY = ("customer_tenure", "total_customers", "returning_customers")
+LARGE = 400_000
+
+#: Query, and how often it may read the order lines.
+QUERIES = {
+    "valid_sales": 1,
+    "monthly_order_value": 1,
+    "monthly_order_value_with_nulls": 1,
+    "users_trait": 1,
+    "order_avg_equal_count": 1,
+    "activity_equal_width": 1,
+    "trait_percentile_curve": 1,
+    "basket_with_product": 2,
+    "co_purchase": 2,
+    "orders_with_pair": 1,
+    "customer_tenure": 1,
+    "total_customers": 1,
+    "monthly_topn": 1,
+    "product_monthly_growth": 1,
+    "job_order_avg_equal_count": 1,
+    "job_activity_equal_width": 1,
+    "repeat_buyers": 1,
+    "returning_customers": 1,
+}
+
+
+@pytest.fixture(scope="module")
+def log(tmp_path_factory):
+    """Per query: the shuffled rows read by each task of each stage, rows scanned, and the plans."""
+    folder = tmp_path_factory.mktemp("skew")
+    script = Path(__file__).with_name("skew_job.py")
+    subprocess.run([sys.executable, str(script), str(folder), *QUERIES], check=True, timeout=900, capture_output=True)
+    query_of, tasks, scanned, plans = {}, defaultdict(lambda: defaultdict(list)), defaultdict(int), defaultdict(dict)
+    running = None
+    for path in (folder / "events").iterdir():
+        for line in path.open():
+            event = json.loads(line)
+            kind = event["Event"].rpartition(".")[2]
+            if kind == "SparkListenerJobStart":
+                running = (event.get("Properties") or {}).get("spark.jobGroup.id")
+                for stage in event["Stage IDs"]:
+                    query_of[stage] = running
+            elif kind == "SparkListenerTaskEnd" and event.get("Task Metrics"):
+                metrics, name = event["Task Metrics"], query_of.get(event["Stage ID"])
+                tasks[name][event["Stage ID"]].append(metrics["Shuffle Read Metrics"]["Total Records Read"])
+                scanned[name] += metrics["Input Metrics"]["Records Read"]
+            elif "physicalPlanDescription" in event:
+                name = event.get("description")
+                plans[name][event["executionId"]] = event["physicalPlanDescription"]
+    return tasks, scanned, plans
+
+
+@pytest.mark.parametrize("name", QUERIES)
+def test_no_task_reads_a_hot_key_alone(log, name):
+    share = KEYS_ONLY_SHARE if name in KEYS_ONLY else SHARE
+    for stage, rows in log[0][name].items():
+        total = sum(rows)
+        if total >= LARGE:
+            assert max(rows) <= share * total, (stage, max(rows), total)
+
+
+@pytest.mark.parametrize("name", QUERIES)
+def test_the_lines_are_scanned_as_often_as_needed(log, name):
+    lines = 1_500_000
+    assert lines <= log[1][name] <= QUERIES[name] * (lines + 150_000) + 400_000
+
+
+@pytest.mark.parametrize("name", QUERIES)
+def test_nothing_that_is_run_joins_without_a_key(log, name):
+    for plan in log[2][name].values():
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

@@ -33,14 +33,33 @@ def test_the_rest_is_summed(lines, tuples):
     assert tuples(op.top_products(orders, n=1, label="x")) == [(1, "p1", 7.0), (2, "x", 21.0)]
 
 
-def test_a_large_n_is_not_broadcast(lines, spark, tuples):
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+def test_nothing_is_broadcast_for_the_rest_whatever_n(lines, tuples):
     orders = of_quantities(lines, range(1, 1103))
-    top = op.monthly_top_products(orders, n=1100)
-    assert "Broadcast" not in top._jdf.queryExecution().executedPlan().toString()
+    for n in (2, 1100):
+        top = op.monthly_top_products(orders, n=n)
+        assert "Broadcast" not in top._jdf.queryExecution().executedPlan().toString()
     assert tuples(top)[-1] == (1101, "2016-01", OTHERS_MONTHLY, 3.0)
     assert tuples(op.top_products(orders, n=1100))[-1] == (1101, "others", 3.0)
-    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_quantities_add_up_exactly(lines, tuples):
+    """Doubles would add 0.1 ten times to less than 1, or not, by the order of the additions."""
+    orders = lines(
+        [(1, i, "A", "2016-01-01", 0.1) for i in range(10)] + [(1, 99, "B", "2016-01-01", 1.0)]
+        + [(1, 100 + i, "C", "2016-01-01", 0.1) for i in range(9)]
+    )
+    assert tuples(op.monthly_top_products(orders, 2)) == [
+        (1, "2016-01", "A", 1.0), (2, "2016-01", "B", 1.0), (3, "2016-01", OTHERS_MONTHLY, 0.9)
+    ]
+
+
+def test_rest_without_known_quantities(lines, tuples):
+    orders = lines([(1, 1, "A", "2016-01-01", None), (1, 2, "B", "2016-01-01", None), (1, 3, "C", None, 2)])
+    assert tuples(op.top_products(orders, 1)) == [(1, "A", None), (2, "others", 2.0)]
+    assert tuples(op.top_products(orders, 2)) == [(1, "A", None), (2, "B", None), (3, "others", 2.0)]
+    assert tuples(op.monthly_top_products(orders, 1)) == [
+        (1, "2016-01", "A", None), (2, "2016-01", OTHERS_MONTHLY, None), (1, None, "C", 2.0)
+    ]
 
 
 def test_ties_go_to_the_smaller_product_id(lines, tuples):
@@ -148,7 +167,9 @@ def test_customers(lines, tuples):
     assert tuples(op.total_customers(orders)) == [(3,)]
 
 
-def test_any_additive_measure(lines, tuples):
+def test_only_measures_that_add_up(lines, tuples):
     orders = of_quantities(lines, [7, 6, 5])
-    top = op.monthly_top_products(orders, 1, F.count(F.lit(1)), "num")
+    top = op.monthly_top_products(orders, 1, "lines", "num")
     assert [r[-1] for r in tuples(top)] == [1, 2]
+    with pytest.raises(ValueError):
+        op.monthly_top_products(orders, 1, "mean")

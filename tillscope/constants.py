@@ -13,7 +13,5 @@ DAYS_PER_MONTH = 30.0
 # Added to the largest value so that it falls inside the last equal-width bin.
 BIN_MARGIN = 0.0001
 
-# Rank and probability given to buyers without a prediction, and the rank cut of the lift curves.
-DEFAULT_RANK = 27511
+# Probability given to buyers without a prediction.
 DEFAULT_P_OBS = 0.0
-MAX_RANK = 50000

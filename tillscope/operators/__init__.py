@@ -4,8 +4,11 @@ from tillscope.operators.baskets import basket_lines, co_purchase, orders_with_p
 from tillscope.operators.campaigns import (
     audience_by_prediction,
     audience_by_products,
+    buyers_of_listed,
+    campaign_customers,
     job_buyers,
     job_products,
+    predicted_buyers,
     prediction_window,
 )
 from tillscope.operators.grouping import (
@@ -18,9 +21,10 @@ from tillscope.operators.lift import (
     customers_before,
     lift_by_buyers,
     lift_by_score,
+    returning_customers,
     top_rank_sum,
 )
-from tillscope.operators.ntile import add_ntile
+from tillscope.operators.ntile import add_ntile, add_position
 from tillscope.operators.sales import (
     between_dates,
     category_orders,
@@ -28,6 +32,7 @@ from tillscope.operators.sales import (
     date_bounds,
     last_date,
     orders_in_range,
+    orders_of_listed,
     orders_of_products,
     orders_on_day,
     products_in_category,
@@ -39,6 +44,7 @@ from tillscope.operators.sales import (
 from tillscope.operators.topn import monthly_top_named, monthly_top_products, top_products
 from tillscope.operators.traits import (
     register_users_trait,
+    traits_of_totals,
     user_min_order_date,
     user_totals,
     user_traits,
@@ -56,11 +62,14 @@ from tillscope.operators.trends import (
 
 __all__ = [
     "add_ntile",
+    "add_position",
     "audience_by_prediction",
     "audience_by_products",
     "basket_lines",
     "between_dates",
+    "buyers_of_listed",
     "calendar_growth",
+    "campaign_customers",
     "category_orders",
     "co_purchase",
     "count_buyers",
@@ -81,20 +90,24 @@ __all__ = [
     "monthly_top_named",
     "monthly_top_products",
     "orders_in_range",
+    "orders_of_listed",
     "orders_of_products",
     "orders_on_day",
     "orders_with_pair",
     "pair_lines",
+    "predicted_buyers",
     "prediction_window",
     "product_growth",
     "products_in_category",
     "purchase_breadth",
     "register_users_trait",
+    "returning_customers",
     "row_count",
     "top_products",
     "top_rank_sum",
     "total_customers",
     "trait_percentile_curve",
+    "traits_of_totals",
     "user_min_order_date",
     "user_totals",
     "user_traits",

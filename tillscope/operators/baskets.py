@@ -27,12 +27,13 @@ def basket_lines(orders: DataFrame, product_id: str) -> DataFrame:
 def co_purchase(orders: DataFrame, products: DataFrame, product_id: str) -> DataFrame:
     """Products in the orders that contain a product: lines, quantity and amount, most lines first.
 
-    ``order_count`` counts order lines, not orders.
+    ``order_count`` counts order lines, not orders. A quantity is rounded to a whole number, halves
+    to the even one.
     """
     lines = basket_lines(orders, product_id)
     by_product = lines.groupBy("product_id").agg(
         F.count(F.lit(1)).alias("order_count"),
-        F.sum(F.round("quantity").cast("long")).alias("quantity_count"),
+        F.sum(F.bround("quantity").cast("long")).alias("quantity_count"),
         double_sum(lines, "pay_amt").alias("pay_amt_count"),
     )
     names = products.select(F.col("product_id").cast("string").alias("product_id"), "product_name")

@@ -8,8 +8,9 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillscope.functions import json_items
-from tillscope.operators.sales import MAX_IN_LIST, between_dates, orders_of_products
+from tillscope.constants import SENT
+from tillscope.functions import double_sum, json_items
+from tillscope.operators.sales import between_dates, orders_of_listed
 from tillscope.sources import written_table
 
 
@@ -24,6 +25,66 @@ def job_buyers(orders: DataFrame, jobs: DataFrame, name: str) -> DataFrame:
     return _lines_of_job(orders, jobs, name).select("user_id")
 
 
+def campaign_customers(
+    orders: DataFrame,
+    product_ids: DataFrame | None = None,
+    start: date | str | None = None,
+    end: date | str | None = None,
+) -> DataFrame:
+    """All that a campaign asks about each customer, in one scan of the order lines.
+
+    Per customer: ``order_count``, ``total_money``, ``first_date`` and ``last_date`` of the valid
+    sales of known products, ``min_date`` (first order of any status), ``bought_listed`` (a sale of
+    a product in ``product_ids``, a table with ``product_id`` as text) and ``bought_in_period`` (a
+    sale from ``start`` to ``end``). The rows are written once; audiences and traits are filters and
+    projections of them. The lines are reduced per customer and order first, map-side, so neither a
+    hot customer nor a hot order travels.
+    """
+    need = ("user_id", "order_id", "pay_date", "pay_amt", "product_id")
+    sold = F.col("order_status") == SENT
+    for column in need:
+        sold = sold & F.col(column).isNotNull()
+    sold = F.coalesce(sold, F.lit(False))
+    lines, listed = orders, F.lit(False)
+    if product_ids is not None:
+        # Written, so that the join reads it directly: adaptive execution can then split a hot
+        # product, and Catalyst knows whether the list is small enough to broadcast.
+        distinct = written_table(product_ids.select("product_id").dropna().distinct(), "listed")
+        marks = distinct.withColumn("_listed", F.lit(True))
+        lines, listed = orders.join(marks, "product_id", "left"), F.coalesce("_listed", F.lit(False))
+    dated = F.lit(False)
+    if start is not None and end is not None:
+        dated = F.col("pay_date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
+    customers = lines.filter(F.col("user_id").isNotNull()).groupBy("user_id").agg(
+        F.count_distinct(F.when(sold, F.col("order_id"))).alias("order_count"),
+        double_sum(lines, "pay_amt", sold).alias("total_money"),
+        F.min(F.when(sold, F.col("pay_date"))).alias("first_date"),
+        F.max(F.when(sold, F.col("pay_date"))).alias("last_date"),
+        F.min("pay_date").alias("min_date"),
+        F.max(sold & listed).alias("bought_listed"),
+        F.max(F.coalesce(sold & dated, F.lit(False))).alias("bought_in_period"),
+    )
+    return written_table(customers, "campaign")
+
+
+def buyers_of_listed(customers: DataFrame, before: date | str) -> DataFrame:
+    """Of the campaign's customers those who bought a listed product and first ordered earlier."""
+    return _known_before(customers.filter("bought_listed"), before)
+
+
+def predicted_buyers(
+    customers: DataFrame,
+    predict: DataFrame,
+    clients: DataFrame,
+    before: date | str,
+    top: int,
+    addresses: str,
+) -> DataFrame:
+    """Of the campaign's customers the buyers of the period that ``audience_by_prediction`` finds."""
+    buyers = _known_before(customers.filter("bought_in_period"), before)
+    return _ranked_and_local(buyers, predict, clients, top, addresses)
+
+
 def audience_by_products(
     sales: DataFrame, min_dates: DataFrame, jobs: DataFrame, name: str, before: date | str
 ) -> DataFrame:
@@ -48,14 +109,18 @@ def audience_by_prediction(
     ``addresses`` is a JSON array held as text. The buyers are reduced to one row each before the
     joins, so a customer with very many lines weighs no more than any other.
     """
+    buyers = between_dates(sales, start, end).select("user_id").distinct()
+    known = buyers.join(_known_before(min_dates, before), "user_id", "left_semi")
+    return _ranked_and_local(known, predict, clients, top, addresses)
+
+
+def _ranked_and_local(
+    buyers: DataFrame, predict: DataFrame, clients: DataFrame, top: int, addresses: str
+) -> DataFrame:
     wanted = [a if isinstance(a, str) else json.dumps(a) for a in json.loads(addresses)]
     local = clients.filter(F.col("address_1").isin(wanted))
-    buyers = between_dates(sales, start, end).select("user_id").distinct()
-    return (
-        buyers.join(predict.filter(F.col("rank") <= top), "user_id", "left_semi")
-        .join(local, "user_id", "left_semi")
-        .join(_known_before(min_dates, before), "user_id", "left_semi")
-    )
+    ranked = buyers.join(predict.filter(F.col("rank") <= top), "user_id", "left_semi")
+    return ranked.join(local, "user_id", "left_semi")
 
 
 def prediction_window(bounds: DataFrame, job_windows: DataFrame) -> DataFrame:
@@ -77,13 +142,8 @@ def prediction_window(bounds: DataFrame, job_windows: DataFrame) -> DataFrame:
 
 
 def _lines_of_job(orders: DataFrame, jobs: DataFrame, name: str) -> DataFrame:
-    """Order lines of the job's products: a filter the scan can use, or a join for long lists."""
-    listed = job_products(jobs, name).select("product_id").dropna().distinct()
-    ids = [row.product_id for row in listed.limit(MAX_IN_LIST + 1).collect()]
-    if len(ids) <= MAX_IN_LIST:
-        return orders_of_products(orders, sorted(ids))
-    # Written, so that its size tells Catalyst whether to broadcast it.
-    return orders.join(written_table(listed, "job"), "product_id", "left_semi")
+    """Order lines of the job's products: one semi join, whatever the length of the list."""
+    return orders_of_listed(orders, job_products(jobs, name).select("product_id").dropna())
 
 
 def _known_before(min_dates: DataFrame, before: date | str) -> DataFrame:

@@ -41,7 +41,7 @@ def equal_width_groups(
     and appends each cut-off side as a row of its own. Neighbouring ranges share their edge, and
     a value on it counts in both, unless ``both_edges`` is off. An empty range has the count 1 that
     a right join with ``count(*)`` gives, unless ``empty_as_zero`` is on. ``lower`` replaces the
-    smallest value as the start of the first range.
+    smallest value as the start of the first range; the customers below it are a row of their own.
 
     Each row looks up its ranges in a small array, so the customers are aggregated map-side and
     only the groups are shuffled.
@@ -65,7 +65,8 @@ def equal_width_groups(
             for no, (left, right) in enumerate(pairwise(edges), start=1)
         ]
     )
-    below = F.lit(False) if low is None else value < low
+    floors = [x for x in (low, lower) if x is not None]
+    below = F.lit(False) if not floors else value < max(floors)
     above = F.lit(False) if high is None else value > high
     group_nos = (
         F.when(below, F.array(F.lit(0)))

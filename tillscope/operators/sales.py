@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 from tillscope.constants import SENT
 from tillscope.functions import age_parts, month_of, whole_days
 
-# Above this many literals a list is joined instead of being written into the filter.
-MAX_IN_LIST = 1000
-
 
 def valid_sales(
     orders: DataFrame,
@@ -55,12 +52,14 @@ def orders_on_day(orders: DataFrame, day: date | str) -> DataFrame:
 
 
 def orders_of_products(orders: DataFrame, product_ids: Sequence[str]) -> DataFrame:
-    """All columns of the order lines of the listed products."""
-    ids = [str(p) for p in product_ids]
-    if len(ids) <= MAX_IN_LIST:
-        return orders.filter(F.col("product_id").isin(ids))
-    listed = orders.sparkSession.createDataFrame([(p,) for p in ids], "product_id string")
-    return orders.join(listed, "product_id", "left_semi")
+    """All columns of the order lines of the listed products, as a filter the scan can use."""
+    return orders.filter(F.col("product_id").isin([str(p) for p in product_ids]))
+
+
+def orders_of_listed(orders: DataFrame, listed: DataFrame) -> DataFrame:
+    """All columns of the order lines whose product is in a table with ``product_id`` as text."""
+    wanted = listed.select("product_id")
+    return orders.join(wanted, "product_id", "left_semi").select(*orders.columns)
 
 
 def products_in_category(
@@ -81,7 +80,7 @@ def category_orders(
 ) -> DataFrame:
     """Sales of the products of a category; filter the dates of ``orders`` beforehand."""
     wanted = products_in_category(products, category_1, category_2)
-    return valid_sales(orders, need=()).join(wanted, "product_id", "left_semi")
+    return orders_of_listed(valid_sales(orders, need=()), wanted)
 
 
 def date_bounds(orders: DataFrame) -> DataFrame:

@@ -56,31 +56,40 @@ def user_traits(
     last sale of all, ``frequency`` the orders per 30 days of the whole sales period. The last date
     and the length of the period come from all sales, even for an audience, unless given.
 
-    The sales are scanned once into one row per customer, which is written to the shared folder;
-    the traits are a projection of that table. An audience costs a second scan for the dates if
-    they are not given. It is joined to the customers' totals: Catalyst moves the join below the
-    aggregation where the audience is small enough to broadcast, and where it is not, a customer
-    with very many lines is one row by then.
+    The sales are scanned once into one row per customer. If a date has to be found, those rows are
+    written to the shared folder and read for it; with both dates given nothing is written. The
+    traits are a projection of the rows; an audience is joined to them, so a customer with very
+    many lines is one row by then.
     """
+    totals = user_totals(sales)
+    if max_date is None or span_days is None:
+        totals = written_table(totals, "totals")
     if audience is None:
-        totals = written_table(user_totals(sales), "totals")
-    else:
-        members = written_table(audience.select("user_id").distinct(), "audience")
-        own = user_totals(sales).join(members, "user_id", "left_semi")
-        totals = written_table(own.join(members, "user_id", "right"), "totals")
+        return traits_of_totals(totals, totals, max_date, span_days)
+    members = audience.select("user_id").distinct()
+    return traits_of_totals(totals.join(members, "user_id", "right"), totals, max_date, span_days)
+
+
+def traits_of_totals(
+    members: DataFrame,
+    totals: DataFrame,
+    max_date: date | None = None,
+    span_days: int | None = None,
+) -> DataFrame:
+    """Traits of the customers in ``members``, rows of the columns of ``user_totals``.
+
+    The last date and the length of the period, unless given, are those of ``totals``, a stored
+    table of one row per customer. A customer without sales has no order value and silence.
+    """
     if max_date is None or span_days is None:
-        dated = totals if audience is None else sales.select(
-            F.col("pay_date").alias("first_date"), F.col("pay_date").alias("last_date")
-        )
-        bounds = dated.agg(F.max("last_date").alias("last"), F.min("first_date").alias("first"))
-        row = bounds.first()
+        row = totals.agg(F.max("last_date").alias("last"), F.min("first_date").alias("first")).first()
         if max_date is None:
             max_date = row["last"]
         if span_days is None and row["last"] is not None:
             span_days = (row["last"] - row["first"]).days
     months = None if span_days is None else span_days / DAYS_PER_MONTH
     order_count = F.coalesce("order_count", F.lit(0))
-    return totals.select(
+    return members.select(
         "user_id",
         ratio(F.col("total_money"), order_count).alias("order_avg"),
         whole_days(F.lit(max_date).cast("date"), F.col("last_date")).alias("activity"),

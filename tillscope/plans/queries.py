@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from tillscope import operators as op
 from tillscope.functions import comparable
 from tillscope.sources import testdata as data
-from tillscope.sources import update_where
+from tillscope.sources import rewrite_where, shared_folder, update_where, written_table
 
 MONTH = "1998-04"
 YEAR_START, YEAR_END = "1998-01-01", "1998-12-31"
@@ -25,6 +26,8 @@ CAMPAIGN = [str(p) for p in range(1, 61)]
 CAMPAIGN_START, CAMPAIGN_END = "1996-01-01", "1996-12-31"
 ADDRESSES = "[2, 3]"
 TOP_RANK = 1000
+# Parameters of the lift curves: the rank cut, and the rank of buyers without a prediction.
+MAX_RANK, DEFAULT_RANK = 50000, 27511
 AS_OF = date(2002, 1, 1)
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,10 +67,23 @@ def audience_by_products(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def traits_of(spark: SparkSession, folder: str, audience: Query | None = None) -> DataFrame:
-    if audience is None:
-        return op.user_traits(sales_of(spark, folder))
-    return op.user_traits(sales_of(spark, folder, "product_id"), audience(spark, folder))
+def traits_of(spark: SparkSession, folder: str) -> DataFrame:
+    return op.user_traits(sales_of(spark, folder))
+
+
+def campaign_traits(spark: SparkSession, folder: str, predicted: bool) -> DataFrame:
+    """Traits of a campaign's audience, from one scan of the order lines."""
+    lines = data.order_lines(spark, folder)
+    if predicted:
+        customers = op.campaign_customers(lines, start=YEAR_START, end=YEAR_END)
+        members = op.predicted_buyers(
+            customers, data.predictions(spark, folder), data.clients(spark, folder),
+            before=YEAR_START, top=TOP_RANK, addresses=ADDRESSES,
+        )
+    else:
+        customers = op.campaign_customers(lines, op.job_products(data.jobs(spark, folder), JOB))
+        members = op.buyers_of_listed(customers, before=YEAR_START)
+    return op.traits_of_totals(members, customers)
 
 
 def users_trait(spark: SparkSession, folder: str) -> DataFrame:
@@ -102,7 +118,7 @@ def _registered() -> dict[str, Query]:
             CAMPAIGN_END,
             predict=predict(s, d) if predicted else None,
             max_rank=TOP_RANK,
-            min_dates=min_dates_of(s, d) if earlier else None,
+            before=CAMPAIGN_START if earlier else None,
         )
 
     registered: dict[str, Query] = {
@@ -119,6 +135,14 @@ def _registered() -> dict[str, Query]:
         "update_where": lambda s, d: update_where(
             data.first_filters(s, d), F.col("job_id") == JOB, "filter_name", "500"
         ),
+        "rewritten_filters": lambda s, d: rewrite_where(
+            data.first_filters(s, d), F.col("job_id") == JOB, "filter_name", "500",
+            f"{shared_folder(s)}/rewritten-filters-{uuid.uuid4().hex}",
+        ),
+        "known_buyers_from_saved": lambda s, d: op.audience_by_products(
+            sales_of(s, d, "product_id"), written_table(min_dates_of(s, d), "first-orders"),
+            jobs(s, d), JOB, before=YEAR_START,
+        ),
         "predict_row_count": lambda s, d: op.row_count(predict(s, d)),
         # best sellers
         "topn_with_others": lambda s, d: op.top_products(op.valid_sales(lines(s, d), ())),
@@ -164,33 +188,32 @@ def _registered() -> dict[str, Query]:
         "audience_by_products": audience_by_products,
         # lift
         "lift_deciles": lambda s, d: op.lift_by_buyers(
-            lines(s, d), predict(s, d), YEAR_START, YEAR_END
+            lines(s, d), predict(s, d), YEAR_START, YEAR_END,
+            default_rank=DEFAULT_RANK, max_rank=MAX_RANK,
         ),
-        "lift_percentiles": lambda s, d: op.lift_by_score(predict(s, d)),
+        "lift_percentiles": lambda s, d: op.lift_by_score(predict(s, d), max_rank=MAX_RANK),
         "top_rank_p_obs": lambda s, d: op.top_rank_sum(predict(s, d), TOP_RANK),
         "targeted_repeat_buyers": lambda s, d: buyers(s, d, predicted=True, earlier=True),
         "targeted_buyers": lambda s, d: buyers(s, d, predicted=True, earlier=False),
         "repeat_buyers": lambda s, d: buyers(s, d, predicted=False, earlier=True),
-        "returning_customers": lambda s, d: op.customers_before(
-            lines(s, d), YEAR_START, min_dates_of(s, d)
-        ),
+        "returning_customers": lambda s, d: op.returning_customers(lines(s, d), YEAR_START),
         "customers_before": lambda s, d: op.customers_before(lines(s, d), YEAR_START),
     }
 
     for trait in ("order_avg", "activity", "frequency"):
         trim = 3 if trait == "order_avg" else None
         # Order values of a campaign are grouped for the predicted audience, the rest for buyers.
-        members = audience_by_prediction if trait == "order_avg" else audience_by_products
+        predicted = trait == "order_avg"
         registered |= {
             f"{trait}_equal_count": lambda s, d, t=trait: op.equal_count_groups(traits_of(s, d), t),
             f"{trait}_equal_width": lambda s, d, t=trait, x=trim: op.equal_width_groups(
                 traits_of(s, d), t, trim_sigma=x
             ),
-            f"job_{trait}_equal_count": lambda s, d, t=trait, m=members: op.equal_count_groups(
-                traits_of(s, d, m), t
+            f"job_{trait}_equal_count": lambda s, d, t=trait, p=predicted: op.equal_count_groups(
+                campaign_traits(s, d, p), t
             ),
             f"job_{trait}_equal_width": lambda s, d, t=trait: op.equal_width_groups(
-                traits_of(s, d, audience_by_products), t
+                campaign_traits(s, d, predicted=False), t
             ),
         }
     return registered

@@ -6,6 +6,7 @@ from tillscope.sources.tables import (
     read_parquet,
     read_table,
     register_view,
+    rewrite_where,
     save_table,
     shared_folder,
     update_where,
@@ -18,6 +19,7 @@ __all__ = [
     "read_parquet",
     "read_table",
     "register_view",
+    "rewrite_where",
     "save_table",
     "shared_folder",
     "update_where",

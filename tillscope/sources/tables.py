@@ -62,6 +62,15 @@ def register_view(df: DataFrame, name: str, comments: dict[str, str] | None = No
     return commented
 
 
+def rewrite_where(df: DataFrame, condition: Column, column: str, value: object, path: str) -> DataFrame:
+    """Write the table with :func:`update_where` applied to a new path, and read it from there.
+
+    A plain file table cannot be changed in place while it is read; point its readers to the path.
+    """
+    update_where(df, condition, column, value).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def update_where(df: DataFrame, condition: Column, column: str, value: object) -> DataFrame:
     """The table with ``column`` set to ``value`` where the condition holds (NULL counts as no).
 
@@ -135,6 +144,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def modified_at(spark: SparkSession, path: str) -> int:
+    """When a file or folder was last changed, in milliseconds, on any file system."""
+    folder, files = _file_system(spark, path)
+    return files.getFileStatus(folder).getModificationTime()
+
+
 def _file_system(spark: SparkSession, path: str) -> tuple:
     context = spark.sparkContext
     folder = context._jvm.org.apache.hadoop.fs.Path(path)

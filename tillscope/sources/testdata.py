@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tillscope.constants import SENT
+from tillscope.sources.tables import modified_at
 
-_schemas: dict[str, StructType] = {}
+_schemas: dict[tuple, StructType] = {}
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table whose schema is looked up in the files once per session, not once per query."""
+    """A table whose schema is looked up in the files once for each version of the path."""
     path = f"{folder}/{name}.parquet"
-    if path not in _schemas:
-        _schemas[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_schemas[path]).parquet(path)
+    key = (path, modified_at(spark, path))
+    if key not in _schemas:
+        _schemas[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[key]).parquet(path)
 
 
 def order_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -26,7 +28,9 @@ def order_lines(spark: SparkSession, folder: str) -> DataFrame:
     status = F.when(F.col("o_orderstatus") == "F", SENT).otherwise(F.col("o_orderstatus"))
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
         F.col("o_custkey").alias("user_id"),
-        F.col("o_orderkey").alias("order_id"),
+        # An expression, not the join key itself: aggregations by order then shuffle what they have
+        # reduced map-side, and adaptive execution may split an order that fills a join partition.
+        F.greatest("l_orderkey", "o_orderkey").alias("order_id"),
         F.col("l_partkey").cast("string").alias("product_id"),
         F.col("o_orderdate").cast("date").alias("pay_date"),
         F.col("l_quantity").alias("quantity"),
