@@ -205,7 +205,7 @@ def test_json_items_with_and_without_quotes(spark):
 
 
 def test_comparable_types(spark):
-    df = spark.sql("SELECT 1.23456789D AS a, 1 AS b, DATE '2016-01-02' AS c, 1.50BD AS d")
-    assert tuple(comparable(df).first()) == (1.234568, 1, "2016-01-02", 1.5)
+    df = spark.sql("SELECT 1.23456789D AS a, 1 AS b, DATE '2016-01-02' AS c, 1.50BD AS d, 1.23456789D AS e")
+    assert tuple(comparable(df, ["a"]).first()) == (1.234568, 1, "2016-01-02", 1.5, 1.23456789)
     halves = spark.sql("SELECT 0.00000149999999999D AS below, 0.0000015D AS half")
-    assert tuple(comparable(halves).first()) == (0.000002, 0.000002)
+    assert tuple(comparable(halves, halves.columns).first()) == (0.000002, 0.000002)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,17 +42,21 @@ def json_items(text: Column) -> Column:
     return F.from_json(text, "array<string>")
 
 
-def comparable(df: DataFrame, places: int = 6) -> DataFrame:
-    """Types every SQL engine prints alike: rounded doubles, ISO dates, 64-bit integers.
+def comparable(df: DataFrame, ratios: Collection[str] = (), places: int = 6) -> DataFrame:
+    """Types every SQL engine prints alike: doubles, ISO dates, 64-bit integers.
 
-    Engines add doubles in different orders, so a mean that lies exactly between two rounded values
-    may come out a hair below it; a nudge far smaller than the rounding sends it up everywhere.
+    Only ``ratios``, the columns of quotients and means, are rounded: engines add doubles in
+    different orders, so a mean that lies exactly between two rounded values may come out a hair
+    below it, and a nudge far smaller than the rounding sends it up everywhere. Sums, counts and
+    amounts are compared as they are.
     """
 
     def plain(field: T.StructField) -> Column:
         column = F.col(f"`{field.name}`")
         if isinstance(field.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            column = F.round(column.cast("double") + 1e-9, places)
+            column = column.cast("double")
+            if field.name in ratios:
+                column = F.round(column + 1e-9, places)
         elif isinstance(field.dataType, T.DateType):
             column = F.date_format(column, "yyyy-MM-dd")
         elif isinstance(field.dataType, (T.IntegerType, T.ShortType, T.ByteType)):

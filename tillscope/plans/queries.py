@@ -219,8 +219,15 @@ def _registered() -> dict[str, Query]:
     return registered
 
 
+#: Columns of quotients and means, which are compared to six places; all others exactly.
+RATIOS = (
+    "total_user_order_avg", "vspp", "month_live_rate", "order_avg", "frequency",
+    "order_avg_avg", "activity_avg", "frequency_avg",
+)
+
+
 def _comparable(query: Query) -> Query:
-    return lambda spark, folder: comparable(query(spark, folder))
+    return lambda spark, folder: comparable(query(spark, folder), RATIOS)
 
 
 QUERIES: dict[str, Query] = {name: _comparable(query) for name, query in _registered().items()}
