@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 
@@ -31,8 +32,8 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
-#: Most words and neighbour pairs that a worker remembers before it starts afresh.
-REMEMBERED = 500_000
+#: Words and neighbour pairs that a worker remembers at most, half of them from an older generation.
+REMEMBERED = 400_000
 NEVER = 1 << 60
 
 
@@ -71,8 +72,10 @@ class Encoder:
                     walk.append((node, used))
                     node, used = made[node][side], made[node][2]
                 edge[token] = [*reversed([*walk, (node, used)])]
-        self.near: dict[tuple[int, int], bool] = {}
+        self.near: dict[int, bool] = {}
+        self.shown = {b: s for b, s in enumerate(self.bytes) if s != chr(b)}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.automaton = ahocorasick.Automaton()
         for text, token in vocab.items():
             # A token that its own parts would never merge into is never the result of merging.
@@ -109,23 +112,26 @@ class Encoder:
             else:
                 j += 1
 
-    def neighbours(self, a: int, b: int) -> bool:
-        found = self.near.get((a, b))
-        if found is None:
-            if len(self.near) >= REMEMBERED:
-                self.near.clear()
-            found = self.near[(a, b)] = self.side_by_side(a, b)
-        return found
-
     def piece(self, text: str) -> list[int]:
         """Ids of one piece (letters, a digit, or signs), by its prefixes."""
-        code = [self.bytes[b] for b in text.encode()]
-        symbols = "".join(code[:-1]) + self.last[code[-1]]
-        token, start = [-1] * len(symbols), [0] * len(symbols)
+        symbols = text.encode().decode("latin-1").translate(self.shown)
+        symbols = symbols[:-1] + self.last[symbols[-1]]
+        token, start, near = [-1] * len(symbols), [0] * len(symbols), self.near
         for end, (candidate, length) in self.automaton.iter(symbols):
+            if token[end] >= 0:
+                continue
             first = end - length + 1
-            if token[end] < 0 and (first == 0 or self.neighbours(token[first - 1], candidate)):
-                token[end], start[end] = candidate, first
+            if first:
+                # Ids are below 2^32.
+                pair = token[first - 1] << 32 | candidate
+                fits = near.get(pair)
+                if fits is None:
+                    if len(near) >= REMEMBERED // 2:
+                        near.clear()
+                    fits = near[pair] = self.side_by_side(token[first - 1], candidate)
+                if not fits:
+                    continue
+            token[end], start[end] = candidate, first
         ids, at = [], len(symbols) - 1
         while at >= 0:
             ids.append(token[at])
@@ -133,11 +139,16 @@ class Encoder:
         return ids[::-1]
 
     def word(self, word: str) -> bytes:
-        """Ids of what stands between white space, as little-endian 32-bit integers."""
-        ids = [i for piece in self.pieces.findall(word) for i in self.piece(piece)]
-        packed = np.array(ids, dtype="<u4").tobytes()
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
+        """Ids of what stands between white space, as little-endian 32-bit integers.
+
+        A word that comes again before two generations have passed is known.
+        """
+        packed = self.known.get(word) or self.older.get(word)
+        if packed is None:
+            ids = [i for piece in self.pieces.findall(word) for i in self.piece(piece)]
+            packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self.known) >= REMEMBERED // 2:
+            self.known, self.older = {}, self.known
         if len(word) <= 64:
             self.known[word] = packed
         return packed
@@ -210,6 +221,10 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded
     return encoded.withColumn(text, text_of(F.coalesce(F.col(ids), F.array().cast("array<int>"))))
 
 
+#: Rows that leave a task together, ids included.
+CHUNK = 256
+
+
 def digests(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of encoding, then decoding.
 
@@ -218,20 +233,21 @@ def digests(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
     empty texts have no tokens and decode to the empty text; other columns are dropped.
     """
     shared = _definition(docs, path)
-    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids
 
-    @F.pandas_udf(schema)
-    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def both(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = encoder(shared.value)
         for batch in batches:
-            rows = []
-            for text in batch:
-                ids = own.encode(text)
-                decoded = own.decode(ids).encode()
-                row = (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest())
-                rows.append((*row, np.frombuffer(ids, dtype="<i4")) if keep_ids else row)
-            names = [column.split()[0] for column in schema.split(", ")]
-            yield pd.DataFrame(rows, columns=names)
-
-    found = docs.select("doc_id", both(text_or_empty()).alias("_found"))
-    return found.select("doc_id", "_found.*")
+            for at in range(0, len(batch), CHUNK):
+                part, rows = batch.iloc[at : at + CHUNK], []
+                for doc_id, text in zip(part["doc_id"].array, part["text"]):
+                    ids = own.encode(text)
+                    decoded = own.decode(ids).encode()
+                    row = (doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest())
+                    rows.append((*row, np.frombuffer(ids, dtype="<i4")) if keep_ids else row)
+                found = pd.DataFrame(rows, columns=names)
+                found["doc_id"] = pd.array([None if pd.isna(r[0]) else int(r[0]) for r in rows], dtype="Int64")
+                yield found
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(both, schema)
