@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tillscope.constants import BIN_MARGIN
 from tillscope.functions import ascending, range_label
-from tillscope.operators.ntile import add_ntile
+from tillscope.operators.ntile import add_ntile, add_position, tile_of
 from tillscope.operators.traits import TRAITS
 
 
@@ -106,18 +105,31 @@ def trait_percentile_curve(traits: DataFrame, k: int = 100) -> DataFrame:
         "activity": F.col("activity"),
         "frequency": -F.col("frequency"),
     }
+    # One sort for all three: the customers once per trait, one trait behind the other.
+    entries = F.array(
+        *[
+            F.struct(
+                F.lit(no).alias("no"),
+                order.cast("double").alias("place"),
+                F.col(trait).cast("double").alias("value"),
+            )
+            for no, (trait, order) in enumerate(best_first.items())
+        ]
+    )
+    listed = known.select("user_id", F.explode(entries).alias("e")).select("user_id", "e.*")
+    order = [F.col(c) for c in ("no", "place", "user_id")]
+    placed = add_position(listed, order, "_position", "_total")
+    customers = (F.col("_total") / len(TRAITS)).cast("long")
+    tile = tile_of(F.col("_position") - F.col("no") * customers, customers, k)
+    means = placed.groupBy("no", tile.alias("ntile")).agg(
+        F.avg("value").alias("mean"), F.count(F.lit(1)).alias("rows")
+    )
     curves = [
-        add_ntile(known.select("user_id", trait), k, [order], "user_id", name="ntile")
-        .groupBy("ntile")
-        .agg(F.avg(trait).alias(f"{trait}_avg"), F.count(F.lit(1)).alias(f"_{trait}_rows"))
-        for trait, order in best_first.items()
+        F.max(F.when(F.col("no") == no, F.col("mean"))).alias(f"{trait}_avg")
+        for no, trait in enumerate(best_first)
     ]
-    joined = reduce(lambda left, right: left.join(right, "ntile"), curves)
-    return joined.select(
-        *[f"{trait}_avg" for trait in TRAITS],
-        "ntile",
-        F.col("_order_avg_rows").alias("count"),
-    ).orderBy("ntile")
+    by_tile = means.groupBy("ntile").agg(*curves, F.max("rows").alias("count"))
+    return by_tile.select(*[f"{trait}_avg" for trait in TRAITS], "ntile", "count").orderBy("ntile")
 
 
 def _group_aggregates(by: str) -> list[Column]:

@@ -28,7 +28,7 @@ def add_ntile(
         f.name for f in df.schema.fields if f.name != tie and not isinstance(f.dataType, T.MapType)
     ]
     placed = add_position(df, [*order, F.col(tie), *[F.col(c) for c in rest]], "_position", "_total")
-    tile = _tile(F.col("_position"), F.col("_total"), k)
+    tile = tile_of(F.col("_position"), F.col("_total"), k)
     return placed.select(*df.columns, tile.alias(name))
 
 
@@ -66,7 +66,7 @@ def add_position(df: DataFrame, order: Sequence[Column], position: str, total: s
     )
 
 
-def _tile(position: Column, total: Column, k: int) -> Column:
+def tile_of(position: Column, total: Column, k: int) -> Column:
     """Tile of a position: the first ``total % k`` tiles hold one row more than the others."""
     more = total % k
     size = F.floor((total - more) / k).cast("long")
