@@ -21,7 +21,7 @@ COVERAGE = 0.8
 #: Scores of an alignment's steps, and words that it may drift from the diagonal at least.
 MATCH, MISMATCH, GAP = 2, -1, -1
 DRIFT, DRIFT_SHARE = 3, 0.1
-REMEMBERED = 1_000_000
+REMEMBERED = 100_000
 
 WORDS = re.compile(r"[^\W_]+")
 MIX = np.uint64(0x9E3779B97F4A7C15)

@@ -26,7 +26,8 @@ THRESHOLD = 0.5
 
 WORDS = re.compile(r"[^\W_]+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
-REMEMBERED = 1_000_000
+#: Word hashes that a worker remembers before it starts afresh.
+REMEMBERED = 100_000
 
 
 class Features:
@@ -57,20 +58,18 @@ class Features:
 def fit(rows: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
     """Numbers and values of the weights that are not zero; the last number, 2^BITS, is the bias.
 
-    Each document is one example in which a feature is present or not. The rows are visited in the
+    A row is a document's distinct features and its label. Each document is one example in which a feature is present or not. The rows are visited in the
     given order, ``PASSES`` times. L1 keeps every weight at zero whose gradients have not summed up
     to ``L1``, so what stays is the vocabulary that tells the classes apart.
     """
-    z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
-    bias = np.array([1 << BITS])
-    examples = [(np.append(np.unique(f), bias), y) for f, y in rows]
-    strength = np.full((1 << BITS) + 1, L1)
-    strength[bias] = 0.0
+    z, n = np.zeros((1 << BITS) + 1, dtype=np.float32), np.zeros((1 << BITS) + 1, dtype=np.float32)
+    bias = np.array([1 << BITS], dtype=np.int32)
+    examples = [(np.append(f, bias), y) for f, y in rows]
 
-    def weights(at: np.ndarray | slice) -> np.ndarray:
-        small = np.abs(z[at]) <= strength[at]
-        full = -(z[at] - np.sign(z[at]) * strength[at]) / ((BETA + np.sqrt(n[at])) / ALPHA + L2)
-        return np.where(small, 0.0, full)
+    def weights(at: np.ndarray) -> np.ndarray:
+        total, strength = z[at].astype(float), np.where(at == 1 << BITS, 0.0, L1)
+        full = -(total - np.sign(total) * strength) / ((BETA + np.sqrt(n[at])) / ALPHA + L2)
+        return np.where(np.abs(total) <= strength, 0.0, full)
 
     for _ in range(PASSES):
         for at, label in examples:
@@ -80,9 +79,12 @@ def fit(rows: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
             step = (np.sqrt(n[at] + error * error) - np.sqrt(n[at])) / ALPHA
             z[at] += error - step * w
             n[at] += error * error
-    learnt = weights(slice(None))
-    kept = np.flatnonzero(learnt)
-    return kept, learnt[kept]
+    kept, values = [], []
+    for first in range(0, len(z), 1 << 18):
+        learnt = weights(np.arange(first, min(first + (1 << 18), len(z))))
+        kept.append(first + np.flatnonzero(learnt))
+        values.append(learnt[learnt != 0])
+    return np.concatenate(kept), np.concatenate(values)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
@@ -99,7 +101,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
         features, rows = Features(), []
         for batch in batches:
             rows += [
-                (order, features.of(text).astype(np.int32), label)
+                (order, np.unique(features.of(text)).astype(np.int32), label)
                 for text, label, order in zip(batch["text"], batch["label"], batch["order"], strict=True)
             ]
         rows.sort(key=lambda r: r[0])
