@@ -50,6 +50,11 @@ def _filler(bin_: int, attempt: int) -> int:
     return (start + step * attempt) % BINS
 
 
+def _constant(values: list[int], kind: str) -> Column:
+    """A long array as one constant: a literal text that the optimizer parses once."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
 def _low_and_gap(h: Column, gap: Column) -> Column:
     low = h.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
     return F.concat(F.array(low), F.array_repeat(F.lit(None).cast("int"), gap))
@@ -81,10 +86,7 @@ def signature(hashes: Column) -> Column:
             F.flatten(F.transform(firsts, lambda x, i: _low_and_gap(x, F.get(e, i + 1) - F.get(e, i) - 1))),
         ))
 
-    # All fillers of all bins as one constant: a literal text that the optimizer parses once.
-    order = F.split(
-        F.lit(",".join(str(_filler(b, t)) for b in range(BINS) for t in range(BINS))), ","
-    ).cast("array<int>")
+    order = _constant([_filler(b, t) for b in range(BINS) for t in range(BINS)], "int")
 
     def densify(slot: Column) -> Column:
         def one(x: Column, b: Column) -> Column:
@@ -148,7 +150,7 @@ def with_next(docs: DataFrame, columns: list[str], bucket_rows: int = BUCKET_ROW
     bounds = _boundaries(ordered.select(F.col("_id").alias("doc_id")), bucket_rows)
     if not bounds:
         return docs.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
-    starts = F.lit(bounds)
+    starts = _constant(bounds, "bigint")
     jumps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
 
     def search(low: Column, jump: Column) -> Column:
