@@ -45,9 +45,14 @@ def _filler(bin_: int, attempt: int) -> int:
     A fixed rule (multiplicative hashing of the bin's number): start and odd step differ by bin, so
     bins that are empty together are filled from different places.
     """
+    start, step = _walk(bin_)
+    return (start + step * attempt) % BINS
+
+
+def _walk(bin_: int) -> tuple[int, int]:
     start = (bin_ * 2654435761 + 40503) >> 7
     step = 2 * ((bin_ * 1640531527 + 60493) >> 9) + 1
-    return (start + step * attempt) % BINS
+    return start % BINS, step % BINS
 
 
 def _constant(values: list[int], kind: str) -> Column:
@@ -86,15 +91,17 @@ def signature(hashes: Column) -> Column:
             F.flatten(F.transform(firsts, lambda x, i: _low_and_gap(x, F.get(e, i + 1) - F.get(e, i) - 1))),
         ))
 
-    order = _constant([_filler(b, t) for b in range(BINS) for t in range(BINS)], "int")
+    order = _constant([_filler(b, t) for b in range(BINS) for t in range(TRIES)], "int")
+    starts = _constant([_walk(b)[0] for b in range(BINS)], "int")
+    steps = _constant([_walk(b)[1] for b in range(BINS)], "int")
 
     def densify(slot: Column) -> Column:
         def one(x: Column, b: Column) -> Column:
-            first = b * BINS
-            tried = [F.get(slot, F.get(order, first + t)) for t in range(TRIES)]
+            tried = [F.get(slot, F.get(order, b * TRIES + t)) for t in range(TRIES)]
             # Rare: only texts with very few shingles look through all the others.
             others = F.transform(
-                F.slice(order, first + (TRIES + 1), BINS - TRIES), lambda f: F.get(slot, f)
+                F.sequence(F.lit(TRIES), F.lit(BINS - 1)),
+                lambda t: F.get(slot, (F.get(starts, b) + F.get(steps, b) * t) % BINS),
             )
             return F.coalesce(x, *tried, F.get(F.filter(others, lambda v: v.isNotNull()), F.lit(0)))
 
