@@ -51,9 +51,9 @@ class Encoder:
         parsed = json.loads(definition)
         model = parsed["model"]
         vocab, merges = model["vocab"], [tuple(m) for m in model["merges"]]
-        self.names = {i: t for t, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in parsed["added_tokens"]}
-        self.names |= {i: t for t, i in self.special.items()}
+        named = {i: t for t, i in [*vocab.items(), *self.special.items()]}
+        self.names = [named.get(i, "") for i in range(max(named) + 1)]
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.pieces = regex.compile(PIECES)
         self.bytes = byte_symbols()
@@ -141,24 +141,36 @@ class Encoder:
     def word(self, word: str) -> bytes:
         """Ids of what stands between white space, as little-endian 32-bit integers.
 
-        A word that comes again before two generations have passed is known.
+        A piece alone is cut as it is in a word, so words and pieces share one memory: a rare word
+        with a sign behind it finds its letters there.
         """
-        packed = self.known.get(word) or self.older.get(word)
+        pieces = self.pieces.findall(word)
+        if len(pieces) == 1:
+            return self.remembered(word)
+        known, remembered = self.known, self.remembered
+        return b"".join([known.get(p) or remembered(p) for p in pieces])
+
+    def remembered(self, piece: str) -> bytes:
+        """Ids of a piece; it is known if it comes again before two generations have passed."""
+        packed = self.known.get(piece) or self.older.get(piece)
         if packed is None:
-            ids = [i for piece in self.pieces.findall(word) for i in self.piece(piece)]
+            ids = self.piece(piece)
             packed = struct.pack(f"<{len(ids)}I", *ids)
+        self.remember(piece, packed)
+        return packed
+
+    def remember(self, text: str, packed: bytes) -> None:
         if len(self.known) >= REMEMBERED // 2:
             self.known, self.older = {}, self.known
-        if len(word) <= 64:
-            self.known[word] = packed
-        return packed
+        if len(text) <= 64:
+            self.known[text] = packed
 
     def plain(self, text: str) -> bytes:
         # Character by character, as the format lower-cases: no special final sigma.
         low = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        split = SPACE.split(low) if ODD_SPACE.search(low) else low.split()
+        split = [w for w in SPACE.split(low) if w] if ODD_SPACE.search(low) else low.split()
         known, word = self.known, self.word
-        return b"".join([known.get(w) or word(w) for w in split if w])
+        return b"".join([known.get(w) or word(w) for w in split])
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, as little-endian unsigned 32-bit integers."""
@@ -171,8 +183,7 @@ class Encoder:
 
     def decode(self, ids: bytes) -> str:
         """The text of packed ids; the format has no decoder, so tokens are set apart by a space."""
-        names = self.names
-        return " ".join([names[i] for i in np.frombuffer(ids, dtype="<u4").tolist()])
+        return " ".join(map(self.names.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
 _encoders: dict[str, Encoder] = {}
