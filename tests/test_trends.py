@@ -1,7 +1,6 @@
 from __future__ import annotations
 
 import pytest
-from pyspark.sql import functions as F
 
 from tillscope import operators as op
 from tillscope.constants import OTHERS_MONTHLY
