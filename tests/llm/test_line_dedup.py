@@ -135,3 +135,31 @@ def test_all_column_functions(spark, documents, capsys):
     line_dedup.repeated_runs(documents((1, "a"))).explain()
     line_dedup.fingerprints(documents((1, "a"))).explain()
     assert not re.search("Python|Pandas|Arrow|SinglePartition", capsys.readouterr().out)
+
+
+def test_runs_whose_parts_stand_first_in_different_documents_go(spark, documents):
+    pick = random.Random(11)
+    parts = [line(pick, 40) for _ in range(10)]
+    rows = [(i, f"{part}\n{line(pick, 9)}") for i, part in enumerate(parts)]
+    whole = "\n".join(parts)
+    assert texts_of(line_dedup.dedup_lines(documents(*rows, (10, whole), (11, whole)))) == {**dict(rows), 10: whole, 11: ""}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_removed_lines_are_all_that_stand_in_repeated_runs(spark, documents, seed):
+    pick = random.Random(seed)
+    lines = [line(pick, n) for n in (1, 3, 12, 24, 25, 26, 40, 49, 50, 70)]
+    texts = {d: pick.choices([*lines, ""], k=pick.randrange(1, 14)) for d in range(60)}
+    first, runs = {}, {d: [] for d in texts}
+    for d, own in texts.items():
+        worded = [(k, x) for k, x in enumerate(own) if x]
+        for i in range(len(worded)):
+            for j in range(i, len(worded)):
+                run = tuple(x for _, x in worded[i : j + 1])
+                if words(" ".join(run)) >= 50 and first.setdefault(run, (d, i)) != (d, i):
+                    runs[d].append((worded[i][0], worded[j][0]))
+    expected = {
+        d: "\n".join(x for k, x in enumerate(own) if not any(a <= k <= b for a, b in runs[d])) for d, own in texts.items()
+    }
+    assert sum(map(len, runs.values())) > 100
+    assert texts_of(line_dedup.dedup_lines(documents(*[(d, "\n".join(own)) for d, own in texts.items()]))) == expected

@@ -13,20 +13,19 @@ GRAM = 25
 WINDOW = GRAM
 #: A repeated run of so many words is deleted. Every run of GRAM + WINDOW words shares a fingerprint.
 LEAST_WORDS = GRAM + WINDOW
-#: Words around a gram that an extension looks at: enough to reach the next fingerprint of the run.
-REACH = 2 * LEAST_WORDS
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Each document's lines and their winnowed fingerprints, as arrays: no shuffle, a row per row.
 
     Columns ``id``, ``mark`` (hash of the text), and of the lines that have words ``line`` (number),
-    ``words`` and ``hash``; ``picks`` are the fingerprints: place ``i`` in these arrays and 128 bits
-    ``a``, ``b`` of the gram's lines. A gram starts at every line and takes lines until it has
-    ``GRAM`` words. A window is the grams that start within the first ``WINDOW`` words after a
-    line's beginning; its smallest gram is picked, of equals the first. Two equal runs of
-    ``GRAM + WINDOW`` words hold the same window, hence the same pick. Each gram looks at ``GRAM``
-    lines at most, so a document costs time in proportion to its lines.
+    ``words`` and 128 bits ``hash``, ``check``; ``picks`` are the fingerprints: 128 bits ``a``, ``b``
+    of the gram's lines, and the places ``since`` to ``until`` in these arrays at which the windows
+    that pick it begin. A gram starts at every line and takes lines until it has ``GRAM`` words. A
+    window is the grams that start within the first ``WINDOW`` words after a line's beginning; its
+    smallest gram is picked, of equals the first, so the windows of a pick follow each other. Two
+    equal runs of ``GRAM + WINDOW`` words begin with the same window, hence with the same pick. Each
+    gram looks at ``GRAM`` lines at most, so a document costs time in proportion to its lines.
     """
     def entry(content: Column, number: Column) -> Column:
         return F.struct(
@@ -48,7 +47,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def with_spans(own: Column) -> Column:
         spans = F.transform(own["words"], lambda _, i: reached(own["words"], i))
         return let(spans, lambda spans: let(grams(own, spans), lambda g: F.struct(
-            own["line"].alias("line"), own["words"].alias("words"), own["hash"].alias("hash"),
+            *[own[name].alias(name) for name in ("line", "words", "hash", "check")],
             picks(spans, g).alias("picks"),
         )))
 
@@ -65,7 +64,21 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def picks(spans: Column, found: Column) -> Column:
         # The lines that start within WINDOW words are the gram's own lines, as WINDOW is GRAM.
         smallest = F.transform(spans, lambda span, i: F.array_min(F.slice(found, i + 1, span["n"])))
-        return F.array_distinct(F.filter(smallest, lambda p: p.isNotNull()))
+        # Windows without a gram are the last ones.
+        return let(F.filter(smallest, lambda p: p.isNotNull()), stretched)
+
+    def stretched(smallest: Column) -> Column:
+        def place(k: Column) -> Column:
+            return F.get(smallest, F.greatest(k, F.lit(0)))["i"]
+
+        begun = F.filter(
+            F.transform(smallest, lambda p, k: F.struct(p["a"].alias("a"), p["b"].alias("b"), k.alias("since"))),
+            lambda p, k: (k == 0) | (place(k) != place(k - 1)),
+        )
+        return let(begun, lambda begun: F.transform(begun, lambda p, k: F.struct(
+            p["a"].alias("a"), p["b"].alias("b"), p["since"].alias("since"),
+            (F.coalesce(F.get(begun, k + 1)["since"], F.size(smallest)) - 1).alias("until"),
+        )))
 
     own = let(let(lines, columns), with_spans)
     return docs.select(
@@ -85,63 +98,71 @@ def _lines_of(words: Column, least: int) -> Column:
     return F.aggregate(words, start, step)
 
 
-def _equal_steps(a: Column, b: Column) -> Column:
-    """Number of entries that agree from the start of both arrays."""
-    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
-    return let(same, lambda s: let(
-        F.array_position(s, False), lambda odd: F.when(odd > 0, odd - 1).otherwise(F.size(s)).cast("int")
-    ))
-
+def _stretches(since: Column, until: Column) -> Column:
+    """The stretches of lines that begin at the places: ``a``, ``b`` (128 bits), ``first``, ``last``.
 
-def _before(values: Column, i: Column) -> Column:
-    """Entries before place ``i``, nearest first; ``REACH`` words are never more than so many lines."""
-    n = F.least(i, F.lit(REACH))
-    return F.reverse(F.slice(values, i - n + 1, n))
+    Let e(i) be the line with which the lines from i on reach ``LEAST_WORDS``. From i on there is a
+    stretch to e(i), and one to each line behind it and before e(i + 1); of two neighbouring lines
+    that both have ``LEAST_WORDS`` one to the second. So every run of ``LEAST_WORDS`` is the union
+    of stretches that overlap, whatever its ends, and there are at most three a line on average.
+    Which lines behind i are a stretch depends on these lines alone.
+    """
+    def end(i: Column) -> Column:
+        found = _lines_of(F.slice("words", i + 1, LEAST_WORDS), LEAST_WORDS)
+        return let(found, lambda f: F.when(f["total"] >= LEAST_WORDS, i + f["n"] - 1))
+
+    def from_one(e: Column, k: Column, ends: Column) -> Column:
+        i, following = since + k, F.coalesce(F.get(ends, k + 1), F.size("words"))
+        pair = (e == i) & (following == i + 1) & (following < F.size("words"))
+        last = F.when(pair, following).otherwise(F.greatest(e, following - 1))
+        return F.transform(F.sequence(e, last), lambda j: F.struct(
+            F.xxhash64(F.slice("hash", i + 1, j - i + 1)).alias("a"),
+            F.xxhash64(F.slice("check", i + 1, j - i + 1)).alias("b"),
+            i.alias("first"), j.alias("last"),
+        ))
+
+    ends = F.transform(F.sequence(since, until + 1), end)
+    return let(ends, lambda ends: F.flatten(F.transform(
+        F.filter(F.slice(ends, 1, until - since + 1), lambda e: e.isNotNull()),
+        lambda e, k: from_one(e, k, ends),
+    )))
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """Runs of at least ``LEAST_WORDS`` words that stand at an earlier place too.
+    """Stretches of ``LEAST_WORDS`` words that stand at an earlier place too: all, whatever their source.
 
     Columns ``id``, ``mark`` (the document, by id and hash of its text), ``first``, ``last`` (line
-    numbers from 0), ``words`` and ``source`` (id of the document that holds the run first). The
-    order of places is by id, text hash and line. Each fingerprint is compared with its first
-    occurrence only, one row however many documents share it: the lines around both are walked in
-    either direction while they agree. All tables here grow with the corpus, so the joins are
-    shuffled by hint rather than broadcast while they happen to be small; only fingerprints and
-    line hashes travel, no texts.
+    numbers from 0) and ``source`` (id of the document that holds the stretch first). The order of
+    places is by id, text hash and line. A run that stands at an earlier place is the union of such
+    stretches. Only where a fingerprint is shared can one begin; those are hashed whole, and each is
+    compared with the first place of its hash, so there are no pairs, however many documents share
+    it. All tables here grow with the corpus, so the joins are shuffled by hint rather than
+    broadcast while they happen to be small; only hashes of lines and stretches travel, no texts.
     """
     own = written_table(fingerprints(docs).dropDuplicates(["id", "mark"]), "line-fingerprints")
     found = own.select("id", "mark", F.inline("picks"))
-    place = F.struct("id", "mark", "i")
-    lead = found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("lead"))
-    lead = lead.where("n > 1").select("a", "b", "lead")
-    repeated = found.join(lead.hint("shuffle_hash"), ["a", "b"]).where(place != F.col("lead"))
-
-    # The lines around the first occurrence, as far as a run's next fingerprint can be.
-    back = _lines_of(_before(F.col("l.words"), F.col("lead.i")), REACH)["n"]
-    rest = F.slice("l.words", F.col("lead.i") + 1, GRAM + REACH)
-    around = repeated.join(
-        own.select("id", "mark", "words", "hash").alias("l").hint("merge"),
-        (F.col("lead.id") == F.col("l.id")) & (F.col("lead.mark") == F.col("l.mark")),
-    ).select(
-        repeated["id"], repeated["mark"], "i", F.col("lead.id").alias("source"),
-        F.slice(_before(F.col("l.hash"), F.col("lead.i")), F.lit(1), back).alias("lead_before"),
-        F.slice("l.hash", F.col("lead.i") + 1, _lines_of(rest, GRAM + REACH)["n"]).alias("lead_after"),
+    several = found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b")
+    shared = (
+        found.join(several.hint("shuffle_hash"), ["a", "b"])
+        .groupBy("id", "mark")
+        .agg(F.collect_list(F.struct("since", "until")).alias("windows"))
+    )
+    lines = own.select("id", "mark", "line", "words", "hash", "check").hint("merge")
+    begun = F.transform("windows", lambda w: _stretches(w["since"], w["until"]))
+    stretches = written_table(
+        shared.join(lines, ["id", "mark"])
+        .select("id", "mark", "line", F.inline(F.flatten(begun)))
+        .select("id", "mark", "a", "b", F.get("line", "first").alias("first"), F.get("line", "last").alias("last")),
+        "line-stretches",
     )
-    lines = own.select("id", "mark", "line", "words", "hash").hint("merge")
-    matched = around.join(lines, ["id", "mark"]).select(
-        "*",
-        _equal_steps(_before(F.col("hash"), F.col("i")), F.col("lead_before")).alias("back"),
-        _equal_steps(F.slice("hash", F.col("i") + 1, F.size("lead_after")), F.col("lead_after")).alias("ahead"),
+    place = F.struct("id", "mark", "first")
+    lead = stretches.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("lead"))
+    lead = lead.where("n > 1").select("a", "b", "lead")
+    return (
+        stretches.join(lead.hint("shuffle_hash"), ["a", "b"])
+        .where(place != F.col("lead"))
+        .select("id", "mark", "first", "last", F.col("lead.id").alias("source"))
     )
-    run = F.slice("words", F.col("i") - F.col("back") + 1, F.col("back") + F.col("ahead"))
-    return matched.select(
-        "id", "mark",
-        F.get("line", F.col("i") - F.col("back")).alias("first"),
-        F.get("line", F.col("i") + F.col("ahead") - 1).alias("last"),
-        F.aggregate(run, F.lit(0), lambda s, w: s + w).cast("long").alias("words"),
-        "source",
-    ).where(F.col("words") >= LEAST_WORDS)
 
 
 def _deletions(runs: DataFrame) -> DataFrame:
