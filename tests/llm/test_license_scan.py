@@ -111,3 +111,34 @@ def test_query_finds_the_lines_that_search_finds(spark):
     got = QUERIES["op10_scan_licenses"](spark, folder).collect()
     assert len(expected) > 50 and {(r.doc_id, r.license) for r in got} == expected
     assert all(r.coverage >= ls.COVERAGE for r in got)
+
+
+GNU_NOTICE = (
+    "This {0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1} License as published by"
+    " the Free Software Foundation; either version {2} of the License, or (at your option) any later version.\nThis {0} is"
+    " distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of"
+    " MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1} License for more details.\nYou should have received"
+    " a copy of the GNU {1} License along with this {0}. If not, see <https://www.gnu.org/licenses/>."
+)
+
+
+@pytest.mark.parametrize(("license_", "title", "version"), [
+    ("GPL-2.0", "General Public", "2"), ("GPL-3.0", "General Public", "3"), ("LGPL-2.0", "Library General Public", "2"),
+    ("LGPL-2.1", "Lesser General Public", "2.1"), ("LGPL-3.0", "Lesser General Public", "3"),
+    ("AGPL-3.0", "Affero General Public", "3"),
+])
+@pytest.mark.parametrize("what", ["program", "library", "package"])
+def test_notices_of_the_gnu_licenses_are_told_apart(scanner, license_, title, version, what):
+    text = f"{PROSE[0]}\n{GNU_NOTICE.format(what, title, version)}\n{PROSE[1]}"
+    assert [m[0] for m in scanner.scan(text)] == [license_]
+
+
+@pytest.mark.parametrize(("license_", "end"), [
+    ("BSD-2-Clause", "SUCH DAMAGE"), ("BSD-3-Clause", "SUCH DAMAGE"), ("ISC", "OF THIS SOFTWARE"),
+    ("Unlicense", "DEALINGS IN THE SOFTWARE"),
+])
+def test_short_licenses_are_found_to_their_end(scanner, license_, end):
+    whole = max((w for name, w in TEMPLATES if name == license_), key=len)
+    text = f"{PROSE[0]}\n{whole}\n{PROSE[1]}"
+    (match,) = scanner.scan(text)
+    assert match[0] == license_ and text[match[5] : match[6]].endswith(end)

@@ -26,10 +26,26 @@ BSD_NAMES = (
     " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote"
     " products derived from this software without specific prior written permission."
 )
+BSD_DISCLAIMER = (
+    " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES,"
+    " INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE"
+    " DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,"
+    " SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR"
+    " SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY,"
+    " WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF"
+    " THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
 ISC_GRANT = (
     "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,"
     " provided that the above copyright notice and this permission notice appear in all copies."
 )
+ISC_DISCLAIMER = (
+    " THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL"
+    " IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,"
+    " INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN"
+    " ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF"
+    " THIS SOFTWARE."
+)
 APACHE_HEADER = (
     "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with"
     " the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by"
@@ -37,12 +53,12 @@ APACHE_HEADER = (
     " WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language"
     " governing permissions and limitations under the License."
 )
-GPL_HEADER = (
-    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public"
-    " License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later"
-    " version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the"
-    " implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more"
-    " details."
+#: Notice of the GNU licenses: what is licensed, name and version.
+GNU_HEADER = (
+    "This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1} License as published"
+    " by the Free Software Foundation, either version {2} of the License, or (at your option) any later version. This {0} is"
+    " distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of"
+    " MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1} License for more details."
 )
 MPL_HEADER = (
     "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not"
@@ -54,26 +70,49 @@ UNLICENSE = (
     " commercial or non-commercial, and by any means."
 )
 
+UNLICENSE_REST = (
+    " In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright"
+    " interest in the software to the public domain. We make this dedication for the benefit of the public at large and to"
+    " the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity"
+    " of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT"
+    " WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A"
+    " PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER"
+    " LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE"
+    " OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+
 #: (license, wording); a license may have several wordings.
 TEMPLATES: list[tuple[str, str]] = [
     ("MIT", f"{MIT_GRANT} {AS_IS}"),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("BSD-2-Clause", BSD_TERMS),
+    ("BSD-2-Clause", BSD_TERMS + BSD_DISCLAIMER),
     ("BSD-3-Clause", BSD_TERMS + BSD_NAMES),
+    ("BSD-3-Clause", BSD_TERMS + BSD_NAMES + BSD_DISCLAIMER),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     ("ISC", ISC_GRANT),
+    ("ISC", ISC_GRANT + ISC_DISCLAIMER),
     ("Apache-2.0", APACHE_HEADER),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("GPL-2.0", GPL_HEADER.format(2)),
-    ("GPL-3.0", GPL_HEADER.format(3)),
+    *[
+        (f"{short}-{version if '.' in version else version + '.0'}", GNU_HEADER.format(what, name, version))
+        for short, name, version in (
+            ("GPL", "General Public", "2"), ("GPL", "General Public", "3"),
+            ("LGPL", "Library General Public", "2"), ("LGPL", "Lesser General Public", "2.1"),
+            ("LGPL", "Lesser General Public", "3"), ("AGPL", "Affero General Public", "3"),
+        )
+        for what in ("program", "library")
+    ],
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("MPL-2.0", MPL_HEADER),
     ("MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0."),
     ("Unlicense", UNLICENSE),
+    ("Unlicense", UNLICENSE + UNLICENSE_REST),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
     *[
         (f"CC-{kind}-4.0", wording.format(kind, name))
