@@ -142,3 +142,38 @@ def test_short_licenses_are_found_to_their_end(scanner, license_, end):
     text = f"{PROSE[0]}\n{whole}\n{PROSE[1]}"
     (match,) = scanner.scan(text)
     assert match[0] == license_ and text[match[5] : match[6]].endswith(end)
+
+
+@pytest.mark.parametrize(("text", "license_"), [
+    ("Released under MIT License.", "MIT"), ("Released under the MIT licence.", "MIT"),
+    ("Licensed under MIT License.", "MIT"), ("Licensed below CC BY-SA 4.0.", "CC-BY-SA-4.0"),
+])
+def test_short_wordings_with_a_word_changed_or_missing(scanner, text, license_):
+    assert [m[0] for m in scanner.scan(f"{PROSE[0]}\n{text}\n{PROSE[1]}")] == [license_]
+
+
+@pytest.mark.parametrize("text", ["Released under the Apache License.", "Released under the BSD License."])
+def test_short_wordings_do_not_stand_for_another_license(scanner, text):
+    assert "MIT" not in [m[0] for m in scanner.scan(f"{PROSE[0]}\n{text}\n{PROSE[1]}")]
+
+
+def test_any_words_missing_or_changed_up_to_the_coverage(scanner):
+    pick = random.Random(4)
+    for number, (name, wording) in enumerate(TEMPLATES):
+        words = ls.WORDS.findall(wording.lower())
+        free = [i for i, w in enumerate(words) if not (scanner.short[number] and w in ls.NAMES)]
+        for _ in range(5):
+            gone = set(pick.sample(free, len(words) // 5))
+            for text in ([w for i, w in enumerate(words) if i not in gone], ["x" if i in gone else w for i, w in enumerate(words)]):
+                found = {n for n, _ in scanner.diagonals(scanner.grams.hashes(text))}
+                assert number in found, (name, text)
+
+
+def test_words_put_in_at_one_place(scanner):
+    for number in (0, 5):
+        name, wording = TEMPLATES[number]
+        words = wording.split()
+        half = len(words) // 2
+        for count in (20, 40):
+            text = " ".join(words[:half] + ["added"] * count + words[half:])
+            assert [m[0] for m in scanner.scan(f"{PROSE[0]} {text} {PROSE[1]}")] == [name]

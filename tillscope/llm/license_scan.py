@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator, Sequence
@@ -14,13 +15,17 @@ from tillscope.llm.common import text_or_empty
 from tillscope.llm.license_templates import TEMPLATES
 
 #: Words of a gram, and neighbouring grams of which the smallest is a fingerprint. Every common
-#: stretch of GRAM + WINDOW - 1 words shares a fingerprint.
+#: stretch of GRAM + WINDOW - 1 words shares a fingerprint. Wordings so short that a match need not
+#: hold such a stretch have all their grams indexed, of fewer words if needed.
 GRAM, WINDOW = 3, 2
 #: Least share of a template's words that an alignment must match.
 COVERAGE = 0.8
 #: Scores of an alignment's steps, and words that it may drift from the diagonal at least.
 MATCH, MISMATCH, GAP = 2, -1, -1
 DRIFT, DRIFT_SHARE = 3, 0.1
+#: Words that name a license. One that stands in a wording of which not all grams are winnowed must
+#: stand in its match too: "Released under the Apache License" is four of five words of MIT's line.
+NAMES = frozenset({"mit", "apache", "bsd", "gnu", "mozilla", "cc", "creative"})
 REMEMBERED = 100_000
 
 WORDS = re.compile(r"[^\W_]+")
@@ -44,19 +49,31 @@ class Grams:
         known, word = self.known, self.word
         return np.array([known.get(w) or word(w) for w in words], dtype=np.uint64)
 
-    def winnowed(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and values of the fingerprints: of every ``WINDOW`` neighbours the smallest, of equals the last."""
-        count = len(hashes) - GRAM + 1
-        if count <= 0:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    def grams(self, hashes: np.ndarray, size: int) -> np.ndarray:
+        """Values of all grams of ``size`` words, by their places."""
+        count = max(len(hashes) - size + 1, 0)
         grams = np.zeros(count, dtype=np.uint64)
-        for i in range(GRAM):
+        for i in range(size):
             grams = (grams ^ hashes[i : i + count]) * MIX
             grams ^= grams >> np.uint64(29)
-        window = min(WINDOW, count)
+        return grams
+
+    def winnowed(self, grams: np.ndarray) -> np.ndarray:
+        """Places of the fingerprints: of every ``WINDOW`` neighbours the smallest, of equals the last."""
+        if not len(grams):
+            return np.zeros(0, dtype=np.int64)
+        window = min(WINDOW, len(grams))
         spans = np.lib.stride_tricks.sliding_window_view(grams, window)
-        place = np.unique(np.arange(len(spans)) + window - 1 - spans[:, ::-1].argmin(axis=1))
-        return place, grams[place]
+        return np.unique(np.arange(len(spans)) + window - 1 - spans[:, ::-1].argmin(axis=1))
+
+
+def stretch(count: int) -> int:
+    """Words in a row that a match of a wording of ``count`` words holds, if none are put in.
+
+    At most k words are missing or changed; they cut the others into k + 1 stretches.
+    """
+    matched = math.ceil(COVERAGE * count - 1e-9)
+    return -(-matched // (count - matched + 1))
 
 
 def align(template: Sequence, text: Sequence, shift: int, drift: int) -> tuple[int, int, int, int]:
@@ -102,32 +119,75 @@ class Scanner:
     def __init__(self, templates: Sequence[tuple[str, str]]) -> None:
         self.grams = Grams()
         self.templates = [(name, WORDS.findall(text.lower())) for name, text in templates]
-        entries = []
+        self.short = [stretch(len(words)) < GRAM + WINDOW - 1 for _, words in self.templates]
+        #: By the words of a gram, and whether all grams are looked up or the winnowed ones.
+        self.indexes: dict[tuple[int, bool], dict[int, list[tuple[int, int]]]] = {}
         for number, (_, words) in enumerate(self.templates):
-            place, value = self.grams.winnowed(self.grams.hashes(words))
-            entries += [(int(v), number, int(p)) for p, v in zip(place, value)]
-        self.index: dict[int, list[tuple[int, int]]] = {}
-        for value, number, place in entries:
-            self.index.setdefault(value, []).append((number, place))
-        self.values = np.array(sorted(self.index), dtype=np.uint64)
-
-    def candidates(self, hashes: np.ndarray) -> list[tuple[int, int]]:
-        """(template, place where it would begin), one for each run of neighbouring diagonals."""
-        place, value = self.grams.winnowed(hashes)
-        if not len(self.values):
-            return []
-        at = np.minimum(np.searchsorted(self.values, value), len(self.values) - 1)
-        hits = np.flatnonzero(self.values[at] == value)
-        found = sorted({
-            (number, int(place[h]) - start) for h in hits for number, start in self.index[int(value[h])]
-        })
+            size = max(1, min(GRAM, stretch(len(words))))
+            grams = self.grams.grams(self.grams.hashes(words), size)
+            places = range(len(grams)) if self.short[number] else self.grams.winnowed(grams)
+            index = self.indexes.setdefault((size, self.short[number]), {})
+            for place in places:
+                index.setdefault(int(grams[place]), []).append((number, int(place)))
+        self.values = {key: np.array(sorted(index), dtype=np.uint64) for key, index in self.indexes.items()}
+
+    def diagonals(self, hashes: np.ndarray) -> list[tuple[int, int]]:
+        """(template, place where it would begin) of every gram that a template and the text share."""
+        found = set()
+        for key, values in self.values.items():
+            size, every = key
+            grams = self.grams.grams(hashes, size)
+            if not len(grams) or not len(values):
+                continue
+            place = np.arange(len(grams)) if every else self.grams.winnowed(grams)
+            value = grams[place]
+            at = np.minimum(np.searchsorted(values, value), len(values) - 1)
+            for h in np.flatnonzero(values[at] == value):
+                found |= {(number, int(place[h]) - start) for number, start in self.indexes[key][int(value[h])]}
+        return sorted(found)
+
+    def narrow(self, diagonals: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """One for each run of neighbouring diagonals."""
         kept: list[tuple[int, int]] = []
-        for number, shift in found:
+        for number, shift in diagonals:
             if kept and kept[-1][0] == number and shift - kept[-1][1] <= self.drift(number) // 2:
                 continue
             kept.append((number, shift))
         return kept
 
+    def wide(self, kept: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        """(template, first, last diagonal): the diagonals less than the wording's length apart, from each one on."""
+        found = []
+        end = 0
+        for k, (number, shift) in enumerate(kept):
+            end = max(end, k)
+            while end + 1 < len(kept) and kept[end + 1][0] == number and kept[end + 1][1] - shift < len(
+                self.templates[number][1]
+            ):
+                end += 1
+            if end > k:
+                found.append((number, shift, kept[end][1]))
+        return found
+
+    def match(self, words: list[str], number: int, first: int, last: int) -> tuple[int, float, int, int, int] | None:
+        """The best match of a template between two diagonals, in the order of preference."""
+        template = self.templates[number][1]
+        # A band needs a middle: an odd number of diagonals more is looked at in its last one.
+        reach = (last - first + 1) // 2
+        shift, drift = first + reach, self.drift(number) + reach
+        low = max(0, shift - drift)
+        part = words[low : shift + len(template) + drift]
+        held = set(part)
+        if sum(w in held for w in template) < COVERAGE * len(template) - 1e-9:
+            return None
+        _, matched, start, end = align(template, part, shift - low, drift)
+        coverage = matched / len(template)
+        if coverage < COVERAGE:
+            return None
+        if self.short[number] and not NAMES.intersection(template) <= set(part[start : end + 1]):
+            return None
+        return -matched, -coverage, number, start + low, end + low
+
     def drift(self, number: int) -> int:
         return max(DRIFT, int(DRIFT_SHARE * len(self.templates[number][1])))
 
@@ -138,19 +198,16 @@ class Scanner:
         the larger coverage, then the earlier template.
         """
         words = WORDS.findall(text.lower())
-        candidates = self.candidates(self.grams.hashes(words))
-        if not candidates:
-            return []
-        matches = []
-        for number, shift in candidates:
-            template = self.templates[number][1]
-            drift = self.drift(number)
-            low = max(0, shift - drift)
-            part = words[low : shift + len(template) + drift]
-            _, matched, first, last = align(template, part, shift - low, drift)
-            coverage = matched / len(template)
-            if coverage >= COVERAGE:
-                matches.append((-matched, -coverage, number, first + low, last + low))
+        kept = self.narrow(self.diagonals(self.grams.hashes(words)))
+        near = [self.match(words, number, shift, shift) for number, shift in kept]
+        hit = {at for at, found in zip(kept, near, strict=True) if found}
+        # Words put in, or left out, move the rest of a wording to another diagonal.
+        far = [
+            self.match(words, number, first, last)
+            for number, first, last in self.wide(kept)
+            if (number, first) not in hit and (number, last) not in hit
+        ]
+        matches = [found for found in near + far if found]
         if not matches:
             return []
         # Lower-casing may change a text's length, so places are taken from the text itself.
