@@ -139,3 +139,16 @@ def test_toxic_documents_go(spark, documents):
     kept = toxicity.drop_toxic(docs, labels)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {i for i in range(400) if i % 4}
+
+
+def test_documents_that_repeat_an_id_are_one_training_row(spark, documents):
+    hot = next(i for i in range(10) if zlib.crc32(str(i).encode()) % 5)
+    docs = documents(*[(hot, f"copy {i}") for i in range(500)], *[(i, f"t{i}") for i in range(1000, 1100)])
+    labels = spark.createDataFrame([(i, i % 2) for i in [hot, *range(1000, 1100)]], "doc_id long, toxic int")
+    for parts in (1, 7):
+        rows = common.training_rows(docs.repartition(parts), labels, "toxic", 10**6).collect()
+        texts = sorted(r.text for r in rows)
+        assert sum(t.startswith("copy") for t in texts) == 1
+        assert len(texts) == 1 + sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(1000, 1100))
+        first = texts if parts == 1 else first
+        assert texts == first

@@ -46,7 +46,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) ->
     Rows are chosen by a hash of their id at a rate that makes ``most`` the expected number (the
     spread is its square root); with fewer labelled rows all are taken. An id with several labels
     counts as 1 if any is. NULL labels and ids, and held-out ids, are never used. The chosen ids
-    are the only side that is broadcast: ``most`` bounds them.
+    are the only side that is broadcast: ``most`` bounds them. Documents that repeat an id count as
+    one, with the text of the smallest hash, so ``most`` bounds the rows too; the texts are reduced
+    map-side, so an id that very many rows hold is not gathered in one place.
     """
     known = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
@@ -58,6 +60,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) ->
     rate = int(parts * min(1.0, most / max(total, 1)))
     place = F.xxhash64(F.lit("training"), F.col("doc_id"))
     chosen = known.where(F.pmod(place, F.lit(parts)) < rate)
-    return docs.select("doc_id", text_or_empty().alias("text")).join(
-        F.broadcast(chosen), "doc_id"
-    ).select("text", "label", place.alias("order"))
+    texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
+    return (
+        texts.groupBy("doc_id", "label")
+        .agg(F.min(F.struct(F.xxhash64("text").alias("mark"), "text"))["text"].alias("text"))
+        .select("text", "label", place.alias("order"))
+    )
