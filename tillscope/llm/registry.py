@@ -12,14 +12,17 @@ from tillscope.llm import (
     bpe,
     common,
     embedding_dedup,
+    language,
     license_scan,
     line_dedup,
     minhash,
     mixing,
+    periodic,
     quality,
     simhash,
     toxicity,
     url_filter,
+    whitening,
 )
 from tillscope.llm.sql import ORACLES as _SQL
 from tillscope.sources import read_parquet
@@ -86,6 +89,22 @@ def op10_scan_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.scan_licenses(read_parquet(spark, folder, "documents"))
 
 
+def op11_whiten_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    # The operator's deviation is a decimal; as a long it is NULL where 64 bits do not hold it.
+    found = whitening.whiten(read_parquet(spark, folder, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_find_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic.report(periodic.plant_runs(read_parquet(spark, folder, "documents")))
+
+
+def op13_predict_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_parquet(spark, folder, "documents")
+    found = language.add_language(docs, language.train(docs))
+    return found.select("doc_id", common.held_out().alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_mix_sources": op2_mix_sources,
@@ -97,6 +116,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_fingerprints": op8_minhash_fingerprints,
     "op9_encode_bpe": op9_encode_bpe,
     "op10_scan_licenses": op10_scan_licenses,
+    "op11_whiten_embeddings": op11_whiten_embeddings,
+    "op12_find_periodic_runs": op12_find_periodic_runs,
+    "op13_predict_language": op13_predict_language,
     "pipeline": corpus_pipeline.run,
 }
 

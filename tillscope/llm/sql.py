@@ -67,4 +67,48 @@ SELECT page_id, host, path, rule, pattern,
 FROM patterned
 """
 
-ORACLES = {"op2_mix_sources": _OP2, "op6_filter_urls": _OP6}
+_OP12 = r"""
+WITH crc_table AS (
+  -- CRC-32 of the decimal digits of the id, a byte at a time.
+  SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)),
+    lambda v, step: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)) AS entry
+), hashed AS (
+  SELECT doc_id, xor(list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+      lambda crc, b: xor(crc >> 8, entry[(xor(crc, b) & 255) + 1])), 4294967295) AS h,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents, crc_table
+), planned AS (
+  SELECT doc_id, h, w, len(w) AS n, (h // 10) % greatest(len(w), 1) AS a, 3 + (h // 10) % 8 AS pieces FROM hashed
+), edited AS (
+  SELECT doc_id, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n),
+      lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // pieces) + 1] END) ELSE w END AS w
+  FROM planned
+), placed AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM edited
+), equal_words AS (
+  -- All places i where the word q places on is the same, as far as a square of period q could fit.
+  SELECT x.doc_id, x.i, y.i - x.i AS q
+  FROM placed x JOIN placed y ON x.doc_id = y.doc_id AND x.word = y.word AND x.i < y.i
+), islands AS (
+  SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM equal_words
+), stretches AS (
+  SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM islands GROUP BY doc_id, q, island HAVING count(*) >= q
+), runs AS (
+  SELECT doc_id, start, length, min(q) AS period FROM stretches WHERE length >= 12 GROUP BY ALL
+), per_document AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed,
+         first(struct_pack(start, length, period) ORDER BY length DESC, start, period) AS longest
+  FROM runs GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS words FROM placed
+  WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.doc_id = placed.doc_id AND placed.i >= r.start + r.period AND placed.i < r.start + r.length)
+  GROUP BY doc_id
+)
+SELECT e.doc_id, coalesce(n_runs, 0) AS n_runs, longest.start AS start, longest.length AS length, longest.period AS period,
+       1000 * longest.length // longest.period AS exponent_milli,
+       sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(words, '')) AS collapsed_sha256
+FROM edited e LEFT JOIN per_document p ON e.doc_id = p.doc_id LEFT JOIN kept k ON e.doc_id = k.doc_id
+"""
+
+ORACLES = {"op2_mix_sources": _OP2, "op6_filter_urls": _OP6, "op12_find_periodic_runs": _OP12}
