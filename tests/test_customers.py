@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tillscope import operators as op
 from tillscope.operators.ntile import ROW_BITS
-from tillscope.sources import written_table
+from tillscope.sources import intermediate_tables, written_table
 
 
 @pytest.fixture
@@ -203,3 +203,29 @@ def test_percentile_curve_against_brute_force(spark):
     assert [r.activity_avg for r in curve] == means(2, False)
     assert [r.frequency_avg for r in curve] == means(3, True)
     assert sum(r["count"] for r in curve) == 530
+
+
+@pytest.mark.parametrize("rows, k", [(0, 3), (1, 3), (2, 5), (7, 7), (100, 9), (101, 10)])
+def test_percentile_curve_of_ties_and_few_customers(spark, monkeypatch, rows, k):
+    monkeypatch.setattr("tillscope.operators.ntile.RUN_ROWS", 3)
+    pick = random.Random(rows)
+    traits = [(i, float(pick.randint(1, 4)), pick.randint(0, 2), float(pick.randint(1, 30))) for i in range(rows)]
+    df = spark.createDataFrame(traits, "user_id long, order_avg double, activity int, frequency double")
+    curve = op.trait_percentile_curve(df, k=k).collect()
+    tiles = expected_tiles(rows, k)
+    assert [r.ntile for r in curve] == sorted(set(tiles))
+    for position, reverse, name in ((1, True, "order_avg_avg"), (2, False, "activity_avg"), (3, True, "frequency_avg")):
+        ordered = sorted((t[position] for t in traits), reverse=reverse)
+        for r in curve:
+            own = [v for t, v in zip(tiles, ordered) if t == r.ntile]
+            assert r[name] == pytest.approx(sum(own) / len(own)) and r["count"] == len(own)
+
+
+def test_percentile_curve_sorts_values_and_not_customers(spark):
+    """Few days of silence and few frequencies: their rows in the sort are as few."""
+    rows = [(i, float(i), i % 5, float(i % 3)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "user_id long, order_avg double, activity int, frequency double")
+    with intermediate_tables(spark) as paths:
+        op.trait_percentile_curve(df).collect()
+        stored = spark.read.parquet(paths[0]).groupBy("no").count().collect()
+    assert {r.no: r["count"] for r in stored} == {0: 3000, 1: 5, 2: 3}

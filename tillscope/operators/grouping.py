@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tillscope.constants import BIN_MARGIN
 from tillscope.functions import ascending, range_label
-from tillscope.operators.ntile import add_ntile, add_position, tile_of
+from tillscope.operators.ntile import add_ntile, add_weight_before, tile_of, tile_start
 from tillscope.operators.traits import TRAITS
 
 
@@ -105,7 +105,9 @@ def trait_percentile_curve(traits: DataFrame, k: int = 100) -> DataFrame:
         "activity": F.col("activity"),
         "frequency": -F.col("frequency"),
     }
-    # One sort for all three: the customers once per trait, one trait behind the other.
+    # Customers of one value are alike for its curve: a row per trait and value, with their number,
+    # takes the place of a row per trait and customer. Counted map-side, days of silence and numbers
+    # of orders come down to few rows before anything is shuffled or sorted.
     entries = F.array(
         *[
             F.struct(
@@ -116,13 +118,24 @@ def trait_percentile_curve(traits: DataFrame, k: int = 100) -> DataFrame:
             for no, (trait, order) in enumerate(best_first.items())
         ]
     )
-    listed = known.select("user_id", F.explode(entries).alias("e")).select("user_id", "e.*")
-    order = [F.col(c) for c in ("no", "place", "user_id")]
-    placed = add_position(listed, order, "_position", "_total")
-    customers = (F.col("_total") / len(TRAITS)).cast("long")
-    tile = tile_of(F.col("_position") - F.col("no") * customers, customers, k)
-    means = placed.groupBy("no", tile.alias("ntile")).agg(
-        F.avg("value").alias("mean"), F.count(F.lit(1)).alias("rows")
+    listed = known.select(F.explode(entries).alias("e")).select("e.*")
+    runs = listed.groupBy("no", "place", "value").agg(F.count(F.lit(1)).alias("customers"))
+    placed = add_weight_before(runs, [F.col("no"), F.col("place")], "customers", "_before", "_total")
+    total = F.floor(F.col("_total") / len(TRAITS)).cast("long")
+    first = F.col("_before") - F.col("no") * total
+    past = first + F.col("customers")
+    # A run lies in one tile or goes on over several; each takes its part of the customers.
+    tiles = F.sequence(tile_of(first, total, k), tile_of(past - 1, total, k))
+    shared = (
+        placed.select("no", "value", total.alias("total"), first.alias("first"), past.alias("past"), F.explode(tiles).alias("ntile"))
+        .withColumn(
+            "rows",
+            F.least("past", tile_start(F.col("ntile") + 1, F.col("total"), k))
+            - F.greatest("first", tile_start(F.col("ntile"), F.col("total"), k)),
+        )
+    )
+    means = shared.groupBy("no", "ntile").agg(
+        (F.sum(F.col("value") * F.col("rows")) / F.sum("rows")).alias("mean"), F.sum("rows").alias("rows")
     )
     curves = [
         F.max(F.when(F.col("no") == no, F.col("mean"))).alias(f"{trait}_avg")

@@ -13,6 +13,8 @@ from tillscope.sources import written_table
 
 # monotonically_increasing_id() keeps the row number within a partition in the lower 33 bits.
 ROW_BITS = 33
+#: Neighbouring rows whose weights are added up in one window group.
+RUN_ROWS = 1 << 20
 
 
 def add_ntile(
@@ -66,6 +68,40 @@ def add_position(df: DataFrame, order: Sequence[Column], position: str, total: s
     )
 
 
+def add_weight_before(
+    df: DataFrame, order: Sequence[Column], weight: str, before: str, total: str
+) -> DataFrame:
+    """Add the summed weight of all rows earlier in the order, and of all rows.
+
+    For runs of equal values with their counts this is the position of the first row of a run,
+    without a row for every row behind it. The rows are sorted and written as by
+    :func:`add_position`; the sums then run within the partitions of that sort, one task each.
+    """
+    placed = add_position(df, order, "_row", "_rows").withColumn(
+        "_part", F.floor(F.col("_row") / F.lit(RUN_ROWS))
+    )
+    sums = placed.groupBy("_part").agg(F.sum(weight).alias("_weight"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(
+        "_part",
+        F.coalesce(F.sum("_weight").over(earlier), F.lit(0)).alias("_offset"),
+        F.sum("_weight").over(Window.partitionBy()).alias(total),
+    )
+    within = Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        placed.withColumn("_within", F.coalesce(F.sum(weight).over(within), F.lit(0)))
+        .join(F.broadcast(offsets), "_part")
+        .select(*df.columns, (F.col("_offset") + F.col("_within")).alias(before), total)
+    )
+
+
+def tile_start(tile: Column, total: Column, k: int) -> Column:
+    """Position of the first row of a tile, which is that of ``total`` rows behind the last one."""
+    more = total % k
+    size = F.floor((total - more) / k).cast("long")
+    return (tile - 1) * size + F.least(tile - 1, more)
+
+
 def tile_of(position: Column, total: Column, k: int) -> Column:
     """Tile of a position: the first ``total % k`` tiles hold one row more than the others."""
     more = total % k
