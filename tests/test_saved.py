@@ -1,0 +1,219 @@
+"""Tables that last: untouched files stay, saved buckets and months spare shuffles and reads."""
+
+from __future__ import annotations
+
+import random
+import re
+from datetime import date, timedelta
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from tillscope import operators as op
+from tillscope.plans import queries
+from tillscope.sources import (
+    intermediate_name,
+    intermediate_path,
+    intermediate_tables,
+    key_part,
+    save_by_month,
+    save_by_part,
+    save_table,
+    save_view,
+    update_in_place,
+)
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def files_of(path):
+    """Name, size and time of every data file, by folder."""
+    found = {}
+    for file in Path(path).rglob("*.parquet"):
+        found.setdefault(file.parent.name, set()).add((file.name, file.stat().st_size, file.stat().st_mtime_ns))
+    return found
+
+
+def settings(spark, rows):
+    return spark.createDataFrame(rows, "job_id string, filter_name string, part int")
+
+
+def test_update_in_place_leaves_other_files_alone(spark, tmp_path):
+    path = str(tmp_path / "filters")
+    rows = [(f"job_{i}", str(i), i % 7) for i in range(200)] + [("job_none", "9", None), (None, None, 3)]
+    save_by_part(settings(spark, rows), path, "part")
+    before = files_of(path)
+    assert len(before) == 8
+    assert update_in_place(spark, path, "part", F.col("job_id").isin("job_3", "job_10"), "filter_name", "500") == 1
+    after = files_of(path)
+    assert {f for f in before if before[f] != after[f]} == {"part=3"}
+    expected = {(j, "500" if j in ("job_3", "job_10") else f, p) for j, f, p in rows}
+    assert {tuple(r) for r in spark.read.parquet(path).collect()} == expected
+    # Nothing to change: no match, a NULL condition, or the value is there already.
+    for condition in (F.col("job_id") == "nobody", F.lit(None).cast("boolean"), F.col("job_id") == "job_3"):
+        assert update_in_place(spark, path, "part", condition, "filter_name", "500") == 0
+        assert files_of(path) == after
+    # The folder of rows without a part, and NULL as the new value.
+    assert update_in_place(spark, path, "part", F.col("job_id").isin("job_none", "job_4"), "filter_name", None) == 2
+    last = files_of(path)
+    assert {f for f in after if after[f] != last[f]} == {"part=4", "part=__HIVE_DEFAULT_PARTITION__"}
+    found = {r.job_id: r.filter_name for r in spark.read.parquet(path).collect()}
+    assert found["job_none"] is None and found["job_4"] is None and len(found) == 202
+    with pytest.raises(ValueError):
+        update_in_place(spark, path, "part", F.lit(True), "part", 1)
+
+
+def test_an_update_by_key_reads_the_key_folder_only(spark, tmp_path):
+    path = str(tmp_path / "keyed")
+    rows = spark.range(1000).select(F.concat(F.lit("job_"), "id").alias("job_id"), F.lit("1").alias("filter_name"))
+    save_by_part(rows.withColumn("part", key_part("job_id", 16)), path, "part")
+    wanted = (F.col("part") == key_part(F.lit("job_77"), 16)) & (F.col("job_id") == "job_77")
+    plan = plan_of(spark.read.parquet(path).where(wanted))
+    assert re.search(r"PartitionFilters: \[[^\]]*part#\d+ = \d+", plan) and "EqualTo(job_id,job_77)" in plan
+    assert update_in_place(spark, path, "part", wanted, "filter_name", "500") == 1
+    assert [r.job_id for r in spark.read.parquet(path).where("filter_name = '500'").collect()] == ["job_77"]
+
+
+def test_queries_leave_nothing_behind(spark):
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before, tables = set(shared.iterdir()), spark.catalog.listTables()
+    for name in ("rewritten_filters", "known_buyers_from_saved", "users_trait_saved", "sales_of_windows"):
+        with intermediate_tables(spark):
+            assert queries.QUERIES[name](spark, FOLDER).collect() is not None
+            assert set(shared.iterdir()) != before
+        assert set(shared.iterdir()) == before and spark.catalog.listTables() == tables, name
+
+
+def test_the_saved_side_of_a_join_is_not_shuffled(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with intermediate_tables(spark):
+            found = queries.known_buyers_from_saved(spark, FOLDER)
+            plan = plan_of(found)
+            found.collect()
+            final = plan_of(found).split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for text in (plan, final):
+        side = text[: text.index("min_date#")]
+        saved = [line for line in text.split("\n") if "FileScan" in line and "min_date" in line]
+        assert len(saved) == 1 and "Bucketed: true" in saved[0] and "SelectedBucketsCount" in saved[0]
+        # Between the scan of the saved table and the join above it lie only a filter and a sort.
+        above = text[: text.index(saved[0])].rstrip().split("\n")
+        depth = lambda line: len(re.match(r"[\s:+\-|*]*", line).group())
+        path, limit = [], depth(saved[0])
+        for line in reversed(above):
+            if depth(line) < limit:
+                path.append(line)
+                limit = depth(line)
+            if "SortMergeJoin" in line and depth(line) == limit:
+                break
+        assert path and "SortMergeJoin" in path[-1] and not any("Exchange" in line for line in path), (path, side)
+
+
+def test_a_saved_table_has_one_file_per_bucket(spark, tmp_path):
+    path = str(tmp_path / "buckets")
+    rows = spark.range(1000).repartition(6).selectExpr("id AS user_id", "id % 7 AS x")
+    save_table(rows, intermediate_name("probe"), ["user_id"], 5, path=path)
+    assert len(list(Path(path).glob("*.parquet"))) == 5
+
+
+def test_a_saved_view_keeps_its_comments_in_a_new_session(spark, lines):
+    traits = op.user_traits(lines([(1, 1, "A", "2016-01-01"), (2, 2, "B", "2016-02-01")]))
+    with intermediate_tables(spark):
+        view, table = intermediate_name("view", "VIEW"), intermediate_name("table")
+        saved = op.save_users_trait(traits, view, table, intermediate_path(spark, "traits"))
+        assert sorted(saved.collect()) == sorted(traits.collect()) and saved.dtypes == traits.dtypes
+        other = spark.newSession()
+        columns = {c.name: c.description for c in other.catalog.listColumns(view)}
+        assert columns == {"user_id": "customer id", "order_avg": "money per order",
+                           "activity": "days since the last order", "frequency": "orders per month"}
+        said = {r.col_name: r.data_type for r in other.sql(f"DESCRIBE TABLE EXTENDED {view}").collect()}
+        assert said["Comment"] == "customer traits" and said["Type"] == "VIEW"
+        assert other.table(view).count() == 2
+        # Saved once more, with names and comments that have to be quoted.
+        odd = spark.range(2).select(F.col("id").alias("a `b` c"))
+        again = save_view(odd, view, table, "it's \\ new", {"a `b` c": "the \"key\"'s"}, intermediate_path(spark, "odd"))
+        assert again.count() == 2
+        assert [c.description for c in other.catalog.listColumns(view)] == ["the \"key\"'s"]
+        assert other.sql(f"DESCRIBE TABLE EXTENDED {view}").where("col_name = 'Comment'").first().data_type == "it's \\ new"
+
+
+@pytest.fixture
+def two_years(lines):
+    pick = random.Random(1)
+    days = [date(2015, 1, 1) + timedelta(days=pick.randrange(730)) for _ in range(600)]
+    rows = [(i % 40, i, str(i % 5), str(d), 1.0 + i % 3, i) for i, d in enumerate(days)]
+    return lines(rows + [(1, 1000, "1", None), (2, 1001, "2", None)])
+
+
+def scanned(df):
+    """Rows that the scans of a DataFrame gave when it was run."""
+    df.collect()
+    plans, total = [df._jdf.queryExecution().executedPlan()], 0
+    while plans:
+        plan = plans.pop()
+        if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            plans.append(plan.executedPlan())
+            continue
+        if plan.getClass().getSimpleName() == "FileSourceScanExec":
+            total += plan.metrics().apply("numOutputRows").value()
+        if hasattr(plan, "plan") and "QueryStage" in plan.getClass().getSimpleName():
+            plans.append(plan.plan())
+        children = plan.children()
+        plans += [children.apply(i) for i in range(children.size())]
+    return total
+
+
+def test_only_the_months_asked_for_are_read(spark, two_years, tmp_path):
+    saved = save_by_month(two_years, str(tmp_path / "months"))
+    everything = two_years.collect()
+    assert len(list((tmp_path / "months").glob("pay_month=*"))) == 25
+    start, end = date(2015, 11, 10), date(2016, 1, 20)
+    in_months = sum(r.pay_date is not None and date(2015, 11, 1) <= r.pay_date <= date(2016, 1, 31) for r in everything)
+    for name, query in {
+        "range": lambda o: op.orders_in_range(o, start, end),
+        "daily": lambda o: op.daily_sales(o, start, end),
+        "valid": lambda o: op.valid_sales(op.between_dates(o, start, end)),
+    }.items():
+        found = query(saved)
+        assert re.search(r"PartitionFilters: \[[^\]]*pay_month#\d+ >= 2015-11-01[^\]]*pay_month#\d+ <= 2016-01-01", plan_of(found)), name
+        assert sorted(found.drop("pay_month").collect()) == sorted(query(two_years).collect()), name
+        assert scanned(query(saved)) <= in_months, name
+    day = op.orders_on_day(saved, "2016-02-10")
+    assert sorted(day.drop("pay_month").collect()) == sorted(op.orders_on_day(two_years, "2016-02-10").collect())
+    assert scanned(day) <= sum(r.pay_date is not None and (r.pay_date.year, r.pay_date.month) == (2016, 2) for r in everything)
+
+
+def test_windows_prune_the_months_they_do_not_touch(spark, two_years, tmp_path):
+    saved = save_by_month(two_years, str(tmp_path / "months"))
+    rows = [
+        ("a", date(2015, 3, 20), date(2015, 5, 2)), ("b", date(2015, 4, 1), date(2015, 4, 1)),
+        ("late", date(2016, 1, 1), date(2016, 12, 31)), ("swapped", date(2015, 6, 2), date(2015, 6, 1)),
+        ("open", date(2015, 6, 1), None), (None, date(2015, 4, 30), date(2015, 5, 1)),
+    ]
+    path = str(tmp_path / "windows")
+    spark.createDataFrame(rows, "name string, start_date date, finish_date date").write.parquet(path)
+    windows = spark.read.parquet(path)
+    expected = sorted(
+        (repr(name), r.order_id) for name, a, b in rows for r in two_years.collect()
+        if b is not None and r.pay_date is not None and a <= r.pay_date <= b
+    )
+    for orders in (saved, two_years):
+        found = op.orders_in_windows(orders, windows)
+        assert sorted((repr(r.name), r.order_id) for r in found.collect()) == expected
+        assert found.columns == [*two_years.columns, "name", "start_date", "finish_date"]
+    few = op.orders_in_windows(saved, windows.filter("name in ('a', 'b')"))
+    assert "dynamicpruning" in plan_of(few)
+    spring = sum(r.pay_date is not None and date(2015, 3, 1) <= r.pay_date < date(2015, 6, 1) for r in two_years.collect())
+    assert scanned(few) <= spring + 2 * len(rows)
+
+
+def test_saved_months_of_no_lines(spark, lines, tmp_path):
+    saved = save_by_month(lines([]), str(tmp_path / "none"))
+    assert op.orders_in_range(saved, "2016-01-01", "2016-02-01").collect() == []

@@ -20,7 +20,7 @@ BY_TRAIT = {
 
 SCHEMAS = {
     **dict.fromkeys(
-        ("valid_sales", "orders_in_range", "orders_on_day", "orders_of_products", "category_orders", "category_orders_on_day"),
+        ("valid_sales", "orders_in_range", "orders_in_range_by_month", "orders_on_day", "orders_of_products", "category_orders", "category_orders_on_day"),
         LINES,
     ),
     "date_bounds": "min_date date, max_date date",
@@ -36,7 +36,7 @@ SCHEMAS = {
     **dict.fromkeys(("purchase_breadth", "purchase_breadth_unmerged"), "month string, category bigint, num bigint"),
     "product_monthly_growth": "month string, product_id string, product_name string, sales_num double, vspp double",
     **dict.fromkeys(("calendar_monthly_growth", "calendar_growth_of_category"), "month string, sales_num double, vspp double"),
-    **dict.fromkeys(("daily_sales", "daily_sales_all"), "pay_date date, sales_num double"),
+    **dict.fromkeys(("daily_sales", "daily_sales_all", "daily_sales_by_month"), "pay_date date, sales_num double"),
     **dict.fromkeys(("active_rate_month", "active_rate_all"), RATE),
     "monthly_customers": "month string, customer_count bigint",
     **dict.fromkeys(
@@ -49,6 +49,8 @@ SCHEMAS = {
     " b_lines bigint, b_quantity double, b_pay_amt double, line_pairs bigint",
     "pair_lines": f"{LINES}, partner_lines bigint",
     **dict.fromkeys(("user_min_order_date", "min_date_of_predicted"), "user_id bigint, min_date date"),
+    "sales_of_windows": "name string, lines bigint, money decimal(38,2), first_date date, last_date date",
+    "users_trait_saved": "user_id bigint, order_avg double, activity int, frequency double",
     "users_trait": "user_id bigint, order_avg double, activity int, frequency double",
     "trait_percentile_curve": "order_avg_avg double, activity_avg double, frequency_avg double, ntile bigint, count bigint",
     "prediction_window": "name string, start_date date, finish_date date, min_pay_date date, max_pay_date date",

@@ -13,5 +13,8 @@ DAYS_PER_MONTH = 30.0
 # Added to the largest value so that it falls inside the last equal-width bin.
 BIN_MARGIN = 0.0001
 
+# Column that names the folders of order lines saved by month: the first day of the month.
+MONTH_PART = "pay_month"
+
 # Probability given to buyers without a prediction.
 DEFAULT_P_OBS = 0.0

@@ -32,6 +32,7 @@ from tillscope.operators.sales import (
     date_bounds,
     last_date,
     orders_in_range,
+    orders_in_windows,
     orders_of_listed,
     orders_of_products,
     orders_on_day,
@@ -44,6 +45,7 @@ from tillscope.operators.sales import (
 from tillscope.operators.topn import monthly_top_named, monthly_top_products, top_products
 from tillscope.operators.traits import (
     register_users_trait,
+    save_users_trait,
     traits_of_totals,
     user_min_order_date,
     user_totals,
@@ -90,6 +92,7 @@ __all__ = [
     "monthly_top_named",
     "monthly_top_products",
     "orders_in_range",
+    "orders_in_windows",
     "orders_of_listed",
     "orders_of_products",
     "orders_on_day",
@@ -103,6 +106,7 @@ __all__ = [
     "register_users_trait",
     "returning_customers",
     "row_count",
+    "save_users_trait",
     "top_products",
     "top_rank_sum",
     "total_customers",

@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillscope.constants import SENT
+from tillscope.constants import MONTH_PART, SENT
 from tillscope.functions import age_parts, month_of, whole_days
 
 
@@ -35,10 +35,15 @@ def between_dates(
     column: str = "pay_date",
     left_open: bool = False,
 ) -> DataFrame:
-    """Rows dated from ``start`` to ``end``, both included unless ``left_open``."""
-    value, first = F.col(column), F.lit(start).cast("date")
+    """Rows dated from ``start`` to ``end``, both included unless ``left_open``.
+
+    Of order lines saved by month only the folders of the months in question are read.
+    """
+    value, first, last = F.col(column), F.lit(start).cast("date"), F.lit(end).cast("date")
+    if column == "pay_date" and MONTH_PART in df.columns:
+        df = df.filter(F.col(MONTH_PART).between(month_of(first), month_of(last)))
     lower = value > first if left_open else value >= first
-    return df.filter(lower & (value <= F.lit(end).cast("date")))
+    return df.filter(lower & (value <= last))
 
 
 def orders_in_range(orders: DataFrame, start: date | str, end: date | str) -> DataFrame:
@@ -48,7 +53,27 @@ def orders_in_range(orders: DataFrame, start: date | str, end: date | str) -> Da
 
 def orders_on_day(orders: DataFrame, day: date | str) -> DataFrame:
     """All columns of the order lines of one day."""
-    return orders.filter(F.col("pay_date") == F.lit(day).cast("date"))
+    return between_dates(orders, day, day)
+
+
+def orders_in_windows(
+    orders: DataFrame, windows: DataFrame, start: str = "start_date", end: str = "finish_date"
+) -> DataFrame:
+    """All columns of the order lines and of the windows, a row per line and window that holds it.
+
+    Both ends of a window count. Each window is dealt to the months it touches, at most one row per
+    window and month, and the lines are joined by their month. Of order lines saved by month, the
+    scan reads only the folders of months that a window touches, whatever its filters: they are
+    known when the windows have been read. Lines without a date, and windows without a start or an
+    end, or with the end before the start, have no partner.
+    """
+    if MONTH_PART not in orders.columns:
+        orders = orders.withColumn(MONTH_PART, month_of("pay_date"))
+    first, last = F.col(start), F.col(end)
+    months = F.sequence(month_of(first), month_of(last), F.expr("interval 1 month"))
+    dealt = windows.filter(first <= last).withColumn(MONTH_PART, F.explode(months))
+    held = F.col("pay_date").between(first, last)
+    return orders.join(dealt, MONTH_PART).filter(held).drop(MONTH_PART)
 
 
 def orders_of_products(orders: DataFrame, product_ids: Sequence[str]) -> DataFrame:

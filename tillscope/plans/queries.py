@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -12,7 +11,17 @@ from pyspark.sql import functions as F
 from tillscope import operators as op
 from tillscope.functions import comparable
 from tillscope.sources import testdata as data
-from tillscope.sources import rewrite_where, shared_folder, update_where, written_table
+from tillscope.constants import MONTH_PART
+from tillscope.sources import (
+    intermediate_name,
+    intermediate_path,
+    key_part,
+    save_by_month,
+    save_by_part,
+    save_table,
+    update_in_place,
+    update_where,
+)
 
 MONTH = "1998-04"
 YEAR_START, YEAR_END = "1998-01-01", "1998-12-31"
@@ -29,6 +38,10 @@ TOP_RANK = 1000
 # Parameters of the lift curves: the rank cut, and the rank of buyers without a prediction.
 MAX_RANK, DEFAULT_RANK = 50000, 27511
 AS_OF = date(2002, 1, 1)
+# Campaigns that start in the second half of 1997, as a filter on their names.
+WINDOWS_FROM, WINDOWS_TO = "job_1997-01", "job_1997-06"
+# Folders of the campaigns' filter settings.
+FILTER_PARTS = 8
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -90,6 +103,49 @@ def users_trait(spark: SparkSession, folder: str) -> DataFrame:
     return op.register_users_trait(traits_of(spark, folder))
 
 
+def lines_by_month(spark: SparkSession, folder: str) -> DataFrame:
+    """The order lines, saved in a folder per month."""
+    return save_by_month(data.order_lines(spark, folder), intermediate_path(spark, "by-month"))
+
+
+def rewritten_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """The filter settings after one campaign's was changed where they are stored."""
+    path = intermediate_path(spark, "filters")
+    stored = data.first_filters(spark, folder).withColumn("part", key_part("job_id", FILTER_PARTS))
+    save_by_part(stored, path, "part")
+    of_job = (F.col("part") == key_part(F.lit(JOB), FILTER_PARTS)) & (F.col("job_id") == JOB)
+    update_in_place(spark, path, "part", of_job, "filter_name", "500")
+    return spark.read.schema(stored.schema).parquet(path).drop("part")
+
+
+def known_buyers_from_saved(spark: SparkSession, folder: str) -> DataFrame:
+    """Buyers of a job who ordered before, by the first order dates saved in buckets."""
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = intermediate_path(spark, "first-orders")
+    saved = save_table(min_dates_of(spark, folder), intermediate_name("first_orders"), ["user_id"], buckets, path=path)
+    sales = sales_of(spark, folder, "product_id")
+    return op.audience_by_products(sales, saved, data.jobs(spark, folder), JOB, before=YEAR_START)
+
+
+def users_trait_saved(spark: SparkSession, folder: str) -> DataFrame:
+    """The traits through a lasting view of the stored rows."""
+    path = intermediate_path(spark, "traits")
+    table, view = intermediate_name("traits"), intermediate_name("users_trait", "VIEW")
+    return op.save_users_trait(traits_of(spark, folder), view, table, path)
+
+
+def sales_of_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines, quantity and money within the window of each of some campaigns."""
+    windows = data.job_windows(spark, folder).filter(F.col("name").between(WINDOWS_FROM, WINDOWS_TO))
+    lines = op.orders_in_windows(lines_by_month(spark, folder), windows)
+    return lines.groupBy("name").agg(
+        F.count(F.lit(1)).alias("lines"),
+        F.sum("pay_amt").cast("decimal(38,2)").alias("money"),
+        F.min("pay_date").alias("first_date"),
+        F.max("pay_date").alias("last_date"),
+    )
+
+
 def _registered() -> dict[str, Query]:
     lines, products = data.order_lines, data.products
     predict, jobs = data.predictions, data.jobs
@@ -135,14 +191,15 @@ def _registered() -> dict[str, Query]:
         "update_where": lambda s, d: update_where(
             data.first_filters(s, d), F.col("job_id") == JOB, "filter_name", "500"
         ),
-        "rewritten_filters": lambda s, d: rewrite_where(
-            data.first_filters(s, d), F.col("job_id") == JOB, "filter_name", "500",
-            f"{shared_folder(s)}/rewritten-filters-{uuid.uuid4().hex}",
-        ),
-        "known_buyers_from_saved": lambda s, d: op.audience_by_products(
-            sales_of(s, d, "product_id"), written_table(min_dates_of(s, d), "first-orders"),
-            jobs(s, d), JOB, before=YEAR_START,
+        "rewritten_filters": rewritten_filters,
+        "known_buyers_from_saved": known_buyers_from_saved,
+        "orders_in_range_by_month": lambda s, d: op.orders_in_range(
+            lines_by_month(s, d), RANGE_START, RANGE_END
+        ).drop(MONTH_PART),
+        "daily_sales_by_month": lambda s, d: op.daily_sales(
+            lines_by_month(s, d), RANGE_START, RANGE_END, [PRODUCT]
         ),
+        "sales_of_windows": sales_of_windows,
         "predict_row_count": lambda s, d: op.row_count(predict(s, d)),
         # best sellers
         "topn_with_others": lambda s, d: op.top_products(op.valid_sales(lines(s, d), ())),
@@ -177,6 +234,7 @@ def _registered() -> dict[str, Query]:
         "user_min_order_date": min_dates_of,
         "min_date_of_predicted": lambda s, d: op.user_min_order_date(lines(s, d), predict(s, d)),
         "users_trait": users_trait,
+        "users_trait_saved": users_trait_saved,
         "trait_percentile_curve": lambda s, d: op.trait_percentile_curve(traits_of(s, d)),
         # campaigns
         "prediction_window": lambda s, d: op.prediction_window(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,7 +65,7 @@ def register_view(df: DataFrame, name: str, comments: dict[str, str] | None = No
 def rewrite_where(df: DataFrame, condition: Column, column: str, value: object, path: str) -> DataFrame:
     """Write the table with :func:`update_where` applied to a new path, and read it from there.
 
-    A plain file table cannot be changed in place while it is read; point its readers to the path.
+    For a table in folders, :func:`update_in_place` rewrites only the folders that change.
     """
     update_where(df, condition, column, value).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -79,23 +79,8 @@ def update_where(df: DataFrame, condition: Column, column: str, value: object) -
     return df.withColumn(column, F.when(condition, F.lit(value)).otherwise(F.col(column)))
 
 
-def save_table(
-    df: DataFrame, name: str, keys: Sequence[str] = (), buckets: int = 0, mode: str = "overwrite"
-) -> DataFrame:
-    """Save a derived table to the catalog, such as the first order date of every customer.
-
-    With ``keys`` the table is bucketed and sorted by them, and later joins and aggregations on
-    the keys need no shuffle of it. Bucket only tables that hold one row per key: a key that
-    repeats very often would make one bucket far larger than the others.
-    """
-    writer = df.write.mode(mode)
-    if keys:
-        writer = writer.bucketBy(buckets, *keys).sortBy(*keys)
-    writer.saveAsTable(name)
-    return df.sparkSession.table(name)
-
-
 _open_scopes: list[list[str]] = []
+_open_tables: list[list[tuple[str, str]]] = []
 
 
 def written_table(df: DataFrame, name: str) -> DataFrame:
@@ -106,25 +91,44 @@ def written_table(df: DataFrame, name: str) -> DataFrame:
     whether the table is small enough to broadcast. The files stay until the caller's
     :func:`intermediate_tables` scope ends; without one they follow the folder's retention.
     """
-    path = f"{shared_folder(df.sparkSession)}/tillscope-{name}-{uuid.uuid4().hex}"
-    if _open_scopes:
-        _open_scopes[-1].append(path)
+    path = intermediate_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def intermediate_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed with the caller's :func:`intermediate_tables` scope."""
+    path = f"{shared_folder(spark)}/tillscope-{name}-{uuid.uuid4().hex}"
+    if _open_scopes:
+        _open_scopes[-1].append(path)
+    return path
+
+
+def intermediate_name(name: str, kind: str = "TABLE") -> str:
+    """A new name for a catalog table or view, dropped with the caller's scope as well."""
+    found = f"tillscope_{name}_{uuid.uuid4().hex}"
+    if _open_tables:
+        _open_tables[-1].append((kind, found))
+    return found
+
+
 @contextmanager
 def intermediate_tables(spark: SparkSession) -> Iterator[list[str]]:
-    """Remove, at the end, every intermediate table written inside, on any file system.
+    """Remove, at the end, every intermediate table written or named inside, on any file system.
 
     Read or save the results before the scope ends: they are computed from these tables.
     """
     paths: list[str] = []
+    names: list[tuple[str, str]] = []
     _open_scopes.append(paths)
+    _open_tables.append(names)
     try:
         yield paths
     finally:
-        _open_scopes.remove(paths)
+        _open_scopes.pop()
+        _open_tables.pop()
+        for kind, name in reversed(names):
+            spark.sql(f"DROP {kind} IF EXISTS {name}")
         for path in paths:
             folder, files = _file_system(spark, path)
             files.delete(folder, True)
