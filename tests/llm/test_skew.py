@@ -1,0 +1,69 @@
+"""A third of the rows in one passage, one component, one id: how evenly do tasks read?"""
+
+from __future__ import annotations
+
+import json
+import subprocess
+import sys
+from collections import defaultdict
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from tillscope.llm.common import join_per_key
+
+#: Largest share of a large stage's shuffled rows that one task may read.
+SHARE, LARGE = 0.15, 10_000
+ROWS = 60_000
+
+
+@pytest.fixture(scope="module")
+def run(tmp_path_factory):
+    """The folder of the results, and per operator the shuffled rows read by each task of each stage."""
+    folder = tmp_path_factory.mktemp("skew")
+    script = Path(__file__).with_name("skew_job.py")
+    subprocess.run([sys.executable, str(script), str(folder)], check=True, timeout=900, capture_output=True)
+    query_of, tasks = {}, defaultdict(lambda: defaultdict(list))
+    for path in (folder / "events").iterdir():
+        for line in path.open():
+            event = json.loads(line)
+            if event["Event"] == "SparkListenerJobStart":
+                for stage in event["Stage IDs"]:
+                    query_of[stage] = (event.get("Properties") or {}).get("spark.jobGroup.id")
+            elif event["Event"] == "SparkListenerTaskEnd" and event.get("Task Metrics"):
+                read = event["Task Metrics"]["Shuffle Read Metrics"]["Total Records Read"]
+                tasks[query_of.get(event["Stage ID"])][event["Stage ID"]].append(read)
+    return folder, tasks
+
+
+@pytest.mark.parametrize("name", ["lines", "components", "next"])
+def test_no_task_reads_a_hot_key_alone(run, name):
+    large = {s: rows for s, rows in run[1][name].items() if sum(rows) >= LARGE}
+    assert large
+    for stage, rows in large.items():
+        assert max(rows) <= SHARE * sum(rows), (stage, max(rows), sum(rows))
+
+
+def test_results_are_whole(spark, run):
+    lines = spark.read.parquet(f"{run[0]}/lines")
+    # All documents with the passage but the first; of the others all but the first of each.
+    assert lines.where("source = 0").select("id").distinct().count() == ROWS // 3 - 1
+    found = spark.read.parquet(f"{run[0]}/components")
+    assert found.where("component = 0").count() == ROWS
+    following = spark.read.parquet(f"{run[0]}/next")
+    assert following.count() == ROWS and following.where("next_text is null").count() == 0
+    assert following.select("next_text").distinct().count() == ROWS
+
+
+@pytest.mark.parametrize("hot", [0, 1, 5, 400])
+def test_rows_joined_by_key_hot_or_not(spark, hot):
+    rows = [(k, str(k), i) for k in range(hot) for i in range(40)] + [(1000 + i, "x", i) for i in range(30)]
+    table = spark.createDataFrame([*rows, (None, "x", 1), (2000, None, 2)], "a long, b string, v long")
+    per_key = table.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("top")).where("a < 1010 or a is null")
+    found = join_per_key(table, per_key, ["a", "b"])
+    assert found.columns == ["a", "b", "v", "top"]
+    top = {}
+    for a, b, v in rows:
+        top[a, b] = max(top.get((a, b), 0), v)
+    assert sorted(map(tuple, found.collect())) == sorted((a, b, v, top[a, b]) for a, b, v in rows if a < 1010)

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillscope.sources import written_table
+
 #: A word is a longest stretch without the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SEPARATORS = r"[\x20\x09-\x0D]+"
 
+#: A key that holds more than one row in so many is hot.
+HOT = 200
+
 #: Rows with this remainder of crc32(doc_id as text) are held out; models never learn from them.
 FOLDS, HELD_OUT_FOLD = 5, 0
 
@@ -34,6 +39,22 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def join_per_key(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], hint: str = "shuffle_hash") -> DataFrame:
+    """Inner join of rows with a table of one row per key, in which ``n`` is the key's number of rows.
+
+    A key with more than the ``HOT``-th part of all rows is joined by broadcast: there are fewer
+    than ``HOT`` such keys, whatever the size of the tables, and their rows stay where they are. All
+    other rows are shuffled by key, as ``hint`` says, and none of their keys can fill a task. ``n``
+    is left out; ``per_key`` is written once, ``rows`` read twice.
+    """
+    per_key = written_table(per_key, "per-key")
+    total = per_key.agg(F.sum("n")).first()[0] or 0
+    hot = per_key.where(F.col("n") * HOT > total).drop("n")
+    rest = per_key.where(F.col("n") * HOT <= total).drop("n")
+    others = rows.join(F.broadcast(hot.select(*keys)), list(keys), "left_anti")
+    return rows.join(F.broadcast(hot), list(keys)).unionByName(others.join(rest.hint(hint), list(keys)))
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Whether a row is kept out of learning (a NULL id counts as the empty text)."""
     key = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))

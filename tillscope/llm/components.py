@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillscope.llm.common import join_per_key
 from tillscope.sources import written_table
 
 
@@ -44,9 +45,10 @@ def components(edges: DataFrame) -> DataFrame:
     ends are dropped. Large-star and small-star steps alternate: the first hangs every larger
     neighbour of a node on the node's smallest neighbour, the second does so with the smaller ones.
     Each step is a smallest-neighbour aggregation (with map-side combine, so a hub is one row per
-    task) and a join back on the node, which adaptive execution splits where a hub is large. The
-    edges of a step are written, so a lost executor repeats one step at most; the number of steps
-    grows with the logarithm of the longest chain. No edges give no rows.
+    task) and a join back on the node (``join_per_key``), in which the edges of a hub are not
+    shuffled: every component ends as a star, so a giant one is a hub in each step. The edges of a
+    step are written, so a lost executor repeats one step at most; the number of steps grows with
+    the logarithm of the longest chain. No edges give no rows.
     """
     a, b = F.col("a"), F.col("b")
     apart = edges.where("a is not null and b is not null and a <> b")
@@ -57,15 +59,15 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # Large star: seen from each node, the larger neighbours go to the smallest of all.
         both = now.unionByName(now.select(b.alias("a"), a.alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        large = both.where("b > a").join(low, "a").select(b.alias("a"), F.col("low").alias("b"))
+        low = both.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.least(a, F.min("b")).alias("low"))
+        large = join_per_key(both.where("b > a"), low, ["a"], "merge").select(b.alias("a"), F.col("low").alias("b"))
         step = written_table(large.distinct(), "large-star")
         # Small star: of the smaller neighbours that each node then has, all go to the smallest.
-        low = step.groupBy("a").agg(F.min("b").alias("low"))
+        low = step.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("low"))
         ends = F.array(
             F.struct(a.alias("a"), F.col("low").alias("b")), F.struct(b.alias("a"), F.col("low").alias("b"))
         )
-        small = step.join(low, "a").select(F.explode(ends).alias("e")).select("e.*")
+        small = join_per_key(step, low, ["a"], "merge").select(F.explode(ends).alias("e")).select("e.*")
         now = written_table(small.where("a <> b").distinct(), "small-star")
         mark = _mark(now)
         if mark == seen:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillscope.llm.common import WORD, let, text_or_empty
+from tillscope.llm.common import WORD, join_per_key, let, text_or_empty
 from tillscope.sources import written_table
 
 #: Words of a gram at least, and words over which a window of grams starts.
@@ -136,14 +136,18 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     places is by id, text hash and line. A run that stands at an earlier place is the union of such
     stretches. Only where a fingerprint is shared can one begin; those are hashed whole, and each is
     compared with the first place of its hash, so there are no pairs, however many documents share
-    it. All tables here grow with the corpus, so the joins are shuffled by hint rather than
-    broadcast while they happen to be small; only hashes of lines and stretches travel, no texts.
+    it. That takes the place of extending each shared fingerprint line by line: the stretches are
+    all extensions to just ``LEAST_WORDS`` that the picked windows allow, and longer runs are their
+    unions, so the result is exact and no fingerprint is compared with one place only. All tables
+    here grow with the corpus, so the joins are shuffled by hint rather than broadcast while they
+    happen to be small, but for hot fingerprints and stretches (``join_per_key``); only hashes of
+    lines and stretches travel, no texts.
     """
     own = written_table(fingerprints(docs).dropDuplicates(["id", "mark"]), "line-fingerprints")
     found = own.select("id", "mark", F.inline("picks"))
-    several = found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b")
+    several = found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = (
-        found.join(several.hint("shuffle_hash"), ["a", "b"])
+        join_per_key(found, several, ["a", "b"])
         .groupBy("id", "mark")
         .agg(F.collect_list(F.struct("since", "until")).alias("windows"))
     )
@@ -157,9 +161,8 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     )
     place = F.struct("id", "mark", "first")
     lead = stretches.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("lead"))
-    lead = lead.where("n > 1").select("a", "b", "lead")
     return (
-        stretches.join(lead.hint("shuffle_hash"), ["a", "b"])
+        join_per_key(stretches, lead.where("n > 1"), ["a", "b"])
         .where(place != F.col("lead"))
         .select("id", "mark", "first", "last", F.col("lead.id").alias("source"))
     )
@@ -216,7 +219,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """The documents without the runs of lines that stand at an earlier place, all columns kept.
 
     A run counts from ``LEAST_WORDS`` words on, in the same document or another one; its first place
-    (by id, then by hash of the text, then by line) stays. Only whole equal lines count. A text that
+    (by id, then by hash of the text, then by line) stays. Places may overlap: a line that is
+    repeated over and over is a run at each of its places, and all lines from the second place on
+    go, so that the first place is left up to there, one line. Only whole equal lines count. A text that
     is one repeated run becomes empty; ``n_chars``, if there, follows the new text. NULL texts stay
     NULL and hold no lines; a NULL id sorts first; rows that agree in id and text are one document.
     An empty table stays empty.
