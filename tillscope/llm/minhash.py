@@ -13,7 +13,7 @@ BINS_LOG2, BITS = 8, 4
 BINS = 1 << BINS_LOG2
 #: Fillers tried for an empty bin as a chain of alternatives; then all are looked through.
 TRIES = 12
-#: Texts in a bucket of the id order, and buckets at most.
+#: Texts in a bucket of the order of the documents, on average, and buckets at most, about.
 BUCKET_ROWS, BUCKETS = 2_000, 65_536
 
 
@@ -132,51 +132,59 @@ def likeness(a: Column, b: Column) -> Column:
     return F.greatest((same - F.lit(chance)) / F.lit(1 - chance), F.lit(0.0))
 
 
-def _boundaries(docs: DataFrame, bucket_rows: int) -> list[int]:
-    """Smallest ids of the buckets of the id order: ids that exist, from the smallest on."""
-    total = docs.count()
-    parts = max(1, min(BUCKETS, total // bucket_rows))
-    shares = [i / parts for i in range(parts)]
-    low, found = docs.agg(
-        F.min("doc_id"), F.percentile_approx("doc_id", shares, 10 * parts + 1000)
-    ).first()
-    return sorted({low, *found}) if low is not None else []
+def _splitters(keys: DataFrame, bucket_rows: int) -> list[tuple[int, int]]:
+    """Keys at which the buckets of the order by ``_id``, then ``_hash`` begin, the smallest first.
+
+    Every key becomes one with the same small chance, by a hash of it, so a bucket holds about
+    ``bucket_rows`` rows, and an id that very many texts share is divided like any other stretch.
+    """
+    smallest, total = keys.agg(F.min(F.struct("_id", "_hash")), F.count(F.lit(1))).first()
+    if smallest is None:
+        return []
+    parts = 1 << 40
+    rate = int(parts * min(BUCKETS, total / bucket_rows) / total)
+    drawn = keys.where(F.pmod(F.xxhash64(F.lit("bucket"), "_id", "_hash"), F.lit(parts)) < rate).distinct()
+    return sorted({tuple(smallest), *map(tuple, drawn.collect())})
 
 
 def with_next(docs: DataFrame, columns: list[str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Add ``next_<column>`` of the next row by ascending ``doc_id``; the last row's next is the first.
 
     NULL ids come first; rows with equal ids are in the order of a hash of their text. No window
-    over the whole table: rows go to buckets of the id order, whose first ids come from an
-    approximate-percentile aggregation of the ids alone. The first rows of a bucket, which hold
-    exactly its boundary id, also visit the bucket before as its end, so one shuffle of the texts
-    is enough.
+    over the whole table: rows go to buckets of that order, which begin at keys drawn by hash. The
+    first row of a bucket holds exactly the key that the bucket begins at, and also visits the
+    bucket before as its end, so one shuffle of the texts is enough. An id with very many texts
+    spreads over buckets; only rows that agree in id and text lie in one. The driver and the plan
+    hold two numbers per bucket, for at most about ``BUCKETS``; beyond 131 million rows the buckets
+    grow, to 1.5 GB at 100 TB of texts, which are sorted on disk.
     """
-    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    ordered = docs.withColumn("_id", key)
-    bounds = _boundaries(ordered.select(F.col("_id").alias("doc_id")), bucket_rows)
+    ordered = docs.withColumn("_id", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))).withColumn("_hash", F.xxhash64("text"))
+    bounds = _splitters(ordered.select("_id", "_hash"), bucket_rows)
     if not bounds:
         return docs.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
-    starts = _constant(bounds, "bigint")
+    ids, hashes = (_constant(list(part), "bigint") for part in zip(*bounds))
     jumps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
 
     def search(low: Column, jump: Column) -> Column:
         probe = low + jump
-        return F.when((probe < len(bounds)) & (F.get(starts, probe) <= F.col("_id")), probe).otherwise(low)
+        reached = (F.get(ids, probe) < F.col("_id")) | (
+            (F.get(ids, probe) == F.col("_id")) & (F.get(hashes, probe) <= F.col("_hash"))
+        )
+        return F.when((probe < len(bounds)) & reached, probe).otherwise(low)
 
-    # Binary search for the last boundary that is not above the id.
+    # Binary search for the last bucket that does not begin behind the row.
     bucket = F.aggregate(F.lit(jumps), F.lit(0), search)
     own = F.col("_bucket")
-    is_first = F.get(starts, own) == F.col("_id")
+    is_first = (F.get(ids, own) == F.col("_id")) & (F.get(hashes, own) == F.col("_hash"))
     before = F.when(own > 0, own - 1).otherwise(len(bounds) - 1)
     places = F.when(
         is_first,
         F.array(F.struct(own.alias("bucket"), F.lit(0).alias("turn")), F.struct(before.alias("bucket"), F.lit(1).alias("turn"))),
     ).otherwise(F.array(F.struct(own.alias("bucket"), F.lit(0).alias("turn"))))
-    follow = Window.partitionBy("_at.bucket").orderBy("_at.turn", "_id", F.xxhash64("text"), "text")
+    follow = Window.partitionBy("_at.bucket").orderBy("_at.turn", "_id", "_hash", "text")
     placed = ordered.withColumn("_bucket", bucket).withColumn("_at", F.explode(places))
     led = placed.select("*", *[F.lead(c).over(follow).alias(f"next_{c}") for c in columns])
-    return led.where("_at.turn = 0").drop("_id", "_bucket", "_at")
+    return led.where("_at.turn = 0").drop("_id", "_hash", "_bucket", "_at")
 
 
 def compare_edited(docs: DataFrame) -> DataFrame:
