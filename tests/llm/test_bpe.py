@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 import struct
 import unicodedata
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tillscope.llm import bpe
+from tillscope.llm import bpe, unicode_classes
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -57,14 +58,68 @@ def test_random_texts(own, theirs):
         assert ids(own.encode(text)) == theirs.encode(text, add_special_tokens=False).ids, repr(text)
 
 
-def test_every_assigned_character_of_the_first_plane(own, theirs):
-    for at in range(0x20, 0x10000):
-        c = chr(at)
-        # Unicode versions may differ in what is new; surrogates are no characters.
-        if unicodedata.category(c) in ("Cn", "Cs", "Co"):
-            continue
-        text = f"a{c}b {c}"
-        assert ids(own.encode(text)) == theirs.encode(text, add_special_tokens=False).ids, hex(at)
+def test_every_code_point_alone_and_between_letters(own, theirs):
+    """All 1.1 million, assigned or not, in whatever Unicode version a module of Python has."""
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 64):
+        text = " ".join(f"a{c}b {c} {c}1" for c in points[at : at + 64])
+        if ids(own.encode(text)) != theirs.encode(text, add_special_tokens=False).ids:
+            for c in points[at : at + 64]:
+                text = f"a{c}b {c} {c}1"
+                assert ids(own.encode(text)) == theirs.encode(text, add_special_tokens=False).ids, hex(ord(c))
+            raise AssertionError(hex(ord(points[at])))
+
+
+def test_mixtures_of_marks_letters_and_new_characters(own, theirs):
+    pick = random.Random(8)
+    marks = [c for c in map(chr, range(0x110000)) if unicodedata.combining(c)]
+    new = [chr(c) for c in sorted(
+        unicode_classes.points(unicode_classes.LETTERS_16 + unicode_classes.LATER + unicode_classes.NUMBERS_16)
+    )]
+    plain = [chr(c) for c in sorted(unicode_classes.points(unicode_classes.PLAIN_MARKS))]
+    composed = [c for c in map(chr, range(0xC0, 0x2000)) if unicodedata.decomposition(c)[:1] not in ("", "<")]
+    for _ in range(20_000):
+        text = "".join(
+            pick.choice(pick.choice((marks, marks, plain, new, composed, "aeouAEOU ", "\u0301\u0323\u0345", ".1'")))
+            for _ in range(pick.randrange(2, 9))
+        )
+        assert ids(own.encode(text)) == theirs.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
+def test_any_characters_at_all(own, theirs):
+    pick = random.Random(9)
+    for _ in range(20_000):
+        text = "".join(chr(pick.choice((pick.randrange(0xD800), pick.randrange(0xE000, 0x110000)))) for _ in range(12))
+        assert ids(own.encode(text)) == theirs.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
+@pytest.mark.parametrize("part, value", [
+    ("normalizer", None), ("normalizer", {"type": "Sequence", "normalizers": [{"type": "NFC"}]}), ("pre_tokenizer", None),
+    ("pre_tokenizer.pretokenizers.0.pattern.Regex", "\\w+"), ("pre_tokenizer.pretokenizers.0.pattern.Regex", "(?i)[\\p{L}]+"),
+    ("pre_tokenizer.pretokenizers.0.invert", False), ("decoder", {"type": "ByteLevel"}), ("model.dropout", 0.1),
+    ("model.end_of_word_suffix", None), ("added_tokens.0.lstrip", True), ("pre_tokenizer.pretokenizers.1", {"type": "Digits"}),
+])
+def test_a_file_with_other_steps_is_refused(part, value):
+    with open(PATH, encoding="utf-8") as file:
+        parsed = json.load(file)
+    *way, name = part.split(".")
+    at = parsed
+    for step in way:
+        at = at[int(step) if step.isdigit() else step]
+    at[int(name) if name.isdigit() else name] = value
+    with pytest.raises(ValueError):
+        bpe.Encoder(json.dumps(parsed))
+
+
+def test_the_pattern_is_the_file_s(theirs):
+    with open(PATH, encoding="utf-8") as file:
+        parsed = json.load(file)
+    parsed["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = "[\\p{L}]+|[\\p{N}]+|[^\\s\\p{L}\\p{N}]"
+    definition = json.dumps(parsed)
+    own, other = bpe.Encoder(definition), Tokenizer.from_str(definition)
+    for text in TEXTS:
+        assert ids(own.encode(text or "")) == other.encode(text or "", add_special_tokens=False).ids
+    assert ids(own.encode("it's 1234!?")) != theirs.encode("it's 1234!?", add_special_tokens=False).ids
 
 
 def test_every_token_alone(own, theirs):

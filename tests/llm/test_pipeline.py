@@ -81,7 +81,7 @@ def test_sources_reach_their_targets(stages):
 
 
 def test_ids_are_exact(stages):
-    theirs = Tokenizer.from_file(corpus_pipeline.TOKENIZER)
+    theirs = Tokenizer.from_file(bpe.public_file())
     texts = {r.doc_id: r.text for r in stages[3].collect()}
     rows = stages[5].collect()
     assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in stages[4].collect())

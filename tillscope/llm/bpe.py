@@ -13,21 +13,27 @@ import hashlib
 import json
 import re
 import struct
-import unicodedata
 from collections.abc import Iterator
 
-import ahocorasick
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillscope.llm import unicode_classes
 from tillscope.llm.common import text_or_empty
 
-#: Fixed values of the tokenizer format: the mark of a word's last symbol, and the pieces of a text.
+#: Fixed values of the tokenizer format: the steps before the model, but for the pattern of a piece,
+#: and the settings of the model, the mark of a word's last symbol among them.
 WORD_END = "</w>"
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = {"type": "Split", "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+MODEL = {
+    "type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None,
+    "end_of_word_suffix": WORD_END, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False,
+}
+ADDED = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}
 #: Information separators: white space to Python, but not to the tokenizer format.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -44,18 +50,55 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
+def _part(found: object, known: object, what: str) -> None:
+    """ValueError unless a part of the tokenizer file says what is expected."""
+    if found != known:
+        raise ValueError(f"this encoder does not know the tokenizer's {what}: {found!r}")
+
+
+def pieces_of(parsed: dict) -> re.Pattern:
+    r"""The pattern that the file cuts pieces by; all other steps must be the ones built in here.
+
+    ``\p{L}``, ``\p{N}`` and ``\s`` become the library's own classes, which stand in brackets; a
+    pattern with any other escape, group or flag is refused.
+    """
+    _part((parsed["normalizer"] or {}).get("normalizers"), NORMALIZER, "normalizer")
+    split, *others = (parsed["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+    pattern = (split.get("pattern") or {}).get("Regex", "")
+    _part({k: v for k, v in split.items() if k != "pattern"}, SPLIT, "pre-tokenizer")
+    _part(others, [BYTES], "pre-tokenizer")
+    _part(parsed["decoder"], None, "decoder")
+    _part({k: v for k, v in parsed["model"].items() if k not in ("vocab", "merges")}, MODEL, "model")
+    for token in parsed["added_tokens"]:
+        _part({k: v for k, v in token.items() if k not in ("id", "content")}, ADDED, "added token")
+    letters, numbers = unicode_classes.letters_and_numbers()
+    spaces = unicode_classes.in_brackets(unicode_classes.points(unicode_classes.SPACES))
+    classes = {r"\p{L}": letters, r"\p{N}": numbers, r"\s": spaces}
+    bare = re.sub(r"\[\^?(?:\\p\{L\}|\\p\{N\}|\\s)+\]", "[]", pattern)
+    if not pattern or re.search(r"[\\(){}^$.*?]", bare.replace("[]", "")):
+        raise ValueError(f"this encoder does not know the tokenizer's pattern: {pattern!r}")
+    for escape, inside in classes.items():
+        pattern = pattern.replace(escape, inside)
+    return re.compile(pattern)
+
+
 class Encoder:
-    """Encodes and decodes as the tokenizer file says, without added tokens, padding or cutting."""
+    """Encodes and decodes as the tokenizer file says, without added tokens, padding or cutting.
+
+    A file whose steps or settings are not the ones known here is refused with a ValueError.
+    """
 
     def __init__(self, definition: str) -> None:
+        import ahocorasick
+
         parsed = json.loads(definition)
+        self.pieces = pieces_of(parsed)
         model = parsed["model"]
         vocab, merges = model["vocab"], [tuple(m) for m in model["merges"]]
         self.special = {t["content"]: t["id"] for t in parsed["added_tokens"]}
         named = {i: t for t, i in [*vocab.items(), *self.special.items()]}
         self.names = [named.get(i, "") for i in range(max(named) + 1)]
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.pieces = regex.compile(PIECES)
         self.bytes = byte_symbols()
         # Inside the encoder a word's last symbol is one character too, moved to a private area.
         self.last = {s: chr(0xE000 + b) for b, s in enumerate(self.bytes)}
@@ -166,8 +209,7 @@ class Encoder:
             self.known[text] = packed
 
     def plain(self, text: str) -> bytes:
-        # Character by character, as the format lower-cases: no special final sigma.
-        low = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        low = unicode_classes.lowered(unicode_classes.composed(text))
         split = [w for w in SPACE.split(low) if w] if ODD_SPACE.search(low) else low.split()
         known, word = self.known, self.word
         return b"".join([known.get(w) or word(w) for w in split])
@@ -186,6 +228,13 @@ class Encoder:
         return " ".join(map(self.names.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
+def public_file(name: str = "word_bpe_49k.json") -> str:
+    """Path of a public tokenizer's file; the driver reads it and sends it to the tasks."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 _encoders: dict[str, Encoder] = {}
 
 

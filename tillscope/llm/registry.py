@@ -82,7 +82,7 @@ def op8_minhash_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_encode_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    return bpe.digests(read_parquet(spark, folder, "documents"), corpus_pipeline.TOKENIZER)
+    return bpe.digests(read_parquet(spark, folder, "documents"), bpe.public_file())
 
 
 def op10_scan_licenses(spark: SparkSession, folder: str) -> DataFrame:
