@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tillscope.llm import bpe, line_dedup, mixing, simhash, toxicity
 from tillscope.sources import read_parquet, written_table
 
-#: The vocabulary file; it is read on the driver and sent to the tasks.
-TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a model learnt from the labelled ones among them calls toxic go."""
@@ -34,7 +30,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, their number, and digests of the ids and of the text decoded from them."""
-    return bpe.digests(docs, TOKENIZER, keep_ids=True)
+    return bpe.digests(docs, bpe.public_file(), keep_ids=True)
 
 
 #: Each stage is written as Parquet and read again as the next one's documents.
