@@ -15,6 +15,8 @@ BINS = 1 << BINS_LOG2
 TRIES = 12
 #: Texts in a bucket of the order of the documents, on average, and buckets at most, about.
 BUCKET_ROWS, BUCKETS = 2_000, 65_536
+#: Keys drawn for each bucket, so that the buckets come out alike.
+DRAWN = 32
 
 
 def shingle_hashes(text: Column, shingle: int = SHINGLE) -> Column:
@@ -135,16 +137,20 @@ def likeness(a: Column, b: Column) -> Column:
 def _splitters(keys: DataFrame, bucket_rows: int) -> list[tuple[int, int]]:
     """Keys at which the buckets of the order by ``_id``, then ``_hash`` begin, the smallest first.
 
-    Every key becomes one with the same small chance, by a hash of it, so a bucket holds about
-    ``bucket_rows`` rows, and an id that very many texts share is divided like any other stretch.
+    Keys are drawn with the same small chance, by a hash of them, ``DRAWN`` a bucket; in their order
+    each ``DRAWN``-th begins a bucket. So a bucket holds about ``bucket_rows`` rows, and an id that
+    very many texts share is divided like any other stretch. One task sorts the drawn keys, 16 bytes
+    each, at most about ``DRAWN * BUCKETS`` of them.
     """
     smallest, total = keys.agg(F.min(F.struct("_id", "_hash")), F.count(F.lit(1))).first()
     if smallest is None:
         return []
     parts = 1 << 40
-    rate = int(parts * min(BUCKETS, total / bucket_rows) / total)
+    rate = int(parts * min(1.0, DRAWN * min(BUCKETS, total / bucket_rows) / total))
     drawn = keys.where(F.pmod(F.xxhash64(F.lit("bucket"), "_id", "_hash"), F.lit(parts)) < rate).distinct()
-    return sorted({tuple(smallest), *map(tuple, drawn.collect())})
+    place = F.row_number().over(Window.orderBy("_id", "_hash"))
+    chosen = drawn.withColumn("_place", place).where(F.col("_place") % DRAWN == 0).select("_id", "_hash")
+    return sorted({tuple(smallest), *map(tuple, chosen.collect())})
 
 
 def with_next(docs: DataFrame, columns: list[str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
