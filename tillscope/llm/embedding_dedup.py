@@ -2,7 +2,8 @@
 
 Unit vectors of cosine c are 2 - 2c apart in squared distance. With the coordinates cut into blocks,
 a pair within the whole budget is within its proportional share in at least one block. Each block is
-range-joined under its share, and what is found is verified exactly on the whole vectors.
+range-joined under its share, and what is found is verified exactly on the whole vectors. Inside a
+task the range join walks a tree of cuts over the block.
 """
 
 from __future__ import annotations
@@ -20,7 +21,9 @@ from tillscope.sources import written_table
 COSINE = 0.95
 BLOCKS = 4
 #: Vectors at home in a shard of a block, about; splits of a block at most; sample for the rotation.
-SHARD, SPLITS, SAMPLE = 8_192, 12, 8_192
+SHARD, SPLITS, SAMPLE = 1 << 18, 12, 8_192
+#: Vectors in a leaf of a task's tree, about.
+LEAF = 256
 #: Added to a block's share of the budget: coordinates are compared as 32-bit floats.
 SLACK = 1e-5
 #: Cells of a distance matrix held at once, and pairs verified at once.
@@ -74,38 +77,107 @@ class Rotation:
         return row, shard
 
 
-def unit_vectors(vectors: pd.Series | list) -> np.ndarray:
-    x = np.array(list(vectors), dtype=np.float64)
+def stacked(vectors: pd.Series) -> np.ndarray:
+    """The vectors as the rows of a matrix, in their own precision."""
+    return np.stack(vectors.to_numpy())
+
+
+def unit_vectors(vectors: pd.Series | list | np.ndarray) -> np.ndarray:
+    x = vectors if isinstance(vectors, np.ndarray) else np.array(list(vectors))
+    x = x.astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of a and b, as one product of matrices."""
+    ones = np.ones((len(a), 1), dtype=a.dtype), np.ones((len(b), 1), dtype=b.dtype)
+    own, other = ((x * x).sum(axis=1, keepdims=True) for x in (a, b))
+    return np.hstack([-2 * a, own, ones[0]]) @ np.hstack([b, ones[1], other]).T
+
+
+class BlockTree:
+    """Points of a block, halved at the median of one coordinate after another down to leaves."""
+
+    def __init__(self, points: np.ndarray, rows: np.ndarray, depth: int = 0) -> None:
+        self.rows, self.parts = rows, ()
+        while len(rows) > LEAF and depth < points.shape[1]:
+            values = points[rows, depth]
+            cut = np.median(values)
+            inside = values <= cut if cut < values.max() else values < cut
+            if inside.any():
+                self.at, self.cut = depth, float(values[inside].max())
+                self.parts = (BlockTree(points, rows[inside], depth + 1), BlockTree(points, rows[~inside], depth + 1))
+                return
+            depth += 1  # all alike here
+
+    def near(self, guests: np.ndarray, share: float, row: np.ndarray, spent: np.ndarray) -> Iterator[tuple]:
+        """(members, guests) of every leaf and the guests that can be within ``share`` of its members.
+
+        ``row`` are rows of ``guests``, ``spent`` their squared distance to this node by the cuts
+        above; a coordinate is cut once on a way, so the squares add up.
+        """
+        work = [(self, row, spent)]
+        while work:
+            node, row, spent = work.pop()
+            if not node.parts:
+                if len(row):
+                    yield node.rows, row
+                continue
+            gap = guests[row, node.at].astype(float) - node.cut
+            over = spent + gap * gap
+            for part, own in zip(node.parts, (gap <= 0, gap > 0)):
+                reached = own | (over <= share)
+                work.append((part, row[reached], np.where(own, spent, over)[reached]))
+
+    def inner(self, points: np.ndarray, share: float) -> Iterator[tuple]:
+        """(members, others) that hold every pair within ``share`` once; a leaf with itself comes twice."""
+        work = [self]
+        while work:
+            node = work.pop()
+            if not node.parts:
+                yield node.rows, node.rows
+                continue
+            left, right = node.parts
+            gap = points[right.rows, node.at].astype(float) - node.cut
+            reached = gap * gap <= share
+            yield from left.near(points, share, right.rows[reached], (gap * gap)[reached])
+            work += [left, right]
+
+
 class Tile:
-    """Vectors at home in a part of a shard, against themselves and all that visit it."""
+    """Vectors at home in a part of a shard, against themselves and all that visit it.
+
+    Held are the vectors as they came and their rotated coordinates; unit vectors in double
+    precision are made of those few that are verified.
+    """
 
     def __init__(self, rotation: Rotation, block: int) -> None:
         self.rotation, self.block = rotation, block
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.ready = False
 
-    def add(self, ids: np.ndarray, copies: np.ndarray, unit: np.ndarray) -> None:
-        self.parts.append((ids, copies, unit))
+    def add(self, ids: np.ndarray, copies: np.ndarray, vectors: np.ndarray) -> None:
+        self.parts.append((ids, copies, vectors, self.rotation.turn(unit_vectors(vectors))))
 
     def start(self) -> None:
-        self.ids, self.copies, self.unit = (np.concatenate(p) for p in zip(*self.parts))
-        self.turned = self.rotation.turn(self.unit)
+        self.ids, self.copies, self.vectors, self.turned = (np.concatenate(p) for p in zip(*self.parts))
+        self.parts = []
+        near = self.rotation.columns[self.block]
+        self.points = np.ascontiguousarray(self.turned[:, near])
+        self.tree = BlockTree(self.points, np.arange(len(self.ids)))
         self.links, self.forest = np.zeros(len(self.ids), dtype=np.int64), Forest(len(self.ids))
         self.ready = True
-        for i, j in self.pairs(self.unit, self.turned, inner=True):
+        for i, j in self.pairs(self.vectors, self.turned, inner=True):
             np.add.at(self.links, i, self.copies[j])
             np.add.at(self.links, j, self.copies[i])
             self.forest.unite(i, j)
 
-    def visit(self, ids: np.ndarray, copies: np.ndarray, unit: np.ndarray) -> pd.DataFrame:
+    def visit(self, ids: np.ndarray, copies: np.ndarray, vectors: np.ndarray) -> pd.DataFrame:
         if not self.ready:
             self.start()
         links, anchor = np.zeros(len(ids), dtype=np.int64), np.full(len(ids), -1)
-        for i, j in self.pairs(unit, self.rotation.turn(unit), inner=False):
+        for i, j in self.pairs(vectors, self.rotation.turn(unit_vectors(vectors)), inner=False):
             np.add.at(links, j, self.copies[i])
             np.add.at(self.links, i, copies[j])
             # One home stands for all that a visitor links: they are united among themselves.
@@ -122,28 +194,44 @@ class Tile:
         found = (self.links > 0) | (root != np.arange(len(root)))
         return pd.DataFrame({"id": self.ids[found], "links": self.links[found], "other": self.ids[root[found]]})
 
-    def pairs(self, unit: np.ndarray, turned: np.ndarray, inner: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(self, vectors: np.ndarray, turned: np.ndarray, inner: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Linked pairs (home, other) whose first block within its share is this one.
 
         The rule is evaluated on the same numbers wherever two vectors meet, so of all blocks that
         find a pair exactly one reports it.
         """
-        near = self.rotation.columns[self.block]
-        a, b = self.turned[:, near], turned[:, near]
-        a_size, b_size = (a * a).sum(axis=1), (b * b).sum(axis=1)
-        step = max(1, CELLS // max(len(b), 1))
-        for at in range(0, len(a), step):
-            some = slice(at, at + step)
-            apart = a_size[some, None] + b_size[None, :] - 2 * (a[some] @ b.T)
-            i, j = np.nonzero(apart <= self.rotation.share + SLACK)
-            i += at
-            if inner:
-                i, j = i[i < j], j[i < j]
-            for first in range(0, len(i), PAIRS):
-                yield from self.verified(i[first : first + PAIRS], j[first : first + PAIRS], unit, turned)
+        share = self.rotation.share
+        points = self.points if inner else np.ascontiguousarray(turned[:, self.rotation.columns[self.block]])
+        if inner:
+            groups = self.tree.inner(points, share)
+        else:
+            everyone = np.arange(len(points))
+            groups = self.tree.near(points, share, everyone, np.zeros(len(points)))
+        waiting, held = [], 0
+        for own, others in groups:
+            step = max(1, CELLS // len(others))
+            for at in range(0, len(own), step):
+                some = own[at : at + step]
+                i, j = np.nonzero(_apart(self.points[some], points[others]) <= share + SLACK)
+                i, j = some[i], others[j]
+                if own is others:
+                    i, j = i[i < j], j[i < j]
+                waiting.append((i, j))
+                held += len(i)
+                if held >= PAIRS:
+                    yield from self.settled(waiting, vectors, turned)
+                    waiting, held = [], 0
+        yield from self.settled(waiting, vectors, turned)
+
+    def settled(self, waiting: list[tuple], vectors: np.ndarray, turned: np.ndarray) -> Iterator[tuple]:
+        if not waiting:
+            return
+        i, j = (np.concatenate(p) for p in zip(*waiting))
+        for first in range(0, len(i), PAIRS):
+            yield from self.verified(i[first : first + PAIRS], j[first : first + PAIRS], vectors, turned)
 
     def verified(
-        self, i: np.ndarray, j: np.ndarray, unit: np.ndarray, turned: np.ndarray
+        self, i: np.ndarray, j: np.ndarray, vectors: np.ndarray, turned: np.ndarray
     ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for block in range(self.block + 1):
             columns = self.rotation.columns[block]
@@ -151,7 +239,7 @@ class Tile:
             within = (gap * gap).sum(axis=1) <= self.rotation.share
             keep = within if block == self.block else ~within
             i, j = i[keep], j[keep]
-        linked = (self.unit[i] * unit[j]).sum(axis=1) >= COSINE
+        linked = (unit_vectors(self.vectors[i]) * unit_vectors(vectors[j])).sum(axis=1) >= COSINE
         if linked.any():
             yield i[linked], j[linked]
 
@@ -187,7 +275,8 @@ def links(classes: DataFrame) -> DataFrame:
     in one shard of each block, and visits those later shards of the block that reach into its
     share of the budget. Shards with many at home are dealt in parts: a part meets its own members,
     the members of the parts before it and all visitors, so each pair meets once per block. A
-    task holds one part and streams the rest; only counts and spanning edges leave it.
+    task holds one part and streams the rest; inside, a tree of cuts over the block keeps most of
+    them apart without comparing them. Only counts and spanning edges leave a task.
     """
     spark = classes.sparkSession
     rotations = spark.sparkContext.broadcast(_fit(classes))
@@ -244,8 +333,8 @@ def links(classes: DataFrame) -> DataFrame:
                         yield tile.finish()
                     now, tile = key[:4], Tile(rotations.value[int(key[0])], int(key[1]))
                     empty = np.zeros(0, dtype=np.int64)
-                    tile.add(empty, empty, np.zeros((0, int(key[0]))))
-                values = rows["id"].to_numpy(), rows["copies"].to_numpy(), unit_vectors(rows["vector"])
+                    tile.add(empty, empty, stacked(rows["vector"])[:0])
+                values = rows["id"].to_numpy(), rows["copies"].to_numpy(), stacked(rows["vector"])
                 if key[4]:
                     yield tile.visit(*values)
                 else:
