@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -47,6 +48,90 @@ def test_banded_alignment_equals_the_full_one():
         assert ls.align(template, text, shift, drift) == full_alignment(template, text, shift, drift)
 
 
+def test_alignments_together_equal_those_one_by_one():
+    pick = random.Random(5)
+    for _ in range(400):
+        letters = pick.randrange(1, 6)
+        template = ls.np.array([pick.randrange(letters) for _ in range(pick.randrange(1, 30))])
+        text = [int(c) for c in template if pick.random() < 0.9] * pick.randrange(1, 3)
+        text = [pick.randrange(letters) for _ in range(4)] + [c if pick.random() < 0.9 else 9 for c in text]
+        drift = pick.randrange(0, 7)
+        shifts = ls.np.array([pick.randrange(-9, len(text) + 3) for _ in range(pick.randrange(1, 6))])
+        found = ls.align_many(template, ls.np.array(text), shifts, drift)
+        for shift, *one in zip(shifts.tolist(), *(f.tolist() for f in found)):
+            assert tuple(one) == ls.align(template.tolist(), text, shift, drift)
+
+
+def brute_force(scanner, text):
+    """Every template at every place, aligned cell by cell; the same choice among overlapping matches."""
+    words = ls.WORDS.findall(text.lower())
+    found = set()
+    for number, (_, template) in enumerate(scanner.templates):
+        need = ls.COVERAGE * len(template) - 1e-9
+        if sum(w in set(words) for w in template) < need:
+            continue
+        drift = scanner.drift(number)
+        for shift in range(-len(template), len(words) + 1):
+            low = max(0, shift - drift)
+            part = words[low : max(shift + len(template) + drift, 0)]
+            held = set(part)
+            if sum(w in held for w in template) < need:
+                continue
+            _, matched, start, end = ls.align(template, part, shift - low, drift)
+            if matched / len(template) < ls.COVERAGE:
+                continue
+            if scanner.short[number] and not ls.NAMES.intersection(template) <= set(part[start : end + 1]):
+                continue
+            found.add((-matched, -matched / len(template), number, start + low, end + low))
+    kept = []
+    for match in sorted(found):
+        if not any(match[3] <= b and match[4] >= a for *_, a, b in kept):
+            kept.append(match)
+    return sorted((scanner.templates[n][0], -c, a, b) for _, c, n, a, b in kept)
+
+
+def test_scan_equals_brute_force(scanner):
+    pick = random.Random(12)
+    texts = []
+    for _ in range(60):
+        parts = []
+        for _ in range(pick.randrange(1, 4)):
+            words = pick.choice(TEMPLATES)[1].split()
+            if len(words) > 60 and pick.random() < 0.7:
+                words = pick.choice(TEMPLATES[1:3] + TEMPLATES[-12:])[1].split()
+            rate = pick.choice([0, 0, 0.04])
+            parts += [" ".join("changed" if pick.random() < rate else w for w in words), " ".join(PROSE[pick.randrange(20)].split()[: pick.randrange(40)])]
+        texts.append("\n".join(parts))
+    matched = 0
+    for text in texts:
+        expected = brute_force(scanner, text)
+        assert sorted((m[0], m[2], m[3], m[4]) for m in scanner.scan(text)) == expected, text
+        matched += len(expected)
+    assert matched > 60
+
+
+def test_query_equals_brute_force_on_whole_documents(spark, scanner):
+    folder = "/root/testdata/sf0.001"
+    expected = sorted(
+        (r.doc_id, *match)
+        for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+        for match in brute_force(scanner, r.text)
+    )
+    got = QUERIES["op10_scan_licenses"](spark, folder).collect()
+    assert expected and sorted((r.doc_id, r.license, r.coverage, r.first_word, r.last_word) for r in got) == expected
+
+
+def test_texts_full_of_licenses_do_not_take_long(scanner):
+    mit, changed = TEMPLATES[0][1], TEMPLATES[0][1].replace("Permission", "Leave").replace("KIND", "sort")
+    for wording in (mit, changed):
+        text = "\n".join([wording] * 100)
+        scanner.scan(wording)
+        started = time.process_time()
+        matches = scanner.scan(text)
+        assert time.process_time() - started < 2.0  # well below a second; a cell at a time took 9
+        assert [m[0] for m in matches] == ["MIT"] * 100
+
+
 @pytest.mark.parametrize("number", range(len(TEMPLATES)))
 def test_every_wording_is_found_in_prose(scanner, number):
     name, wording = TEMPLATES[number]
@@ -88,10 +173,11 @@ def test_several_and_repeated_licenses(scanner):
 
 def test_odd_rows(spark, documents):
     line = "released UNDER the mit license"
-    docs = documents((1, None), (2, ""), (3, line), (3, line), (None, f"İ {line}"), (5, "w " * 50000), (6, "the"))
+    many = "\n".join([TEMPLATES[0][1].replace("free", "gratis")] * 60)
+    docs = documents((1, None), (2, ""), (3, line), (3, line), (None, f"İ {line}"), (5, "w " * 50000), (6, "the"), (7, many))
     docs = docs.withColumn("license", F.lit("x"))
     rows = ls.scan_licenses(docs).collect()
-    assert sorted((r.doc_id, r.license) for r in rows if r.doc_id) == [(3, "MIT"), (3, "MIT")]
+    assert sorted((r.doc_id, r.license) for r in rows if r.doc_id) == [(3, "MIT")] * 2 + [(7, "MIT")] * 60
     assert [r.license for r in rows if r.doc_id is None] == ["MIT"]
     assert ls.scan_licenses(docs.where("false")).collect() == []
     assert ls.scan_licenses(docs, []).collect() == []

@@ -27,6 +27,8 @@ DRIFT, DRIFT_SHARE = 3, 0.1
 #: stand in its match too: "Released under the Apache License" is four of five words of MIT's line.
 NAMES = frozenset({"mit", "apache", "bsd", "gnu", "mozilla", "cc", "creative"})
 REMEMBERED = 100_000
+#: Diagonals of one template aligned together.
+ALIGNED = 256
 
 WORDS = re.compile(r"[^\W_]+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -76,6 +78,11 @@ def stretch(count: int) -> int:
     return -(-matched // (count - matched + 1))
 
 
+def period(words: Sequence[str]) -> int:
+    """Smallest distance at which a list of words goes on like itself; its length if there is none."""
+    return next(d for d in range(1, len(words) + 1) if list(words[d:]) == list(words[: len(words) - d])) if words else 0
+
+
 def align(template: Sequence, text: Sequence, shift: int, drift: int) -> tuple[int, int, int, int]:
     """Best local alignment of a template with a stretch of a text, near a diagonal.
 
@@ -113,6 +120,50 @@ def align(template: Sequence, text: Sequence, shift: int, drift: int) -> tuple[i
     return best
 
 
+def align_many(
+    template: np.ndarray, text: np.ndarray, shifts: np.ndarray, drift: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`align` near several diagonals of one text, a row of the template at a time for all.
+
+    Words are numbers here. A row of the band is first filled from the row above; what a gap along
+    the row brings is the running maximum of score plus place, of equals the nearest.
+    """
+    count, width = len(shifts), 2 * drift + 1
+    k, rows = np.arange(width), np.arange(len(shifts))
+    score = np.zeros((count, width + 1), dtype=np.int64)
+    matched, first = np.zeros_like(score), np.full_like(score, -1)
+    best = [np.zeros(count, dtype=np.int64), np.zeros(count, dtype=np.int64)]
+    best += [np.full(count, -1), np.full(count, -1)]
+    for i, word in enumerate(template):
+        place = (shifts + i - drift)[:, None] + k
+        valid = (place >= 0) & (place < len(text))
+        same = valid & (text[np.where(valid, place, 0)] == word)
+        # The row above lies one place to the left.
+        value = score[:, :-1] + np.where(same, MATCH, MISMATCH)
+        words, begun = matched[:, :-1] + same, np.where(same & (first[:, :-1] < 0), place, first[:, :-1])
+        above = score[:, 1:] + GAP
+        gap = above > value
+        value = np.where(valid, np.where(gap, above, value), 0)
+        words, begun = np.where(gap, matched[:, 1:], words), np.where(gap, first[:, 1:], begun)
+        key = np.maximum(value, 0) - GAP * k
+        highest = np.maximum.accumulate(key, axis=1)
+        source = np.maximum.accumulate(np.where(key == highest, k, 0), axis=1)
+        value = np.where(valid, highest + GAP * k, 0)
+        alive = value > 0
+        score[:, :-1] = np.where(alive, value, 0)
+        matched[:, :-1] = np.where(alive, np.take_along_axis(words, source, axis=1), 0)
+        first[:, :-1] = np.where(alive, np.take_along_axis(begun, source, axis=1), -1)
+        ends = np.where(same, score[:, :-1], 0)
+        at = ends.argmax(axis=1)
+        better = np.flatnonzero(ends[rows, at] > best[0])
+        if len(better):
+            where = at[better]
+            for kept, found in zip(best, (score, matched, first)):
+                kept[better] = found[better, where]
+            best[3][better] = place[better, where]
+    return tuple(best)
+
+
 class Scanner:
     """The templates' inverted index and the search of one text."""
 
@@ -120,6 +171,16 @@ class Scanner:
         self.grams = Grams()
         self.templates = [(name, WORDS.findall(text.lower())) for name, text in templates]
         self.short = [stretch(len(words)) < GRAM + WINDOW - 1 for _, words in self.templates]
+        self.lone = [period(words) > 2 * self.drift(number) for number, (_, words) in enumerate(self.templates)]
+        #: Numbers of the templates' words, and the templates and the names in them as numbers.
+        self.numbers: dict[str, int] = {}
+        for _, words in self.templates:
+            for word in words:
+                self.numbers.setdefault(word, len(self.numbers))
+        self.ids = [np.array([self.numbers[w] for w in words], dtype=np.int64) for _, words in self.templates]
+        self.named = [{self.numbers[w] for w in NAMES.intersection(words)} for _, words in self.templates]
+        #: Matched words, first and last place of stretches that were aligned, at most a tenth of ``REMEMBERED``.
+        self.aligned: dict[tuple, tuple[int, int, int]] = {}
         #: By the words of a gram, and whether all grams are looked up or the winnowed ones.
         self.indexes: dict[tuple[int, bool], dict[int, list[tuple[int, int]]]] = {}
         for number, (_, words) in enumerate(self.templates):
@@ -169,22 +230,63 @@ class Scanner:
                 found.append((number, shift, kept[end][1]))
         return found
 
-    def match(self, words: list[str], number: int, first: int, last: int) -> tuple[int, float, int, int, int] | None:
-        """The best match of a template between two diagonals, in the order of preference."""
-        template = self.templates[number][1]
-        # A band needs a middle: an odd number of diagonals more is looked at in its last one.
-        reach = (last - first + 1) // 2
-        shift, drift = first + reach, self.drift(number) + reach
-        low = max(0, shift - drift)
-        part = words[low : shift + len(template) + drift]
-        held = set(part)
-        if sum(w in held for w in template) < COVERAGE * len(template) - 1e-9:
-            return None
-        _, matched, start, end = align(template, part, shift - low, drift)
-        coverage = matched / len(template)
+    def matches(
+        self, words: list[str], wanted: list[tuple[int, int, int]]
+    ) -> list[tuple[int, float, int, int, int] | None]:
+        """The best match of each (template, first diagonal, last diagonal), in the order of preference.
+
+        A wording that stands at its diagonal word for word needs no alignment, unless it could
+        stand a second time within the band; others of one template are aligned together, and a
+        stretch of text that was aligned before, in any text of the task, is not aligned again.
+        """
+        found: list[tuple[int, float, int, int, int] | None] = [None] * len(wanted)
+        together: dict[tuple[int, int], dict[tuple, list[tuple[int, int]]]] = {}
+        ids = None
+        for at, (number, first, last) in enumerate(wanted):
+            template = self.templates[number][1]
+            n = len(template)
+            if first == last >= 0 and self.lone[number] and words[first : first + n] == template:
+                found[at] = -n, -1.0, number, first, first + n - 1
+                continue
+            # A band needs a middle: an odd number of diagonals more is looked at in its last one.
+            reach = (last - first + 1) // 2
+            shift, drift = first + reach, self.drift(number) + reach
+            if ids is None:
+                known = self.numbers
+                ids = np.array([known.get(w, -1) for w in words], dtype=np.int64)
+            low = max(0, shift - drift)
+            part = ids[low : shift + n + drift]
+            if np.isin(self.ids[number], part).sum() < COVERAGE * n - 1e-9:
+                continue
+            key = number, shift - low, drift, part.tobytes()
+            if key in self.aligned:
+                found[at] = self.accepted(number, part, low, *self.aligned[key])
+            else:
+                together.setdefault((number, drift), {}).setdefault(key, []).append((at, shift))
+        for (number, drift), stretches in together.items():
+            template, keys = self.ids[number], list(stretches)
+            for start in range(0, len(keys), ALIGNED):
+                some = keys[start : start + ALIGNED]
+                shifts = np.array([stretches[key][0][1] for key in some])
+                results = align_many(template, ids, shifts, drift)
+                for key, shift, (_, matched, begin, end) in zip(some, shifts.tolist(), zip(*map(np.ndarray.tolist, results))):
+                    low = max(0, shift - drift)
+                    if len(self.aligned) >= REMEMBERED // 10:
+                        self.aligned.clear()
+                    result = self.aligned[key] = matched, begin - low, end - low
+                    for at, shift in stretches[key]:
+                        low = max(0, shift - drift)
+                        found[at] = self.accepted(number, ids[low : shift + len(template) + drift], low, *result)
+        return found
+
+    def accepted(
+        self, number: int, part: np.ndarray, low: int, matched: int, start: int, end: int
+    ) -> tuple[int, float, int, int, int] | None:
+        """A match, unless it covers too little or lacks the license's name where it must hold it."""
+        coverage = matched / len(self.ids[number])
         if coverage < COVERAGE:
             return None
-        if self.short[number] and not NAMES.intersection(template) <= set(part[start : end + 1]):
+        if self.short[number] and not self.named[number] <= set(part[start : end + 1].tolist()):
             return None
         return -matched, -coverage, number, start + low, end + low
 
@@ -199,14 +301,10 @@ class Scanner:
         """
         words = WORDS.findall(text.lower())
         kept = self.narrow(self.diagonals(self.grams.hashes(words)))
-        near = [self.match(words, number, shift, shift) for number, shift in kept]
+        near = self.matches(words, [(number, shift, shift) for number, shift in kept])
         hit = {at for at, found in zip(kept, near, strict=True) if found}
         # Words put in, or left out, move the rest of a wording to another diagonal.
-        far = [
-            self.match(words, number, first, last)
-            for number, first, last in self.wide(kept)
-            if (number, first) not in hit and (number, last) not in hit
-        ]
+        far = self.matches(words, [w for w in self.wide(kept) if w[:2] not in hit and (w[0], w[2]) not in hit])
         matches = [found for found in near + far if found]
         if not matches:
             return []
