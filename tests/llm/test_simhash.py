@@ -98,6 +98,24 @@ def test_sharded_links_on_spark(spark, monkeypatch):
     assert {m: found.get(m, m) for m in expected} == expected
 
 
+@pytest.mark.parametrize(("shard", "sample"), [(64, 40), (300, 64), (5, 16)])
+def test_shards_in_parts_when_the_tree_ends(spark, monkeypatch, shard, sample):
+    """More fingerprints than the tree has shards for: parts and streamed visitors, the same links."""
+    monkeypatch.setattr(simhash, "SHARD", shard)
+    monkeypatch.setattr(simhash, "SAMPLE", sample)
+    marks = clusters(shard, 70, 20, 5).view(np.int64)
+    classes = spark.createDataFrame([(int(m), int(m)) for m in marks], "mark long, id long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        found = {r.node: r.component for r in components(simhash.links(classes)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    unsigned = marks.view(np.uint64)
+    near = np.argwhere(simhash.distances(unsigned[:, None], unsigned[None, :]) <= 3)
+    expected = smallest_reachable(marks.tolist(), [(int(marks[a]), int(marks[b])) for a, b in near])
+    assert {m: found.get(m, m) for m in expected} == expected
+
+
 def test_components_of_chains_stars_and_loops(spark):
     pick = random.Random(2)
     chain = [(i, i + 1) for i in range(300)]

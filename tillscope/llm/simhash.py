@@ -16,7 +16,7 @@ from tillscope.sources import written_table
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 #: Fingerprints that a shard should hold at home, and fingerprints the tree is built from at most.
-SHARD, SAMPLE = 16_384, 65_536
+SHARD, SAMPLE = 1 << 17, 65_536
 #: Fingerprints compared one by one at the bottom of a shard's own tree.
 BOTTOM = 96
 #: Pairs compared at once.
@@ -107,36 +107,109 @@ class VantageTree:
         return row, node
 
 
+class MarkTree:
+    """Fingerprints halved by their distance to a vantage point of their own, down to ``BOTTOM``."""
+
+    def __init__(self, marks: np.ndarray, rows: np.ndarray) -> None:
+        self.rows, self.near = rows, None
+        if len(rows) <= BOTTOM:
+            return
+        self.point = marks[rows[len(rows) // 2]]
+        away = distances(marks[rows], self.point)
+        reach = int(np.median(away))
+        reach = reach - 1 if reach == away.max() else reach
+        inside = away <= reach
+        if inside.any() and not inside.all():
+            self.reach = reach
+            self.near, self.far = MarkTree(marks, rows[inside]), MarkTree(marks, rows[~inside])
+
+    def meeting(self, marks: np.ndarray, row: np.ndarray, within: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(members, guests) of every leaf and the guests, rows of ``marks``, that the triangle bound lets in."""
+        work = [(self, row)]
+        while work:
+            node, row = work.pop()
+            if node.near is None:
+                if len(row):
+                    yield node.rows, row
+                continue
+            away = distances(marks[row], node.point)
+            work.append((node.near, row[away <= node.reach + within]))
+            work.append((node.far, row[away > node.reach - within]))
+
+    def inner(self, marks: np.ndarray, within: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(members, others) that hold every pair of members at most ``within`` apart."""
+        work = [self]
+        while work:
+            node = work.pop()
+            if node.near is None:
+                yield node.rows, node.rows
+                continue
+            crossing = node.far.rows[distances(marks[node.far.rows], node.point) <= node.reach + within]
+            yield from node.near.meeting(marks, crossing, within)
+            work += [node.near, node.far]
+
+
+def close(
+    groups: Iterator[tuple[np.ndarray, np.ndarray]], homes: np.ndarray, others: np.ndarray, within: int
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs (home, other) of the groups that are at most ``within`` apart."""
+    for own, guests in groups:
+        step = max(1, BLOCK // max(len(guests), 1))
+        for at in range(0, len(own), step):
+            some = own[at : at + step]
+            i, j = np.nonzero(distances(homes[some][:, None], others[guests][None, :]) <= within)
+            yield some[i], guests[j]
+
+
 def join_within(homes: np.ndarray, others: np.ndarray, within: int, forest: Forest, first: int) -> None:
     """Unite every home with the homes and others ``within`` its distance.
 
-    ``homes`` are places 0.. of the forest, ``others`` places ``first``.. . The shard's own tree is
-    walked with all of them together: a part meets only those others that the triangle bound lets in.
+    ``homes`` are places 0.. of the forest, ``others`` places ``first``.. .
     """
-    marks = np.concatenate([homes, others])
-    work = [(np.arange(len(homes)), first + np.arange(len(others)))]
-    while work:
-        own, guests = work.pop()
-        if len(own) > BOTTOM:
-            point = marks[own[len(own) // 2]]
-            away = distances(marks[own], point)
-            reach = int(np.median(away))
-            reach = reach - 1 if reach == away.max() else reach
-            inside = away <= reach
-            if inside.any() and not inside.all():
-                near, far = own[inside], own[~inside]
-                guest_away = distances(marks[guests], point)
-                # Of the part's own pairs across the split, the far side visits the near side.
-                crossing = far[away[~inside] <= reach + within]
-                work.append((near, np.concatenate([guests[guest_away <= reach + within], crossing])))
-                work.append((far, guests[guest_away > reach - within]))
-                continue
-        both = np.concatenate([own, guests])
-        step = max(1, BLOCK // max(len(both), 1))
-        for at in range(0, len(own), step):
-            some = own[at : at + step]
-            i, j = np.nonzero(distances(marks[some][:, None], marks[both][None, :]) <= within)
-            forest.unite(some[i], both[j])
+    tree = MarkTree(homes, np.arange(len(homes)))
+    for i, j in close(tree.inner(homes, within), homes, homes, within):
+        forest.unite(i, j)
+    for i, j in close(tree.meeting(others, np.arange(len(others)), within), homes, others, within):
+        forest.unite(i, first + j)
+
+
+class Shard:
+    """Fingerprints at home in a part of a shard, among themselves and with all that visit it."""
+
+    def __init__(self, within: int) -> None:
+        self.within, self.parts, self.ready = within, [], False
+
+    def add(self, marks: np.ndarray, ids: np.ndarray) -> None:
+        self.parts.append((marks, ids))
+
+    def start(self) -> None:
+        self.marks, self.ids = (np.concatenate(p) for p in zip(*self.parts))
+        order = np.argsort(self.marks, kind="stable")
+        self.marks, self.ids, self.parts = self.marks[order], self.ids[order], []
+        self.tree, self.forest = MarkTree(self.marks, np.arange(len(order))), Forest(len(order))
+        self.ready = True
+        for i, j in close(self.tree.inner(self.marks, self.within), self.marks, self.marks, self.within):
+            self.forest.unite(i, j)
+
+    def visit(self, marks: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
+        """An edge from each visitor that is linked to a home; all its homes are united."""
+        if not self.ready:
+            self.start()
+        anchor = np.full(len(marks), -1)
+        for i, j in close(self.tree.meeting(marks, np.arange(len(marks)), self.within), self.marks, marks, self.within):
+            new = anchor[j] < 0
+            anchor[j[new]] = i[new]
+            self.forest.unite(i, anchor[j])
+        found = anchor >= 0
+        return pd.DataFrame({"a": ids[found], "b": self.ids[anchor[found]]})
+
+    def finish(self) -> pd.DataFrame:
+        """An edge from each home that is not the root of its group to the root."""
+        if not self.ready:
+            self.start()
+        root = self.forest.roots(np.arange(len(self.ids)))
+        linked = root != np.arange(len(root))
+        return pd.DataFrame({"a": self.ids[linked], "b": self.ids[root[linked]]})
 
 
 def links(classes: DataFrame, within: int = DISTANCE) -> DataFrame:
@@ -147,8 +220,10 @@ def links(classes: DataFrame, within: int = DISTANCE) -> DataFrame:
     per ``SHARD`` fingerprints up to a shard for every eight of the sample, and sent to the tasks.
     Each fingerprint goes to its home shard and, as a visitor, to those later shards that the
     triangle bound cannot exclude, so a pair meets exactly once, in the later home of the two. A
-    shard's pairs are found exactly and only their spanning stars leave the task: at most one edge
-    per row that came in.
+    shard with more than ``SHARD`` at home is dealt in parts: a part meets its own members, those of
+    the parts before it and all visitors. A task holds one part, with a vantage-point tree of its
+    own, and streams the rest, so its memory does not depend on the table. A shard's pairs are found
+    exactly and only their spanning stars leave the task: at most one edge per row that came in.
     """
     spark = classes.sparkSession
     total = classes.count()
@@ -159,33 +234,61 @@ def links(classes: DataFrame, within: int = DISTANCE) -> DataFrame:
     levels = min(levels, max(int(np.log2(max(len(sample), 1) / 8)) if len(sample) >= 8 else 0, 0))
     shared = spark.sparkContext.broadcast(VantageTree(sample.view(np.uint64), levels))
 
+    def home_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            shard, n = np.unique(shared.value.homes(batch["mark"].to_numpy().view(np.uint64)), return_counts=True)
+            yield pd.DataFrame({"shard": shard, "n": n})
+
+    # At most a row per shard of the tree.
+    counted = classes.select("mark").mapInPandas(home_counts, "shard long, n long").groupBy("shard")
+    crowded = counted.agg(F.sum("n").alias("n")).where(F.col("n") > SHARD).collect()
+    parts = spark.sparkContext.broadcast({r.shard: -(-r.n // SHARD) for r in crowded})
+
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tree = shared.value
         for batch in batches:
             marks, ids = batch["mark"].to_numpy().view(np.uint64), batch["id"].to_numpy()
             home = tree.homes(marks)
             for at in range(0, len(marks), 2048):
-                part = slice(at, at + 2048)
-                row, shard = tree.overlaps(marks[part], within)
-                keep = shard >= home[part][row]
+                own = slice(at, at + 2048)
+                row, shard = tree.overlaps(marks[own], within)
+                keep = shard >= home[own][row]
                 row, shard = row[keep], shard[keep]
+                cut = np.array([parts.value.get(int(s), 1) for s in shard], dtype=np.int64)
+                drawn = marks[own][row] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)
+                part = np.where(shard == home[own][row], (drawn % cut.astype(np.uint64)).astype(np.int64), -1)
+                # A visitor goes to every part, a member to its own and to those behind it.
+                first = np.maximum(part, 0)
+                times = cut - first
+                to = np.repeat(np.arange(len(row)), times)
+                number = np.arange(len(to)) - np.repeat(np.cumsum(times) - times, times) + first[to]
                 yield pd.DataFrame({
-                    "shard": shard, "visitor": shard != home[part][row],
-                    "mark": marks[part][row].view(np.int64), "id": ids[part][row],
+                    "shard": shard[to], "part": number, "visitor": part[to] != number,
+                    "mark": marks[own][row[to]].view(np.int64), "id": ids[own][row[to]],
                 })
 
-    def meet(shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values(["visitor", "mark"], kind="stable")
-        marks, ids = shard["mark"].to_numpy().view(np.uint64), shard["id"].to_numpy()
-        first = int((~shard["visitor"]).sum())
-        forest = Forest(len(marks))
-        join_within(marks[:first], marks[first:], within, forest, first)
-        root = forest.roots(np.arange(len(marks)))
-        linked = root != np.arange(len(marks))
-        return pd.DataFrame({"a": ids[linked], "b": ids[root[linked]]})
-
-    dealt = classes.select("mark", "id").mapInPandas(deal, "shard long, visitor boolean, mark long, id long")
-    return dealt.groupBy("shard").applyInPandas(meet, "a long, b long")
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, shard = None, None
+        for batch in batches:
+            for key, rows in batch.groupby(["shard", "part", "visitor"], sort=False):
+                if key[:2] != now:
+                    if shard is not None:
+                        yield shard.finish()
+                    now, shard = key[:2], Shard(within)
+                    shard.add(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+                values = rows["mark"].to_numpy().view(np.uint64), rows["id"].to_numpy()
+                if key[2]:
+                    yield shard.visit(*values)
+                else:
+                    shard.add(*values)
+        if shard is not None:
+            yield shard.finish()
+
+    dealt = classes.select("mark", "id").mapInPandas(
+        deal, "shard long, part long, visitor boolean, mark long, id long"
+    )
+    met = dealt.repartition("shard", "part").sortWithinPartitions("shard", "part", "visitor")
+    return met.mapInPandas(meet, "a long, b long")
 
 
 def group(docs: DataFrame, shingle: int = SHINGLE, within: int = DISTANCE) -> DataFrame:
