@@ -58,9 +58,10 @@ class Features:
 def fit(rows: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
     """Numbers and values of the weights that are not zero; the last number, 2^BITS, is the bias.
 
-    A row is a document's distinct features and its label. Each document is one example in which a feature is present or not. The rows are visited in the
-    given order, ``PASSES`` times. L1 keeps every weight at zero whose gradients have not summed up
-    to ``L1``, so what stays is the vocabulary that tells the classes apart.
+    A row is a document's distinct features and its label. Each document is one example in which a
+    feature is present or not. The rows are visited in the given order, ``PASSES`` times. L1 keeps
+    every weight at zero whose gradients have not summed up to ``L1``, so what stays is the
+    vocabulary that tells the classes apart.
     """
     z, n = np.zeros((1 << BITS) + 1, dtype=np.float32), np.zeros((1 << BITS) + 1, dtype=np.float32)
     bias = np.array([1 << BITS], dtype=np.int32)
@@ -90,25 +91,33 @@ def fit(rows: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
 def train(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
     """Learn from a bounded sample of ``labels.toxic`` over ``docs``; held-out ids take no part.
 
-    The sample (``TRAINING_ROWS`` expected) is gathered by one task in the order of a hash of the
-    ids, so a rerun learns the same weights. Only the weights that are not zero come back: at most
-    2^BITS, in practice some hundreds. Without any labelled row there are no weights, and every
-    score is one half.
+    The words are hashed by the tasks that hold the texts; one task gets the numbers of the features
+    of the sample (``TRAINING_ROWS`` texts expected), in the order of a hash of the ids, so a rerun
+    learns the same weights. Only the weights that are not zero come back: at most 2^BITS, in
+    practice some hundreds. Without any labelled row there are no weights, and every score is one
+    half.
     """
     sample = training_rows(docs, labels, "toxic", TRAINING_ROWS)
 
+    @F.pandas_udf("array<int>")
+    def distinct_features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        features = Features()
+        for batch in batches:
+            yield pd.Series([np.unique(features.of(text)).astype(np.int32) for text in batch])
+
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        features, rows = Features(), []
+        rows = []
         for batch in batches:
             rows += [
-                (order, np.unique(features.of(text)).astype(np.int32), label)
-                for text, label, order in zip(batch["text"], batch["label"], batch["order"], strict=True)
+                (order, np.array(numbers, dtype=np.int32), label)
+                for order, numbers, label in zip(batch["order"], batch["features"], batch["label"], strict=True)
             ]
         rows.sort(key=lambda r: r[0])
         numbers, values = fit([(f, y) for _, f, y in rows])
         yield pd.DataFrame({"feature": numbers, "weight": values})
 
-    learnt = sample.repartition(1).mapInPandas(learn, "feature long, weight double").toPandas()
+    numbered = sample.select("order", "label", distinct_features("text").alias("features"))
+    learnt = numbered.repartition(1).mapInPandas(learn, "feature long, weight double").toPandas()
     learnt = learnt.sort_values("feature")
     return {"feature": learnt["feature"].to_numpy(), "weight": learnt["weight"].to_numpy()}
 
