@@ -80,6 +80,64 @@ def test_trees_step_like_one_row_at_a_time():
         assert abs(1 / (1 + np.exp(-total)) - expected) < 1e-9
 
 
+def tree_by_hand(x, y, margin, cuts):
+    """One boosted tree: every cut of every statistic tried at every node, a row at a time."""
+    p = 1 / (1 + np.exp(-margin))
+    g, h = p - y, p * (1 - p)
+    feature, cut = [0] * (2**quality.DEPTH - 1), [np.inf] * (2**quality.DEPTH - 1)
+    members = {0: list(range(len(y)))}
+    for node in range(2**quality.DEPTH - 1):
+        rows = members.get(node, [])
+        score = lambda some: sum(g[i] for i in some) ** 2 / (sum(h[i] for i in some) + quality.RIDGE)
+        best = (1e-6, 0, np.inf)
+        for f in range(x.shape[1]):
+            for c in cuts[f]:
+                left, right = [i for i in rows if x[i, f] <= c], [i for i in rows if x[i, f] > c]
+                if min(len(left), len(right)) >= quality.LEAST:
+                    gain = score(left) + score(right) - score(rows)
+                    if gain > best[0] + 1e-9:
+                        best = (gain, f, c)
+        feature[node], cut[node] = best[1:]
+        members[2 * node + 1] = [i for i in rows if x[i, best[1]] <= best[2]]
+        members[2 * node + 2] = [i for i in rows if x[i, best[1]] > best[2]]
+    leaves = [members[node] for node in range(2**quality.DEPTH - 1, 2 ** (quality.DEPTH + 1) - 1)]
+    value = [-quality.RATE * sum(g[i] for i in own) / (sum(h[i] for i in own) + quality.RIDGE) for own in leaves]
+    return feature, cut, value, leaves
+
+
+def test_trees_equal_an_exhaustive_search(monkeypatch):
+    monkeypatch.setattr(quality, "TREES", 4)
+    monkeypatch.setattr(quality, "DEPTH", 3)
+    draw = np.random.default_rng(7)
+    for rows in (60, 200):
+        x = np.stack([draw.normal(size=rows), draw.integers(0, 4, rows), draw.normal(size=rows).round(1), np.ones(rows)], axis=1)
+        y = ((x[:, 0] > 0.3) ^ (x[:, 1] > 1) ^ (draw.random(rows) < 0.1)).astype(float)
+        model = quality.fit(x, y)
+        cuts = [np.unique(np.quantile(c, np.linspace(0, 1, quality.BINS + 1)[1:-1])) for c in x.T]
+        margin = np.full(rows, model.base)
+        assert model.base == pytest.approx(np.log((y.sum() + 1) / (rows - y.sum() + 1)))
+        for tree in range(4):
+            feature, cut, value, leaves = tree_by_hand(x, y, margin, cuts)
+            assert model.cut[tree].tolist() == cut
+            assert [f for f, c in zip(model.feature[tree], cut) if c < np.inf] == [f for f, c in zip(feature, cut) if c < np.inf]
+            assert np.allclose(model.value[tree], value)
+            for own, v in zip(leaves, value):
+                margin[own] += v
+        assert np.allclose(model.score(x), 1 / (1 + np.exp(-margin)))
+
+
+def test_features_travel_as_numbers_and_give_the_same_weights(spark, documents):
+    pick, features = random.Random(2), toxicity.Features()
+    texts = {i: " ".join(pick.choice("abcdefgh") for _ in range(9)) + " bad" * (i % 3 == 0) for i in range(200)}
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in texts], "doc_id long, toxic int")
+    docs = documents(*texts.items())
+    rows = common.training_rows(docs, labels, "toxic", 10**6).orderBy("order").collect()
+    numbers, values = toxicity.fit([(np.unique(features.of(r.text)).astype(np.int32), r.label) for r in rows])
+    for parts in (1, 5):
+        model = toxicity.train(docs.repartition(parts), labels)
+        assert model["feature"].tolist() == numbers.tolist() and model["weight"].tolist() == values.tolist()
+
+
 def test_statistics_are_finite_and_named():
     for text in ODD:
         found = quality.statistics(text or "")

@@ -71,3 +71,10 @@ def test_query_equals_sql_on_odd_rows(spark, documents, tmp_path):
     ours = QUERIES["op2_mix_sources"](spark, str(tmp_path))
     theirs = db.execute(f"SELECT {', '.join(ours.columns)} FROM ({ORACLES['op2_mix_sources']})").fetchall()
     assert sorted(map(tuple, ours.collect()), key=repr) == sorted(theirs, key=repr)
+
+
+def test_very_long_texts(spark, documents):
+    docs = documents((1, "é \U0001f600\t" * 500_000, "a"), (2, "x" * 2_000_000, "a"), (3, "b " * 10, "b"))
+    got = {r.source: (r.source_size, r.target) for r in mixing.source_rates(docs).collect()}
+    assert got == {"a": (1_000_001, 1_500_016.5 - 20), "b": (10, 20.0)}
+    assert Counter(r.doc_id for r in mixing.mix_sources(docs).collect())[3] == 2

@@ -78,3 +78,14 @@ def test_empty_tables_and_clashing_names(spark, pages):
     more = pages.withColumn("host", F.lit(1)).withColumn("verdict", F.lit(2)).withColumn("token", F.lit(3))
     assert url_filter.filter_urls(more, url_filter.rules(spark)).count() == pages.count()
     assert url_filter.filter_urls(pages.where("false"), url_filter.rules(spark)).collect() == []
+
+
+def test_very_long_urls(spark):
+    long = "a/" * 100_000
+    urls = [f"http://x.com/{long}", f"http://www.example.com/de/{long}?{long}", f"http://{'h.' * 50_000}org/fr/{long}", "x" * 300_000,
+            f"http://x.com/{long}cart/{long}", f"http://net/{long}"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.filter_urls(pages, url_filter.rules(spark)).collect()}
+    assert [got[i].verdict for i in range(6)] == ["allow", "block", "allow", "allow", "block", "block"]
+    assert [got[i].rule for i in range(6)] == [None, "example.com/de/", "org/fr/", None, None, "net/"]
+    assert got[0].path == f"/{long}" and got[3].path == "" and got[2].host == "h." * 50_000 + "org"

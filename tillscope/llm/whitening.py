@@ -25,11 +25,15 @@ ROWS = 2048
 FRACTION = 40
 
 
-def whole_vector(vector: Column) -> Column:
-    """``floor(64*c) + 1000000`` of every entry, as longs; NULL unless all entries are finite numbers."""
+def usable(vector: Column) -> Column:
+    """Whether all entries are finite numbers, and small enough."""
     finite = F.forall(vector, lambda c: F.coalesce(F.abs(c.cast("double")) < LARGEST, F.lit(False)))
-    whole = F.transform(vector, lambda c: F.floor(c.cast("double") * SCALE).cast("long") + OFFSET)
-    return F.when(finite, whole)
+    return F.coalesce(finite, F.lit(False))
+
+
+def whole_vector(vector: Column) -> Column:
+    """``floor(64*c) + 1000000`` of every entry of a usable vector, as longs."""
+    return F.transform(vector, lambda c: F.floor(c.cast("double") * SCALE) + OFFSET)
 
 
 @dataclass(frozen=True)
@@ -224,7 +228,7 @@ def whiten(embeddings: DataFrame, vector: str = "embedding", components: int = C
     38 digits. Repeated rows and ids, and NULL ids, each give their own rows; without usable rows
     there are none. The rows are read twice and written never; only their distinct vectors are.
     """
-    rows = embeddings.select("vec_id", whole_vector(F.col(vector)).alias("x")).where("x is not null")
+    rows = embeddings.where(usable(F.col(vector))).select("vec_id", whole_vector(F.col(vector)).alias("x"))
     model = fit(rows, components)
     if model is None:
         return embeddings.sparkSession.createDataFrame([], _SCHEMA)
