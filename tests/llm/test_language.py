@@ -107,14 +107,24 @@ def test_labels_of_held_out_rows_are_not_used(spark):
 
 
 def test_copies_and_shared_ids_do_not_enlarge_the_sample(spark, monkeypatch):
-    monkeypatch.setattr(language, "TEXTS_PER_LANGUAGE", 20)
-    seen = []
-    monkeypatch.setattr(language, "fit", lambda rows, names: seen.append(len(rows)) or language.Languages())
-    rows = invented_rows(4, 400)
+    monkeypatch.setattr(language, "TEXTS_PER_LANGUAGE", 40)
+    rows = invented_rows(4, 800)
     copies = rows + [(7, rows[0][1], rows[0][2])] * 2000 + [(7, f"oat{i}ione", "it") for i in range(500)]
-    language.train(table(spark, copies))  # in a worker of its own: only that it runs
-    chosen = table(spark, copies).where(~language.held_out())
-    assert chosen.count() > 2000
+    copies += [(i, "12 34", "num") for i in range(50)] + [(i, None, "fi") for i in range(50)]
+    assert table(spark, copies).where(~language.held_out()).count() > 2500
+    found = [
+        sorted((r.lang, r.mark, tuple(r.numbers), tuple(r.counts)) for r in language.sample(table(spark, c)).collect())
+        for c in (copies, copies[::-1])
+    ]
+    assert found[0] == found[1] and len({r[:2] for r in found[0]}) == len(found[0])
+    counted = Counter(r[0] for r in found[0])
+    assert set(counted) == {"de", "nl", "it", "pt", "fi"} and all(15 < n < 75 for n in counted.values())
+
+
+def test_the_most_frequent_languages_are_learnt(spark, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGES", 2)
+    rows = [(i, f"word{chr(97 + i % 26)} {chr(97 + i // 26)}", "de" if i % 3 else "it") for i in range(300)] + [(1, "x", "fi")]
+    assert language.train(table(spark, rows)).names == ["de", "it"]
 
 
 def test_odd_texts_clashing_columns_and_repeated_rows(spark):

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillscope.llm.common import held_out, text_or_empty
+from tillscope.sources import written_table
 
 #: Language codes by family. A language that is not listed is a family of its own.
 FAMILIES = {
@@ -170,64 +171,51 @@ def _logistic(margin: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(margin, -35, 35)))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], languages: list[str]) -> Languages:
-    """Learn from rows of (feature numbers, values), one language per row, in the order given."""
-    names = sorted(set(languages))
-    if not names:
-        return Languages()
+@dataclass(frozen=True)
+class Machine:
+    """What one machine tells apart: languages of side +1 from languages of side -1."""
+
+    kind: str
+    tag: tuple[int, ...]
+    sides: dict[str, float]
+
+
+def machines_of(names: list[str]) -> tuple[list[tuple[int, ...]], list[Machine]]:
+    """The families of some languages, as places in the list, and the machines that tell them apart.
+
+    Each family against all others, unless there are only two, which share a machine; and each pair
+    of languages of one family.
+    """
     family_of = {code: name for name, codes in FAMILIES.items() for code in codes}
     listed: dict[str, list[int]] = {}
     for no, name in enumerate(names):
         # The part before a region counts ("pt-BR" is Romance).
         listed.setdefault(family_of.get(name.lower().replace("_", "-").split("-")[0], f"={name}"), []).append(no)
-    families = [tuple(members) for _, members in sorted(listed.items(), key=lambda f: f[1])]
-    label = np.array([names.index(x) for x in languages])
-    family = np.zeros(len(names), dtype=np.int64)
-    for no, members in enumerate(families):
-        family[list(members)] = no
-    machines = []
-    if len(families) == 2:
-        first = support_vector_machine(rows, np.where(family[label] == 0, 1.0, -1.0)) / 2
-        machines = [first, -first]
-    elif len(families) > 2:
-        machines = [
-            support_vector_machine(rows, np.where(family[label] == no, 1.0, -1.0)) for no in range(len(families))
-        ]
-    model = Languages(names, families, np.zeros((len(families), (1 << BITS) + 1), dtype=np.float32))
-    for no, weights in enumerate(machines):
-        model.family_weights[no] = weights
-    model.pairs = [pair for members in families for pair in combinations(members, 2)]
-    model.pair_weights = np.zeros((len(model.pairs), (1 << BITS) + 1), dtype=np.float32)
-    for no, (a, b) in enumerate(model.pairs):
-        chosen = np.flatnonzero((label == a) | (label == b))
-        model.pair_weights[no] = support_vector_machine(
-            [rows[i] for i in chosen], np.where(label[chosen] == a, 1.0, -1.0)
-        )
-    return model
+    families = sorted(tuple(members) for members in listed.values())
+    single = families if len(families) > 2 else families[: len(families) - 1]
+    found = [Machine("family", f, {n: 1.0 if i in f else -1.0 for i, n in enumerate(names)}) for f in single]
+    pairs = [pair for members in families for pair in combinations(members, 2)]
+    return families, found + [Machine("pair", (a, b), {names[a]: 1.0, names[b]: -1.0}) for a, b in pairs]
 
 
-def train(docs: DataFrame) -> Languages:
-    """Learn from a bounded sample of the texts with a ``lang``; held-out ids take no part.
+def sample(docs: DataFrame) -> DataFrame:
+    """The texts to learn from: ``lang``, ``mark`` (hash of the text), ``numbers`` and ``counts``.
 
     Of every language about ``TEXTS_PER_LANGUAGE`` distinct texts are chosen by a hash of the text,
     all if it has fewer; copies count once, so neither they nor rows that share an id make the
     sample larger. Of more than ``LANGUAGES`` languages the most frequent are learnt. Texts are
-    reduced map-side to their hashes for counting, the features are taken where the texts are, and
-    one task gets the numbers only, sorted, so a rerun learns the same. NULL ids count as no fold's.
+    reduced map-side to their hashes for counting, and the features are taken where the texts are.
+    Texts without a letter say nothing. NULL ids are never held out.
     """
     known = docs.where(F.col("lang").isNotNull() & ~held_out()).select(
         "lang", text_or_empty().alias("text"), F.xxhash64(F.lit("language"), text_or_empty()).alias("mark")
     )
     per_language = known.select("lang", "mark").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     counted = per_language.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    if not counted:
-        return Languages()
     parts = 1 << 40
-    rates = F.create_map(
-        *[F.lit(v) for r in counted for v in (r["lang"], int(parts * min(1.0, TEXTS_PER_LANGUAGE / r["n"])))]
-    )
-    place = F.pmod("mark", F.lit(parts))
-    chosen = known.where(F.coalesce(place < rates[F.col("lang")], F.lit(False)))
+    rates = {r["lang"]: int(parts * min(1.0, TEXTS_PER_LANGUAGE / r["n"])) for r in counted}
+    rate = F.create_map(*[F.lit(v) for pair in (rates or {"": 0}).items() for v in pair])[F.col("lang")]
+    chosen = known.where(F.coalesce(F.pmod("mark", F.lit(parts)) < rate, F.lit(False)))
     single = chosen.groupBy("lang", "mark").agg(F.min("text").alias("text"))
 
     @F.pandas_udf("numbers array<int>, counts array<long>")
@@ -240,39 +228,55 @@ def train(docs: DataFrame) -> Languages:
                 rows.append((at.astype(np.int32), counts[at]))
             yield pd.DataFrame(rows, columns=["numbers", "counts"])
 
-    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = []
-        for batch in batches:
-            for lang, mark, numbers, counts in zip(batch["lang"], batch["mark"], batch["numbers"], batch["counts"], strict=True):
-                if len(numbers):
-                    # Numbers below 2^13 and 32-bit shares: the sample stays small in this task.
-                    rows.append((lang, mark, np.asarray(numbers, dtype=np.int16), scaled(np.asarray(counts))))
-        rows.sort(key=lambda r: (r[0], r[1]))
-        model = fit([(at, value) for _, _, at, value in rows], [r[0] for r in rows])
-        for kind, tags, weights in (
-            ("family", model.families, model.family_weights), ("pair", model.pairs, model.pair_weights),
-        ):
-            for tag, row in zip(tags, weights):
-                yield pd.DataFrame({"kind": [kind], "tag": [[model.names[i] for i in tag]], "weights": [row]})
-
-    features = single.withColumn("f", counts_of("text")).select("lang", "mark", "f.numbers", "f.counts")
-    found = (
-        features.repartition(1)
-        .mapInPandas(learn, "kind string, tag array<string>, weights array<float>")
-        .toPandas()
-    )
-    names = sorted({name for tag in found["tag"][found["kind"] == "family"] for name in tag})
-
-    def part(kind: str) -> tuple[list[tuple[int, ...]], np.ndarray]:
-        own = found[found["kind"] == kind]
-        tags = [tuple(names.index(name) for name in tag) for tag in own["tag"]]
-        weights = np.array(own["weights"].tolist(), dtype=np.float32).reshape(-1, (1 << BITS) + 1)
-        order = sorted(range(len(tags)), key=tags.__getitem__)
-        return [tags[i] for i in order], weights[order]
-
-    families, family_weights = part("family")
-    pairs, pair_weights = part("pair")
-    return Languages(names, families, family_weights, pairs, pair_weights)
+    found = single.select("lang", "mark", counts_of("text").alias("f")).select("lang", "mark", "f.*")
+    return found.where(F.size("numbers") > 0)
+
+
+def train(docs: DataFrame) -> Languages:
+    """Learn from a bounded sample of the texts with a ``lang``; held-out ids take no part.
+
+    The sample (:func:`sample`) is written, numbers only. Every machine learns in a task of its own,
+    from the sample's rows of the languages it tells apart, in the order of language and hash, so a
+    rerun learns the same; its 2^BITS + 1 weights come to the driver.
+    """
+    spark = docs.sparkSession
+    rows = written_table(sample(docs), "language-sample")
+    names = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
+    if not names:
+        return Languages()
+    families, machines = machines_of(names)
+
+    def learn(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["lang", "mark"], kind="stable")
+        own = [
+            (np.asarray(numbers, dtype=np.int16), scaled(np.asarray(counts)))
+            for numbers, counts in zip(group["numbers"], group["counts"], strict=True)
+        ]
+        weights = support_vector_machine(own, group["side"].to_numpy())
+        return pd.DataFrame({"machine": [group["machine"].iloc[0]], "weights": [weights]})
+
+    learnt = {}
+    if machines:
+        # At most LANGUAGES^2 rows: which machines learn from a language, and on which side.
+        sides = spark.createDataFrame(
+            [(lang, no, side) for no, m in enumerate(machines) for lang, side in m.sides.items()],
+            "lang string, machine long, side double",
+        )
+        dealt = rows.join(F.broadcast(sides), "lang")
+        found = dealt.groupBy("machine").applyInPandas(learn, "machine long, weights array<double>").collect()
+        learnt = {r["machine"]: np.array(r["weights"], dtype=np.float32) for r in found}
+    model = Languages(names, families, np.zeros((len(families), (1 << BITS) + 1), dtype=np.float32))
+    model.pairs = [m.tag for m in machines if m.kind == "pair"]
+    model.pair_weights = np.zeros((len(model.pairs), (1 << BITS) + 1), dtype=np.float32)
+    for no, m in enumerate(machines):
+        if m.kind == "pair":
+            model.pair_weights[model.pairs.index(m.tag)] = learnt[no]
+        else:
+            model.family_weights[families.index(m.tag)] = learnt[no]
+    if len(families) == 2:
+        model.family_weights[0] /= 2
+        model.family_weights[1] = -model.family_weights[0]
+    return model
 
 
 def add_language(docs: DataFrame, model: Languages, language: str = "lang_pred", score: str = "score") -> DataFrame:
