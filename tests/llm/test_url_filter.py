@@ -80,6 +80,12 @@ def test_empty_tables_and_clashing_names(spark, pages):
     assert url_filter.filter_urls(pages.where("false"), url_filter.rules(spark)).collect() == []
 
 
+def test_the_own_rules_are_constants_of_the_plan(spark, pages):
+    table = url_filter.rules(spark)
+    assert ", ".join(f"{n} {t}" for n, t in table.dtypes) == url_filter.RULES_SCHEMA and table.count() == 14
+    assert "RDD" not in table._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_very_long_urls(spark):
     long = "a/" * 100_000
     urls = [f"http://x.com/{long}", f"http://www.example.com/de/{long}?{long}", f"http://{'h.' * 50_000}org/fr/{long}", "x" * 300_000,

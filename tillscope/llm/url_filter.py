@@ -17,6 +17,7 @@ PARTS = r"://([^/?#]*)([^?#]*)"
 TOKEN = r"[a-z0-9]+"
 
 RULES_SCHEMA = "rule string, pattern string, verdict string, stated boolean"
+RULES_STRUCT = "rule:string,pattern:string,verdict:string,stated:boolean"
 
 #: Stated rules: host and path, each for the host and all its subdomains; the longest wins.
 STATED = [
@@ -42,11 +43,12 @@ PATTERNS = [
 
 
 def rules(spark: SparkSession) -> DataFrame:
-    """The stated rules and the default patterns as a rules table."""
-    stated = [(rule, "||" + rule, verdict, True) for rule, verdict in STATED]
-    return spark.createDataFrame(
-        stated + [(None, pattern, verdict, False) for pattern, verdict in PATTERNS], RULES_SCHEMA
-    )
+    """The stated rules and the default patterns as a rules table, of constants in the plan."""
+    listed = [(rule, "||" + rule, verdict, True) for rule, verdict in STATED]
+    listed += [(None, pattern, verdict, False) for pattern, verdict in PATTERNS]
+    names = [field.split()[0] for field in RULES_SCHEMA.split(", ")]
+    rows = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in listed]
+    return spark.range(1).select(F.inline(F.array(*rows).cast(f"array<struct<{RULES_STRUCT}>>")))
 
 
 def address(url: Column, part: int) -> Column:
