@@ -235,36 +235,35 @@ def sample(docs: DataFrame) -> DataFrame:
 def train(docs: DataFrame) -> Languages:
     """Learn from a bounded sample of the texts with a ``lang``; held-out ids take no part.
 
-    The sample (:func:`sample`) is written, numbers only. Every machine learns in a task of its own,
-    from the sample's rows of the languages it tells apart, in the order of language and hash, so a
-    rerun learns the same; its 2^BITS + 1 weights come to the driver.
+    The sample (:func:`sample`) is written, numbers only, and read by one task, which holds 16-bit
+    numbers and 32-bit shares of it and lets one machine after the other learn from the rows of its
+    languages, in the order of language and hash, so a rerun learns the same. A machine each to a
+    task is no faster by much, as one tells apart all families, and the groups need more memory.
+    The 2^BITS + 1 weights of each machine come to the driver.
     """
-    spark = docs.sparkSession
     rows = written_table(sample(docs), "language-sample")
     names = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
     if not names:
         return Languages()
     families, machines = machines_of(names)
 
-    def learn(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["lang", "mark"], kind="stable")
-        own = [
-            (np.asarray(numbers, dtype=np.int16), scaled(np.asarray(counts)))
-            for numbers, counts in zip(group["numbers"], group["counts"], strict=True)
-        ]
-        weights = support_vector_machine(own, group["side"].to_numpy())
-        return pd.DataFrame({"machine": [group["machine"].iloc[0]], "weights": [weights]})
-
-    learnt = {}
-    if machines:
-        # At most LANGUAGES^2 rows: which machines learn from a language, and on which side.
-        sides = spark.createDataFrame(
-            [(lang, no, side) for no, m in enumerate(machines) for lang, side in m.sides.items()],
-            "lang string, machine long, side double",
-        )
-        dealt = rows.join(F.broadcast(sides), "lang")
-        found = dealt.groupBy("machine").applyInPandas(learn, "machine long, weights array<double>").collect()
-        learnt = {r["machine"]: np.array(r["weights"], dtype=np.float32) for r in found}
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = []
+        for batch in batches:
+            known += [
+                (lang, mark, np.asarray(numbers, dtype=np.int16), scaled(np.asarray(counts)))
+                for lang, mark, numbers, counts in zip(
+                    batch["lang"], batch["mark"], batch["numbers"], batch["counts"], strict=True
+                )
+            ]
+        known.sort(key=lambda r: r[:2])
+        for no, machine in enumerate(machines):
+            own = [r for r in known if r[0] in machine.sides]
+            sides = np.array([machine.sides[r[0]] for r in own])
+            yield pd.DataFrame({"machine": [no], "weights": [support_vector_machine([r[2:] for r in own], sides)]})
+
+    found = rows.repartition(1).mapInPandas(learn, "machine long, weights array<double>").collect()
+    learnt = {r["machine"]: np.array(r["weights"], dtype=np.float32) for r in found}
     model = Languages(names, families, np.zeros((len(families), (1 << BITS) + 1), dtype=np.float32))
     model.pairs = [m.tag for m in machines if m.kind == "pair"]
     model.pair_weights = np.zeros((len(model.pairs), (1 << BITS) + 1), dtype=np.float32)
