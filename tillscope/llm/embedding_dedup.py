@@ -28,6 +28,8 @@ LEAF = 256
 SLACK = 1e-5
 #: Cells of a distance matrix held at once, and pairs verified at once.
 CELLS, PAIRS = 4_000_000, 50_000
+#: Rows turned at once, few enough for a processor's cache.
+CACHED = 256
 
 
 class Rotation:
@@ -55,10 +57,15 @@ class Rotation:
 
     def turn(self, unit: np.ndarray) -> np.ndarray:
         """Rotated coordinates. Term by term, so a vector's numbers don't depend on its batch."""
-        out, moved = np.zeros(unit.shape), unit - self.middle
-        for d in range(unit.shape[1]):
-            out += moved[:, d : d + 1] * self.basis[d]
-        return out.astype(np.float32)
+        out = np.zeros(unit.shape, dtype=np.float32)
+        for at in range(0, len(unit), CACHED):
+            moved = unit[at : at + CACHED] - self.middle
+            total, term = np.zeros(moved.shape), np.empty(moved.shape)
+            for d in range(unit.shape[1]):
+                np.multiply(moved[:, d : d + 1], self.basis[d], out=term)
+                total += term
+            out[at : at + CACHED] = total
+        return out
 
     def homes(self, turned: np.ndarray, block: int) -> np.ndarray:
         at = turned[:, self.columns[block][: self.splits[block]]] > self.cuts[block]
@@ -212,7 +219,8 @@ class Tile:
             step = max(1, CELLS // len(others))
             for at in range(0, len(own), step):
                 some = own[at : at + step]
-                i, j = np.nonzero(_apart(self.points[some], points[others]) <= share + SLACK)
+                near = _apart(self.points[some], points[others]) <= share + SLACK
+                i, j = np.divmod(np.flatnonzero(near.ravel()), len(others))
                 i, j = some[i], others[j]
                 if own is others:
                     i, j = i[i < j], j[i < j]
@@ -295,11 +303,13 @@ def links(classes: DataFrame) -> DataFrame:
                 shard, n = np.unique(rotation.homes(turned, block), return_counts=True)
                 yield pd.DataFrame({"d": dimension, "block": block, "shard": shard, "n": n})
 
-    # At most BLOCKS * 2^SPLITS rows per dimension.
-    counted = classes.select("vector").mapInPandas(home_counts, "d long, block long, shard long, n long")
+    # At most BLOCKS * 2^SPLITS rows per dimension; a dimension without splits has at most SHARD vectors.
+    split = [d for d, rotation in rotations.value.items() if any(rotation.splits)]
+    several = classes.where(F.size("vector").isin(split)).select("vector")
+    counted = several.mapInPandas(home_counts, "d long, block long, shard long, n long")
     crowded = counted.groupBy("d", "block", "shard").agg(F.sum("n").alias("n")).where(F.col("n") > SHARD)
     parts = spark.sparkContext.broadcast(
-        {(r.d, r.block, r.shard): -(-r.n // SHARD) for r in crowded.collect()}
+        {(r.d, r.block, r.shard): -(-r.n // SHARD) for r in crowded.collect()} if split else {}
     )
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
