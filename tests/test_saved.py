@@ -89,18 +89,18 @@ def test_queries_leave_nothing_behind(spark):
         assert set(shared.iterdir()) == before and spark.catalog.listTables() == tables, name
 
 
-def test_the_saved_side_of_a_join_is_not_shuffled(spark):
+@pytest.mark.parametrize("name", ["known_buyers_from_saved", "targeted_buyers_from_saved"])
+def test_the_saved_side_of_a_join_is_not_shuffled(spark, name):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         with intermediate_tables(spark):
-            found = queries.known_buyers_from_saved(spark, FOLDER)
+            found = getattr(queries, name)(spark, FOLDER)
             plan = plan_of(found)
             found.collect()
             final = plan_of(found).split("== Initial Plan ==")[0]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     for text in (plan, final):
-        side = text[: text.index("min_date#")]
         saved = [line for line in text.split("\n") if "FileScan" in line and "min_date" in line]
         assert len(saved) == 1 and "Bucketed: true" in saved[0] and "SelectedBucketsCount" in saved[0]
         # Between the scan of the saved table and the join above it lie only a filter and a sort.
@@ -113,7 +113,7 @@ def test_the_saved_side_of_a_join_is_not_shuffled(spark):
                 limit = depth(line)
             if "SortMergeJoin" in line and depth(line) == limit:
                 break
-        assert path and "SortMergeJoin" in path[-1] and not any("Exchange" in line for line in path), (path, side)
+        assert path and "SortMergeJoin" in path[-1] and not any("Exchange" in line for line in path), path
 
 
 def test_a_saved_table_has_one_file_per_bucket(spark, tmp_path):

@@ -40,7 +40,7 @@ SCHEMAS = {
     **dict.fromkeys(("active_rate_month", "active_rate_all"), RATE),
     "monthly_customers": "month string, customer_count bigint",
     **dict.fromkeys(
-        ("total_customers", "targeted_repeat_buyers", "targeted_buyers", "repeat_buyers", "returning_customers", "customers_before"),
+        ("total_customers", "targeted_repeat_buyers", "targeted_buyers_from_saved", "targeted_buyers", "repeat_buyers", "returning_customers", "customers_before"),
         "customer_count bigint",
     ),
     "basket_with_product": "order_id bigint, product_id string, quantity double, pay_amt decimal(18,2)",

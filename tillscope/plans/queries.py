@@ -118,13 +118,26 @@ def rewritten_filters(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(stored.schema).parquet(path).drop("part")
 
 
-def known_buyers_from_saved(spark: SparkSession, folder: str) -> DataFrame:
-    """Buyers of a job who ordered before, by the first order dates saved in buckets."""
+def saved_first_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """The first order dates, saved in as many buckets as a join on the customer has partitions."""
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = intermediate_path(spark, "first-orders")
-    saved = save_table(min_dates_of(spark, folder), intermediate_name("first_orders"), ["user_id"], buckets, path=path)
-    sales = sales_of(spark, folder, "product_id")
-    return op.audience_by_products(sales, saved, data.jobs(spark, folder), JOB, before=YEAR_START)
+    return save_table(min_dates_of(spark, folder), intermediate_name("first_orders"), ["user_id"], buckets, path=path)
+
+
+def known_buyers_from_saved(spark: SparkSession, folder: str) -> DataFrame:
+    """Buyers of a job who ordered before, by the saved first order dates."""
+    sales, jobs = sales_of(spark, folder, "product_id"), data.jobs(spark, folder)
+    return op.audience_by_products(sales, saved_first_orders(spark, folder), jobs, JOB, before=YEAR_START)
+
+
+def targeted_buyers_from_saved(spark: SparkSession, folder: str) -> DataFrame:
+    """Buyers of a campaign with a prediction who ordered before, by the saved first order dates."""
+    return op.count_buyers(
+        data.order_lines(spark, folder), CAMPAIGN, CAMPAIGN_START, CAMPAIGN_END,
+        predict=data.predictions(spark, folder), max_rank=TOP_RANK,
+        min_dates=saved_first_orders(spark, folder), before=CAMPAIGN_START,
+    )
 
 
 def users_trait_saved(spark: SparkSession, folder: str) -> DataFrame:
@@ -193,6 +206,7 @@ def _registered() -> dict[str, Query]:
         ),
         "rewritten_filters": rewritten_filters,
         "known_buyers_from_saved": known_buyers_from_saved,
+        "targeted_buyers_from_saved": targeted_buyers_from_saved,
         "orders_in_range_by_month": lambda s, d: op.orders_in_range(
             lines_by_month(s, d), RANGE_START, RANGE_END
         ).drop(MONTH_PART),
