@@ -104,6 +104,13 @@ def test_repeated_rows_odd_vectors_and_clashing_columns(spark):
     assert len(same) == 4 and same == {(r.component, r.whitened, r.deviation) for r in found if r.vec_id == 0}
 
 
+def test_each_vector_is_whitened_once(spark):
+    draw = np.random.default_rng(3)
+    found = whitening.whiten(table(spark, draw.normal(size=(20, 3)).astype(np.float32).tolist()))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and dict(found.dtypes)["component"] == "int"
+
+
 def test_no_variance_and_no_rows(spark):
     assert whitening.whiten(table(spark, [])).collect() == []
     assert whitening.whiten(table(spark, [None, [None]])).collect() == []

@@ -233,7 +233,9 @@ def whiten(embeddings: DataFrame, vector: str = "embedding", components: int = C
     if model is None:
         return embeddings.sparkSession.createDataFrame([], _SCHEMA)
     shares = F.array(*[F.lit(v) for v in model.explained])
-    found = add_whitened(rows, model).select("vec_id", "deviation", F.posexplode("whitened").alias("_at", "whitened"))
+    # The outer form, as the plain one puts a test for empty arrays, and with it the function, below itself.
+    exploded = F.posexplode_outer("whitened").alias("_at", "whitened")
+    found = add_whitened(rows, model).select("vec_id", "deviation", exploded)
     return found.select(
         F.col("vec_id").cast("long").alias("vec_id"),
         (F.col("_at") + 1).alias("component"),
