@@ -204,8 +204,8 @@ def sample(docs: DataFrame) -> DataFrame:
     Of every language about ``TEXTS_PER_LANGUAGE`` distinct texts are chosen by a hash of the text,
     all if it has fewer; copies count once, so neither they nor rows that share an id make the
     sample larger. Of more than ``LANGUAGES`` languages the most frequent are learnt. Texts are
-    reduced map-side to their hashes for counting, and the features are taken where the texts are.
-    Texts without a letter say nothing. NULL ids are never held out.
+    reduced map-side to their hashes for counting, and the features are taken where the texts are
+    and written, numbers only. Texts without a letter say nothing. NULL ids are never held out.
     """
     known = docs.where(F.col("lang").isNotNull() & ~held_out()).select(
         "lang", text_or_empty().alias("text"), F.xxhash64(F.lit("language"), text_or_empty()).alias("mark")
@@ -229,19 +229,20 @@ def sample(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["numbers", "counts"])
 
     found = single.select("lang", "mark", counts_of("text").alias("f")).select("lang", "mark", "f.*")
-    return found.where(F.size("numbers") > 0)
+    # Written first: a filter on what the function gives would run it a second time.
+    return written_table(found, "language-sample").where(F.size("numbers") > 0)
 
 
 def train(docs: DataFrame) -> Languages:
     """Learn from a bounded sample of the texts with a ``lang``; held-out ids take no part.
 
-    The sample (:func:`sample`) is written, numbers only, and read by one task, which holds 16-bit
-    numbers and 32-bit shares of it and lets one machine after the other learn from the rows of its
+    The sample (:func:`sample`) is read by one task, which holds 16-bit numbers and 32-bit shares of
+    it and lets one machine after the other learn from the rows of its
     languages, in the order of language and hash, so a rerun learns the same. A machine each to a
     task is no faster by much, as one tells apart all families, and the groups need more memory.
     The 2^BITS + 1 weights of each machine come to the driver.
     """
-    rows = written_table(sample(docs), "language-sample")
+    rows = sample(docs)
     names = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
     if not names:
         return Languages()
