@@ -65,7 +65,6 @@ def fit(rows: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
     """
     z, n = np.zeros((1 << BITS) + 1, dtype=np.float32), np.zeros((1 << BITS) + 1, dtype=np.float32)
     bias = np.array([1 << BITS], dtype=np.int32)
-    examples = [(np.append(f, bias), y) for f, y in rows]
 
     def weights(at: np.ndarray) -> np.ndarray:
         total, strength = z[at].astype(float), np.where(at == 1 << BITS, 0.0, L1)
@@ -73,7 +72,8 @@ def fit(rows: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
         return np.where(np.abs(total) <= strength, 0.0, full)
 
     for _ in range(PASSES):
-        for at, label in examples:
+        for features, label in rows:
+            at = np.append(features, bias)
             w = weights(at)
             error = 1.0 / (1.0 + np.exp(-np.clip(w.sum(), -35, 35))) - label
             error *= TOXIC_WEIGHT if label else 1.0
@@ -99,21 +99,19 @@ def train(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
     """
     sample = training_rows(docs, labels, "toxic", TRAINING_ROWS)
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("binary")
     def distinct_features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         features = Features()
         for batch in batches:
-            yield pd.Series([np.unique(features.of(text)).astype(np.int32) for text in batch])
+            yield pd.Series([np.unique(features.of(text)).astype("<i4").tobytes() for text in batch])
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for batch in batches:
-            rows += [
-                (order, np.array(numbers, dtype=np.int32), label)
-                for order, numbers, label in zip(batch["order"], batch["features"], batch["label"], strict=True)
-            ]
+            rows += zip(batch["order"], batch["features"], batch["label"], strict=True)
         rows.sort(key=lambda r: r[0])
-        numbers, values = fit([(f, y) for _, f, y in rows])
+        # The bytes are read where they lie, so the task holds the sample once.
+        numbers, values = fit([(np.frombuffer(f, dtype="<i4"), y) for _, f, y in rows])
         yield pd.DataFrame({"feature": numbers, "weight": values})
 
     numbered = sample.select("order", "label", distinct_features("text").alias("features"))
