@@ -1,0 +1,57 @@
+"""Run queries on executors in processes of their own, under the master's name of a remote cluster.
+
+Started by ``test_cluster.py`` in a process of its own: ``cluster_job.py FOLDER QUERY...``. Prints a
+line per query, and one for a folder that is another one in every process.
+"""
+
+from __future__ import annotations
+
+import os
+import sys
+from pathlib import Path
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+
+from pyspark.sql import SparkSession  # noqa: E402
+
+from hard_tables import write_hard_tables  # noqa: E402
+from tillscope.plans.queries import QUERIES  # noqa: E402
+from tillscope.sources import intermediate_tables, shared_folder  # noqa: E402
+
+
+def main(folder: str, names: list[str]) -> None:
+    tables = write_hard_tables(Path(folder))
+    os.makedirs(f"{folder}/own/shared")
+    os.chdir(f"{folder}/own")
+    spark = SparkSession.builder.config(
+        map={
+            "spark.master": "local-cluster[2,2,1024]",
+            "spark.ui.enabled": "false",
+            "spark.sql.session.timeZone": "UTC",
+            "spark.sql.shuffle.partitions": "4",
+            "spark.driver.host": "127.0.0.1",
+            "spark.sql.warehouse.dir": f"{folder}/warehouse",
+            "spark.checkpoint.dir": f"file://{folder}/shared",
+        }
+    ).getOrCreate()
+    spark.sparkContext.setLogLevel("OFF")
+    inside = {name: sorted(map(str, QUERIES[name](spark, tables).collect())) for name in names}
+    # From here on the session says that its executors are on other machines.
+    spark.sparkContext.master = "spark://elsewhere:7077"
+    for name in names:
+        with intermediate_tables(spark):
+            same = sorted(map(str, QUERIES[name](spark, tables).collect())) == inside[name]
+        print(name, "same" if same else "differs", flush=True)
+    print("left", len([p for p in Path(folder, "shared").iterdir() if "reached" in p.name]), flush=True)
+    read = type(spark.conf).get
+    own = lambda self, key, *rest: "file:///proc/self/cwd/shared" if key == "spark.checkpoint.dir" else read(self, key, *rest)
+    type(spark.conf).get = own
+    try:
+        print("own", shared_folder(spark), flush=True)
+    except ValueError as refusal:
+        print("own refused:", refusal, flush=True)
+    spark.stop()
+
+
+if __name__ == "__main__":
+    main(sys.argv[1], sys.argv[2:])

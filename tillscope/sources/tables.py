@@ -6,6 +6,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -137,17 +139,49 @@ def intermediate_tables(spark: SparkSession) -> Iterator[list[str]]:
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables: ``spark.checkpoint.dir``, else inside the warehouse.
 
-    Every executor must reach it, so a machine-local folder is refused unless the master is local.
+    Every executor must reach it. A path in the machines' own file system may be a mount that all
+    of them share: unless the master is local, the executors are asked once per session, and a
+    machine-local folder is refused.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     folder = folder or spark.conf.get("spark.sql.warehouse.dir")
     _, files = _file_system(spark, folder)
     local = spark.sparkContext.master.startswith("local")
     if files.getUri().getScheme() == "file" and not local:
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+        _ask_executors(spark, folder)
     return folder.rstrip("/")
 
 
+_reached: set[tuple[str, str]] = set()
+
+
+def _ask_executors(spark: SparkSession, folder: str) -> None:
+    """Raise unless rows that executors write into the folder are there for the driver and for others.
+
+    On a folder of each machine's own the rows stay behind on the disks of those that wrote them.
+    Two small tasks per core are written and read back, so that all executors known by then take
+    part; the driver alone cannot tell.
+    """
+    context = spark.sparkContext
+    if (context.applicationId, folder) in _reached:
+        return
+    tasks = 2 * context.defaultParallelism
+    path = f"{folder.rstrip('/')}/tillscope-reached-{uuid.uuid4().hex}"
+    refusal = ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+    try:
+        spark.range(0, tasks, 1, tasks).write.parquet(path)
+        found = spark.read.schema("id long").parquet(path).count()
+    except (PySparkException, Py4JJavaError) as error:
+        raise refusal from error
+    finally:
+        probe, files = _file_system(spark, path)
+        files.delete(probe, True)
+    # The driver is listed as an executor, too.
+    if found < tasks or len(context._jsc.sc().statusTracker().getExecutorInfos()) < 2:
+        raise refusal
+    _reached.add((context.applicationId, folder))
+
+
 def modified_at(spark: SparkSession, path: str) -> int:
     """When a file or folder was last changed, in milliseconds, on any file system."""
     folder, files = _file_system(spark, path)
